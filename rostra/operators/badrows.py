@@ -7,6 +7,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rostra.functions.text import WIDE_DIGITS, coerce_count, clean_text, strip
 from rostra.functions.timeparse import beijing_text, parse_time_range
@@ -82,7 +83,11 @@ def minimum_cost_parse(shape: str, columns: int) -> tuple[int, int, str]:
     return best // quote, best % quote, ",".join(f"{op}:{n}" for op, n in sorted(named.items()))
 
 
-@F.pandas_udf("quote_edits int, delimiter_edits int, operations string")
+_EDITS = T.StructType([
+    T.StructField("quote_edits", T.IntegerType()), T.StructField("delimiter_edits", T.IntegerType()), T.StructField("operations", T.StringType()),
+])
+
+
 def _cheapest(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
     known: dict[tuple[str, int], tuple[int, int, str]] = {}  # few shapes make up almost all lines
     for shapes, columns in batches:
@@ -97,10 +102,6 @@ def _cheapest(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Dat
         yield pd.DataFrame(rows, columns=["quote_edits", "delimiter_edits", "operations"])
 
 
-# else a filter on the reason would be pushed below and the parse run twice
-_cheapest = _cheapest.asNondeterministic()
-
-
 def split_fields(line: Column) -> Column:
     """The values of a line of zero cost. Possessive repeats: no back-tracking and no deep recursion."""
     body = F.concat(F.lit(","), F.regexp_replace(F.coalesce(line, F.lit("")), r"\r\z", ""))
@@ -117,7 +118,8 @@ def parse_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     impossible_time. A null line reads as an empty one (column_count); a blank count is allowed. All columns
     of the input stay, except that those of the names added here are replaced.
     """
-    cost = _cheapest(shape_of(F.col(line)), F.lit(len(RAW_COLUMNS)))
+    # non-deterministic by declaration: else a filter on the reason would be pushed below and the parse run twice
+    cost = F.pandas_udf(_cheapest, _EDITS).asNondeterministic()(shape_of(F.col(line)), F.lit(len(RAW_COLUMNS)))
     out = lines.withColumn("_cost", cost)
     whole = (F.col("_cost.quote_edits") == 0) & (F.col("_cost.delimiter_edits") == 0)
     out = out.withColumn("_fields", F.when(whole, split_fields(F.col(line))))
