@@ -66,7 +66,8 @@ def rescue_rows(sheets: DataFrame, header_alias: DataFrame, key: str = "sheet_ro
     pieces = F.transform("_r", lambda x: F.concat(F.lit('"'), F.replace(F.replace(x["field"], F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('":'), x["value"]))
     whole = F.to_json(F.struct(F.col("payload").alias("_payload")))
     out = sheets.join(wide, key, "left")
-    rest = F.when(F.col("_r").isNull() & F.col("payload").isNotNull(), whole).when(F.size("_r") > 0, F.concat(F.lit("{"), F.array_join(pieces, ","), F.lit("}")))
+    is_object = F.coalesce(F.schema_of_variant(F.try_parse_json("payload")).startswith("OBJECT"), F.lit(False))
+    rest = F.when(F.col("payload").isNotNull() & ~is_object, whole).when(F.size("_r") > 0, F.concat(F.lit("{"), F.array_join(pieces, ","), F.lit("}")))
     return out.select(*ids, *TARGET, rest.alias("rescued"))
 
 

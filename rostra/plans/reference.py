@@ -1 +1,394 @@
-QUERIES, ORACLE = {}, {}
+"""Queries of the timetable operators over whole tables, each with the SQL that checks it.
+
+The SQL is kept apart from the operators: it states the result another way, for another engine.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rostra.functions import ical
+from rostra.functions.text import clean_text, coerce_count
+from rostra.operators import calendar, ingest, quality, report, search, standardize
+from rostra.operators.snapshots import wall_micros
+from rostra.plans import sql
+from rostra.schema import ALIASES, EXCLUDE_WORDS, RECORD_FIELDS, REQUIRED_WORDS, TARGET_WORDS, TEXT_FIELDS
+from rostra.session import table
+from rostra.sources.html import anchors
+
+QUERIES: dict = {}
+ORACLE: dict[str, str] = {}
+
+
+def query(check: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if check:
+            ORACLE[f.__name__] = check
+        return f
+
+    return register
+
+
+def _records(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "exam_record")
+
+
+def _raw(spark: SparkSession, d: str) -> DataFrame:
+    """Records as their sheets deliver them: nothing derived yet."""
+    return _records(spark, d).select("id", "source_file", "row_index", *ALIASES)
+
+
+def flagship(spark: SparkSession, d: str) -> DataFrame:
+    """Exams of all classes that match a term, from raw time texts, in time order."""
+    records = standardize.to_records(_raw(spark, d))
+    classes = search.matching_classes(records, "星图")
+    return search.in_time_order(records.join(classes, "class_name", "left_semi"), "source_file", "row_index")
+
+
+@query(sql.parsed(f"select id, row_index, {sql.clean('raw_time')} t from exam_record") + f"""
+select id, row_index, {sql.wire("sm")} start_timestamp, {sql.wire("em")} end_timestamp, coalesce(em - sm, 0) duration_minutes,
+       cast(day as varchar) date, error parse_error from parsed""")
+def q01_time_range_parse(spark, d):
+    out = standardize.to_records(_raw(spark, d))
+    return out.select("id", "row_index", "start_timestamp", "end_timestamp", "duration_minutes", "date", "parse_error")
+
+
+@query("select id, row_index, " + ", ".join(f"{sql.clean(f)} {f}" for f in TEXT_FIELDS) + " from exam_record")
+def q02_text_clean(spark, d):
+    return _records(spark, d).select("id", "row_index", *[clean_text(F.col(f)).alias(f) for f in TEXT_FIELDS])
+
+
+_SEVENTH = "^(?:[^,]*,){6}([^,]*)"
+
+
+@query(rf"""
+with a as (select line_id, replace(regexp_extract(line, '{_SEVENTH}', 1), '"', '') cell from exam_raw_line),
+b as (select *, {sql.narrow(sql.strip("cell"))} n from a)
+select line_id, cell, coalesce(case when regexp_full_match(n, '[+-]?[0-9]+(_[0-9]+)*') then try_cast(replace(n, '_', '') as bigint) end, 0) as n from b""")
+def q03_count_coerce(spark, d):
+    cell = F.replace(F.regexp_extract("line", _SEVENTH, 1), F.lit('"'), F.lit(""))
+    return table(spark, d, "exam_raw_line").select("line_id", cell.alias("cell")).withColumn("n", coerce_count(F.col("cell")))
+
+
+def _sheets(spark: SparkSession, d: str) -> list[DataFrame]:
+    """Two shapes of sheets, as their headers name the columns."""
+    r = _records(spark, d)
+    a = {"校区": "campus", "开课学院": "school", "课程代码": "course_code", "班级名称": "class_name", "人数": "count", "考试时间": "raw_time", "考试教室": "location", "其他": "notes"}
+    b = {"校区名称": "campus", "选课课号": "course_code", "课程代码": "course_name", "行政班级": "class_name", "学生人数": "count", "时间": "raw_time", "教室名称": "location", "年级": "grade", "备注": "notes"}
+    return [r.select("id", "row_index", F.lit(s).alias("shape"), *[F.col(v).alias(k) for k, v in m.items()]) for s, m in (("a", a), ("b", b))]
+
+
+_UNION_FIELDS = ["campus", "course_code", "class_name", "location", "grade", "notes"]
+
+
+@query(f"""
+select id, row_index, 'a' shape, {", ".join(f"{sql.clean(f)} {f}" for f in _UNION_FIELDS[:4])}, '' grade, '' notes, coalesce("count", 0) n from exam_record
+union all
+select id, row_index, 'b', {sql.clean("campus")}, {sql.clean("course_name")}, {", ".join(sql.clean(f) for f in _UNION_FIELDS[2:])}, coalesce("count", 0) from exam_record""")
+def q04_alias_resolve_union(spark, d):
+    out = standardize.standardize(_sheets(spark, d), ["id", "row_index", "shape"])
+    return out.select("id", "row_index", "shape", *_UNION_FIELDS, F.col("count").alias("n"))
+
+
+@query("""
+select source_file, row_index, row_number() over (partition by source_file order by row_index, ingested_at) + 1 row_no,
+       source_file || '-' || (row_number() over (partition by source_file order by row_index, ingested_at) + 1) row_id from exam_record""")
+def q05_surrogate_row_id(spark, d):
+    r = _records(spark, d).select("source_file", "row_index", "ingested_at")
+    return standardize.number_rows(r, "source_file", ["row_index", "ingested_at"]).select("source_file", "row_index", "row_no", "row_id")
+
+
+_PROFILED = RECORD_FIELDS
+
+
+@query(" union all ".join(f"""
+select '{c}' "column", '{"int64" if c in ("count", "duration_minutes") else "object"}' kind, count("{c}") non_null, count(*) - count("{c}") nulls,
+       case when count(*) = 0 then 0.0 else round_even(cast(count("{c}") * 100 as decimal(38,8)) / count(*), 1) end non_null_pct, count(distinct "{c}") n_distinct from exam_record""" for c in _PROFILED))
+def q06_column_profile(spark, d):
+    return quality.column_profile(_records(spark, d), _PROFILED)
+
+
+_SAMPLED = ["campus", "course_code", "class_name", "teacher", "location", "school", "grade", "notes", "parse_error"]
+
+
+@query("with v as (" + " union all ".join(f"""
+  select '{c}' "column", "{c}" v, min((source_file, row_index, ingested_at)) as pos from exam_record where "{c}" is not null group by 2""" for c in _SAMPLED) + """),
+r as (select *, row_number() over (partition by "column" order by pos, v) k from v)
+select "column", string_agg(left(v, 30), ', ' order by k) samples from r where k <= 3 group by 1""")
+def q07_first_values(spark, d):
+    order = [F.col("source_file"), F.col("row_index"), F.col("ingested_at")]
+    return quality.first_values(_records(spark, d), _SAMPLED, order)
+
+
+@query("""
+with c as (select source_file, campus, count(*) n, min(row_index) f from exam_record where campus <> '' group by all)
+select source_file, campus, n, row_number() over (partition by source_file order by f, campus) place from c""")
+def q08_campus_histogram(spark, d):
+    return quality.campus_histogram(_records(spark, d), "source_file", "row_index")
+
+
+_STATS = """
+with s as (select source_file, count(*) n_rows, count(*) filter (parse_error is null) parsed, count(*) filter (parse_error is not null) failed,
+  count(distinct nullif(class_name, '')) classes, count(distinct nullif(course_name, '')) courses, min(nullif(date, '')) first_date, max(nullif(date, '')) last_date,
+  coalesce(round_even(cast(sum(duration_minutes) filter (duration_minutes > 0) as decimal(38,8)) / count(*) filter (duration_minutes > 0), 1), 0.0) avg_minutes
+  from exam_record group by 1)
+"""
+
+
+@query(_STATS + "select *, coalesce(first_date || ' ~ ' || last_date, 'N/A') date_range, failed > 0 has_errors from s")
+def q09_file_statistics(spark, d):
+    return quality.file_statistics(_records(spark, d), "source_file")
+
+
+@query(_STATS + """
+select count(*) files, cast(sum(n_rows) as bigint) records, cast(sum(parsed) as bigint) parsed, cast(sum(failed) as bigint) failed,
+       cast(sum(classes) as bigint) classes_approx, cast(sum(courses) as bigint) courses_approx,
+       case when min(first_date) <> max(last_date) then min(first_date) || ' ~ ' || max(last_date) else 'N/A' end date_range,
+       sum(parsed) || '/' || (sum(parsed) + sum(failed)) || ' (' || round_even(cast(sum(parsed) * 100 as decimal(38,8)) / (sum(parsed) + sum(failed)), 1) || '%)' success from s""")
+def q10_overall_statistics(spark, d):
+    return quality.overall_statistics(quality.file_statistics(_records(spark, d), "source_file"))
+
+
+@query("""
+with b as (select *, row_number() over (partition by source_file order by row_index, raw_time) place, count(*) over (partition by source_file) n
+           from exam_record where parse_error is not null)
+select source_file, place, 'Row ' || row_index || ': ' || parse_error || ' (Raw: ''' || raw_time || ''')' message, greatest(n - 10, 0) more from b where place <= 10""")
+def q11_first_errors(spark, d):
+    return quality.first_errors(_records(spark, d), "source_file", "row_index")
+
+
+@query("""
+with c as (select distinct class_name from exam_record where class_name <> '' and contains(upper(class_name), '24A'))
+select row_number() over (order by class_name) place, class_name, greatest((select count(*) from c) - 50, 0) more from c order by class_name limit 50""")
+def q12_class_search(spark, d):
+    return search.listed_classes(_records(spark, d), " 24a ")
+
+
+_TERMS = [("  ", None), ("星", None), ("星图", None), (" 22a0000000", None), ("zz-none", None), ("全校通选班", None), ("xx", "全校通选班"), ("xx", "no such"), ("x", "全校通选班"), ("", None)]
+_TERMS_SQL = ", ".join("('" + t + "', " + (f"'{c}'" if c else "null") + ")" for t, c in _TERMS)
+
+
+@query(f"""
+with t(term, chosen) as (values {_TERMS_SQL}),
+c as (select class_name, count(*) n from exam_record where class_name <> '' group by 1),
+m as (select term, chosen, length(term) >= 2 active, count(class_name) classes, coalesce(sum(n), 0) exams
+      from t left join c on length(term) >= 2 and (case when chosen is not null then class_name = chosen else contains(upper(class_name), upper(trim(term))) end) group by all)
+select term, chosen, case when not active then 'EMPTY' when chosen is not null then 'DETAIL' when classes = 0 then 'NOT_FOUND' when classes = 1 then 'DETAIL' else 'LIST' end as mode,
+       classes, case when active and (chosen is not null or classes = 1) then cast(exams as bigint) end exams from m""")
+def q13_search_modes(spark, d):
+    return search.search_modes(_records(spark, d), spark.createDataFrame(_TERMS, "term string, chosen string"))
+
+
+@query("""
+select id, row_index, start_timestamp from exam_record
+where start_timestamp is not null and id in (select id from exam_record where class_name = '全校通选班')""")
+def q14_selected_exams(spark, d):
+    chosen = _records(spark, d).filter("class_name = '全校通选班'").select("id")
+    return search.selected(_records(spark, d), chosen).select("id", "row_index", "start_timestamp")
+
+
+@query("""
+select id, m as minutes, epoch_us(cast(start_timestamp as timestamptz)) // 1000000 - m * 60 remind_s
+from exam_record, unnest([15, 30, 60, 1440]) u(m) where start_timestamp is not null""")
+def q15_reminders(spark, d):
+    return calendar.reminders_of(_records(spark, d), [60, 15, 1440, 30, 30])
+
+
+def _in(c: str, words: list[str], how: str) -> str:
+    return "(" + f" {how} ".join(f"contains({c}, '{w}')" for w in words) + ")"
+
+
+_TITLE = "split_part(text, chr(10), 1) || ' ' || coalesce(doc_kind, '')"
+_TITLE_OK = f"(not {_in('title', EXCLUDE_WORDS, 'or')} and {_in('title', REQUIRED_WORDS, 'and')} and {_in('title', TARGET_WORDS, 'or')})"
+
+
+@query(f"with t as (select doc_id, text title from documents) select doc_id, coalesce({_TITLE_OK}, false) valid, "
+       f"coalesce({_in('title', EXCLUDE_WORDS, 'or')}, false) excluded, coalesce({_in('title', TARGET_WORDS, 'or')}, false) target from t")
+def q16_title_filter(spark, d):
+    flag = lambda words: F.coalesce(ingest._any(F.col("text"), words), F.lit(False))
+    return table(spark, d, "documents").select(
+        "doc_id", ingest.is_schedule_title(F.col("text")).alias("valid"), flag(EXCLUDE_WORDS).alias("excluded"), flag(TARGET_WORDS).alias("target")
+    )
+
+
+@query("""
+with f as (select distinct series_id page, case file_seq % 4 when 0 then '学生版_' when 1 then '监考_' else '' end || source_file as name from exam_sheet_row where series_id % 3 <> 0
+           union select distinct series_id, case file_seq % 3 when 0 then '巡考_' else '' end || source_file from exam_sheet_row where series_id % 3 = 0),
+a as (select page, bool_or(contains(name, '学生')) any_student from f group by 1)
+select page, name from f join a using (page)
+where case when any_student then contains(name, '学生') else not (contains(name, '监考') or contains(name, '教师') or contains(name, '巡考') or contains(name, '教务员')) end""")
+def q17_attachment_choice(spark, d):
+    seq, page = F.col("file_seq"), F.col("series_id")
+    prefix = F.when(page % 3 != 0, F.when(seq % 4 == 0, "学生版_").when(seq % 4 == 1, "监考_").otherwise("")).otherwise(F.when(seq % 3 == 0, "巡考_").otherwise(""))
+    files = table(spark, d, "exam_sheet_row").select(page.alias("page"), F.concat(prefix, "source_file").alias("name")).distinct()
+    return ingest.chosen_attachments(files, "page")
+
+
+_DIGEST = "md5(coalesce(location, '') || '|' || coalesce(start_timestamp, ''))"
+
+
+@query(f"""
+with s as (select snapshot_no, id as name, max({_DIGEST}) digest from exam_snapshot group by all),
+o as (select * from s where snapshot_no = (select min(snapshot_no) from s)), n as (select * from s where snapshot_no = (select max(snapshot_no) from s))
+select coalesce(o.name, n.name) as name, case when o.name is null then 'added' when n.name is null then 'removed' when o.digest = n.digest then 'same' else 'changed' end as status
+from o full join n on o.name = n.name""")
+def q18_file_changes(spark, d):
+    t = table(spark, d, "exam_snapshot")
+    digest = F.md5(F.concat(F.coalesce("location", F.lit("")), F.lit("|"), F.coalesce("start_timestamp", F.lit(""))))
+    ends = t.agg(F.min("snapshot_no").alias("a"), F.max("snapshot_no").alias("b")).first()
+    side = lambda n: t.filter(F.col("snapshot_no") == n).groupBy(F.col("id").alias("name")).agg(F.max(digest).alias("digest"))
+    return ingest.file_changes(side(ends["a"]), side(ends["b"]))
+
+
+@query("""
+with a as (select id, class_name, notes, row_index from exam_record), b as (select id, class_name, notes || ' ' as notes, row_index from exam_record)
+select 'same' pair, not exists (select * from a except all select * from a) and not exists (select * from a except all select * from a) equal
+union all select 'other', not exists (select * from a except all select * from b) and not exists (select * from b except all select * from a)""")
+def q19_dataset_equality(spark, d):
+    a = _records(spark, d).select("id", "class_name", "notes", "row_index")
+    b = a.withColumn("notes", F.concat("notes", F.lit(" "))).select(*a.columns)
+    pairs = (("same", a), ("other", b))
+    rows = [ingest.rows_differ(a, x).select(F.lit(name).alias("pair"), "equal") for name, x in pairs]
+    return rows[0].unionAll(rows[1])
+
+
+_ESC = lambda c: f"replace(replace(replace(replace({c}, chr(92), chr(92) || chr(92)), ',', chr(92) || ','), ';', chr(92) || ';'), chr(10), chr(92) || 'n')"
+_DESC = """concat_ws(chr(10), '课程代码: ' || coalesce(nullif(course_code, ''), '-'), '教师: ' || coalesce(nullif(teacher, ''), '未知'), '班级: ' || coalesce(class_name, ''),
+  '人数: ' || coalesce("count", 0), case when notes <> '' then '备注: ' || notes end, 'footer')"""
+_STAMP_SQL = "regexp_replace(regexp_replace(regexp_replace(nullif({c}, ''), '([+-][0-9]{{2}}:?[0-9]{{2}}|Z)$', ''), '[-:]', '', 'g'), '\\.[0-9]+$', '')"
+
+
+@query(f"""
+select id, row_index, {_STAMP_SQL.format(c="start_timestamp")} dtstart, {_STAMP_SQL.format(c="end_timestamp")} dtend,
+  {_ESC("'考试: ' || coalesce(course_name, '')")} summary, {_ESC("case when coalesce(campus, '') <> '' then '[' || campus || '] ' else '' end || coalesce(location, '')")} place,
+  {_ESC(_DESC)} description from exam_record""")
+def q20_calendar_fields(spark, d):
+    c = F.col
+    return _records(spark, d).select(
+        "id", "row_index", ical.calendar_stamp(c("start_timestamp")).alias("dtstart"), ical.calendar_stamp(c("end_timestamp")).alias("dtend"),
+        ical.escape(F.concat(F.lit("考试: "), F.coalesce("course_name", F.lit("")))).alias("summary"), ical.escape(ical.place(c("campus"), c("location"))).alias("place"),
+        ical.escape(ical.description(c("course_code"), c("teacher"), c("class_name"), c("count"), c("notes"), "footer")).alias("description"),
+    )
+
+
+@query("""
+with h as (select id, row_index, list_reduce(list_prepend(0::bigint, list_transform(string_split(id, ''), lambda x: ord(x)::bigint)), lambda a, b: (a * 31 + b) % 4294967296) u from exam_record)
+select id, row_index, 'exam-' || lower(to_base(abs(case when u >= 2147483648 then u - 4294967296 else u end), 36)) || '-' || row_index || '@example.org' uid from h""")
+def q21_calendar_uid(spark, d):
+    return _records(spark, d).select("id", "row_index", ical.uid(F.col("id"), F.col("row_index"), "example.org").alias("uid"))
+
+
+@query()
+def q22_calendar_fold(spark, d):
+    """Folded description lines; no SQL, checked against a brute-force fold in the tests."""
+    c = F.col
+    text = ical.escape(ical.description(c("course_code"), c("teacher"), c("class_name"), c("count"), c("notes"), "footer"))
+    return _records(spark, d).select("id", "row_index", ical.fold(F.concat(F.lit("DESCRIPTION:"), text)).alias("folded"))
+
+
+_HTML = """'<div class="col_news_con"><ul><li class="news"><a href="../files/' || row_index || '/' || source_file || '" title="x"><b>' || source_file || '</b></a></li>' ||
+  '<li><a class="m" href="page.htm?x=' || file_seq || '">more</a><a href="/up/a*' || file_seq || '.XLS">open</a></li></ul></div>'"""
+_BASE = "https://example.org/a/b/list.htm"
+
+
+@query(f"""
+with p as (select sheet_row_id, {_HTML} html from exam_sheet_row),
+l as (select sheet_row_id, unnest(regexp_extract_all(html, '<a[^>]*?href="([^"]*)"[^>]*>.*?</a>', 1)) href, unnest(regexp_extract_all(html, '<a[^>]*?href="[^"]*"[^>]*>(.*?)</a>', 1)) inner_html from p),
+t as (select sheet_row_id, href, regexp_replace(inner_html, '<[^>]*>', '', 'g') text from l where regexp_matches(lower(href), '\\.xlsx?$'))
+select sheet_row_id, href, case when starts_with(href, '../') then 'https://example.org/a/' || href[4:] when starts_with(href, '/') then 'https://example.org' || href else 'https://example.org/a/b/' || href end url,
+  regexp_replace(case when regexp_matches(lower(text), '\\.xlsx?$') then text else regexp_extract(href, '[^/]*$') end, '[\\\\/*?:"<>|]', '', 'g') as name from t""")
+def q23_link_extract(spark, d):
+    c, text = F.col, F.lit
+    html = F.concat(
+        text('<div class="col_news_con"><ul><li class="news"><a href="../files/'), c("row_index"), text("/"), c("source_file"), text('" title="x"><b>'), c("source_file"), text("</b></a></li>"),
+        text('<li><a class="m" href="page.htm?x='), c("file_seq"), text('">more</a><a href="/up/a*'), c("file_seq"), text('.XLS">open</a></li></ul></div>'),
+    )
+    links = table(spark, d, "exam_sheet_row").select("sheet_row_id", F.explode(anchors(html)).alias("l")).select("sheet_row_id", "l.href", "l.text")
+    return links.filter(ingest.is_workbook_link(c("href"))).select(
+        "sheet_row_id", "href", ingest.absolute_url(_BASE, c("href")).alias("url"), ingest.attachment_name(c("text"), c("href")).alias("name")
+    )
+
+
+@query("""
+with s as (select course_code, list_sort(list(distinct row_index % 5)) chosen from exam_record where course_code is not null group by 1)
+select course_code, list_sort(case when list_contains(chosen, 3) then list_filter(chosen, lambda x: x <> 3) else list_append(chosen, 3) end)::varchar toggled from s""")
+def q24_toggle_sets(spark, d):
+    sets = _records(spark, d).filter("course_code is not null").groupBy("course_code").agg(F.collect_set(F.col("row_index") % 5).alias("chosen"))
+    return sets.select("course_code", F.array_sort(ical.toggle(F.col("chosen"), F.lit(3))).cast("string").alias("toggled"))
+
+
+@query("""
+with e as (select event_id, epoch_us(ts) // 1000000 s from events)
+select event_id, s // 86400 as "days", (s // 3600) % 24 as "hours", (s // 60) % 60 as "minutes", s % 60 as "seconds" from e""")
+def q25_elapsed(spark, d):
+    t = table(spark, d, "events")
+    return t.select("event_id", ical.elapsed(F.floor(wall_micros(t, "ts") / 1_000_000)).alias("e")).select("event_id", "e.*")
+
+
+_CARD = {"course_code": "No Code", "location": "地点待定", "teacher": "未知", "raw_time": "未发布"}
+
+
+@query("select id, row_index, " + ", ".join(f"coalesce(nullif({c}, ''), '{v}') {c}" for c, v in _CARD.items()) + """, coalesce(cast("count" as varchar), '-') as "count" from exam_record""")
+def q26_card_defaults(spark, d):
+    cells = [F.coalesce(F.nullif(c, F.lit("")), F.lit(v)).alias(c) for c, v in _CARD.items()]
+    return _records(spark, d).select("id", "row_index", *cells, F.coalesce(F.col("count").cast("string"), F.lit("-")).alias("count"))
+
+
+@query("select doc_id, replace(left(text, 25), chr(10), ' ') short, replace(replace(left(text, 20), chr(10), ' '), '|', '/') raw from documents")
+def q27_display_cut(spark, d):
+    return table(spark, d, "documents").select("doc_id", report.display(F.col("text"), 25).alias("short"), report.display(F.col("text"), 20, True).alias("raw"))
+
+
+@query("select id, row_index, case when coalesce(class_name, '') <> '' then class_name end as chosen from exam_record")
+def q28_share_class(spark, d):
+    """The class that the share URL of a record selects again: encoded and decoded."""
+    url = search.share_url("https://example.org/", F.col("class_name"))
+    return _records(spark, d).select("id", "row_index", search.share_class(url).alias("chosen"))
+
+
+@query("""
+select source_file, row_index, row_number() over (partition by source_file order by start_timestamp nulls last, row_index, ingested_at) place from exam_record""")
+def q29_time_order(spark, d):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("source_file").orderBy(F.col("start_timestamp").asc_nulls_last(), "row_index", "ingested_at")
+    return _records(spark, d).select("source_file", "row_index", F.row_number().over(w).alias("place"))
+
+
+@query()
+def q30_calendar_lines(spark, d):
+    """The calendar file of one class, as lines; no SQL (folding), checked in the tests."""
+    r = _records(spark, d)
+    first = r.filter("class_name > '' and class_name <> '全校通选班'").agg(F.min("class_name")).first()[0]
+    exams = r.filter(F.col("class_name") == F.lit(first)).dropDuplicates(["id"])
+    return calendar.calendar_lines(exams, str(first), "20260101T000000Z")
+
+
+@query(f"""
+with t as (select doc_id pos, text title from documents) select pos, title from t where {_TITLE_OK} order by pos limit 1""")
+def q31_newest_notice(spark, d):
+    return ingest.newest_notice(table(spark, d, "documents").select(F.col("doc_id").alias("pos"), F.col("text").alias("title")))
+
+
+@query("""
+select '2026-01-01T00:00:00+08:00' generated_at, to_json(list_sort(list(distinct source_file))) files_processed, count(*) total_records,
+       'https://example.org/n' source_url, null::varchar source_title from exam_record""")
+def q32_manifest(spark, d):
+    source = spark.createDataFrame([("https://example.org/n", None)], "source_url string, source_title string")
+    out = report.manifest(_records(spark, d), "source_file", "2026-01-01T00:00:00+08:00", source)
+    return out.withColumn("files_processed", F.to_json("files_processed"))
+
+
+@query("select id, row_index, to_json(struct_pack(" + ", ".join(f'"{f}" := "{f}"' for f in RECORD_FIELDS) + ")) json from exam_record")
+def q33_record_json(spark, d):
+    return _records(spark, d).select("id", "row_index", report.record_json(_records(spark, d)).alias("json"))
+
+
+@query("""
+with r as (select source_file, row_index, class_name, row_number() over (partition by source_file order by row_index, ingested_at) k from exam_record)
+select source_file, row_index, class_name from r where k <= 3""")
+def q34_first_rows(spark, d):
+    r = _records(spark, d).select("source_file", "row_index", "class_name", "ingested_at")
+    return ingest.first_row_per(r, ["source_file"], ["row_index", "ingested_at"], 3).drop("ingested_at")
