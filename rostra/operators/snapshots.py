@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rostra.functions.text import strip
-from rostra.session import broadcast_if_small
 
 _SHIFT = "18446744073709551616"  # 2^64
 
@@ -33,6 +32,18 @@ def exam_state(df: DataFrame) -> Column:
     return F.xxhash64(_instant(df["start_timestamp"]), place)
 
 
+def _ordinals(df: DataFrame, snapshot: str, most: int = 10_000) -> DataFrame:
+    """(_s, _o): the snapshot numbers present, counted from 1. Up to `most` of them, one row per delivery, are read once
+    and broadcast as a local table; beyond that they stay distributed and are numbered by a window over
+    one row per delivery, without a broadcast."""
+    numbers = df.select(F.col(snapshot).alias("_s")).filter("_s is not null").distinct()
+    present = sorted(r["_s"] for r in numbers.limit(most + 1).collect())
+    if len(present) > most:
+        return numbers.withColumn("_o", F.row_number().over(Window.orderBy("_s")))
+    kind = numbers.schema["_s"].dataType.simpleString()
+    return F.broadcast(df.sparkSession.createDataFrame([(s, i) for i, s in enumerate(present, 1)], f"_s {kind}, _o int"))
+
+
 def validity_intervals(
     df: DataFrame, state: Column, key: str = "id", snapshot: str = "snapshot_no", version: str = "ingested_at"
 ) -> tuple[DataFrame, DataFrame]:
@@ -52,10 +63,8 @@ def validity_intervals(
     ).filter("_k is not null and _s is not null")
     order = F.col("_v").cast("decimal(20,0)") * F.lit(_SHIFT).cast("decimal(20,0)") + F.col("_h").cast("decimal(20,0)")
     latest = base.groupBy("_k", "_s").agg(F.max_by("_h", order.cast("decimal(38,0)")).alias("_h"))
-    # one row per delivery; numbering them in one task is bounded by the number of deliveries
-    numbers = df.select(F.col(snapshot).alias("_s")).filter("_s is not null").distinct()
-    ordinals = numbers.withColumn("_o", F.row_number().over(Window.orderBy("_s")))
-    dated = latest.join(broadcast_if_small(ordinals), "_s").select("_k", "_h", "_o").repartition("_k")
+    ordinals = _ordinals(df, snapshot)
+    dated = latest.join(ordinals, "_s").select("_k", "_h", "_o").repartition("_k")
     run = F.col("_o") - F.row_number().over(Window.partitionBy("_k", "_h").orderBy("_o"))
     intervals = (
         dated.withColumn("_run", run)
@@ -76,7 +85,6 @@ def snapshot_changes(
     snapshot give no rows; further columns of any name are ignored.
     """
     intervals, ordinals = validity_intervals(df, state, key, snapshot, version)
-    ordinals = broadcast_if_small(ordinals)
     w = Window.partitionBy(key).orderBy("first_ord")
     before, after = F.lag("last_ord").over(w), F.lead("first_ord").over(w)
     start = F.when(F.col("before") == F.col("first_ord") - 1, "changed").otherwise("added")
