@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,7 +22,7 @@ _NONE = np.int64(2**62)  # key of a pair that can't be merged
 _MANY = 24  # words from which a size class is encoded as one matrix of trees
 _CELLS = 2_000_000  # tree cells of one matrix at most
 _KEPT_IDS = 3_000_000  # ids of remembered words at most
-_BATCH_CHARS = 4_000_000  # characters of the texts that are encoded together
+_BATCH_BYTES = 8_000_000  # bytes of the texts that are encoded together
 
 
 def _byte_characters() -> list[str]:
@@ -218,16 +219,14 @@ class Encoder:
         return ids, np.diff(bounds)
 
 
-def _parts(texts: list[str | None]) -> Iterator[tuple[int, int]]:
-    """Runs of texts of about _BATCH_CHARS characters."""
-    start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
-        if size >= _BATCH_CHARS:
-            yield start, i + 1
-            start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+def _parts(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about _BATCH_BYTES together; only these become Python strings at a time."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    start = 0
+    while start < len(texts):
+        end = int(np.searchsorted(sizes, (sizes[start - 1] if start else 0) + _BATCH_BYTES)) + 1
+        yield start, min(end, len(texts))
+        start = end
 
 
 def _encoded(df: DataFrame, id_column: str, text_column: str, tokenizer: str, counts_only: bool) -> DataFrame:
@@ -236,9 +235,9 @@ def _encoded(df: DataFrame, id_column: str, text_column: str, tokenizer: str, co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(tables.value)
         for batch in batches:
-            keys, texts = batch.column(0), batch.column(1).to_pylist()
+            keys, texts = batch.column(0), batch.column(1)
             for lo, hi in _parts(texts):
-                ids, counts = encoder.encode(texts[lo:hi])
+                ids, counts = encoder.encode(texts.slice(lo, hi - lo).to_pylist())
                 if counts_only:
                     value = pa.array(counts, pa.int64())
                 else:
