@@ -76,20 +76,21 @@ def pack(items: DataFrame, capacity: int = CAPACITY, shard_items: int = SHARD_IT
     all containers that are less than full are packed again as items of their own, by one stream per 256 shards.
     Rows are ordered within shards, so a task that is run again gives the same containers.
     """
-    whole = items.select(F.col("item"), F.greatest(F.coalesce(F.col("size").cast("bigint"), F.lit(0)), F.lit(0)).alias("all"))
+    # the row number keeps repeated items apart, so that their pieces spread over the shards
+    whole = items.select(F.col("item"), F.monotonically_increasing_id().alias("row"), F.greatest(F.coalesce(F.col("size").cast("bigint"), F.lit(0)), F.lit(0)).alias("all"))
     sized = checkpointed(whole)  # sizes are dear (tokens), and counted before they are packed
     n = shards or max(1, -(-sized.count() // shard_items))
     c = F.lit(capacity)
     full = F.floor(F.col("all") / c).cast("bigint")
     # floor(all/capacity) full pieces, then the rest if there is one
     pieces = sized.filter("all > 0").select(
-        "item", "all", F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("all") / c).cast("bigint") - 1)).alias("piece")
+        "item", "row", "all", F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("all") / c).cast("bigint") - 1)).alias("piece")
     )
     pieces = pieces.select(
-        "item", F.col("piece").cast("int").alias("piece"), (F.col("piece") * c).alias("item_start"),
+        "item", "row", F.col("piece").cast("int").alias("piece"), (F.col("piece") * c).alias("item_start"),
         F.least(c.cast("bigint"), F.col("all") - F.col("piece") * c).alias("size"),
     )
-    spread = pieces.repartition(n, F.xxhash64("item", "piece")).sortWithinPartitions("item", "piece", "size")
+    spread = pieces.repartition(n, F.xxhash64("row", "piece")).sortWithinPartitions("row", "piece")
     schema = "item bigint, piece int, item_start bigint, size bigint, container bigint, container_start bigint"
     packed = checkpointed(spread.mapInPandas(lambda b: _pack(b, capacity), schema))
     if n > 1:
