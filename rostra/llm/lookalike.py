@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rostra.session import checkpointed, skew_safe_join
+
 # Cyrillic and Greek letters that look like a Latin letter, in pairs.
 _LOOKALIKES = (
     "АA ВB ЕE ЅS ІI ЈJ КK МM НH ОO РP СC ТT ХX ҮY ԚQ ԜW аa еe оo рp сc уy хx ѕs іi јj ԛq ԝw һh ԁd ӏl "
@@ -150,8 +152,6 @@ def lookalike_pairs(docs: DataFrame, block: int = 20_000) -> DataFrame:
     those of the other texts, which is the result itself; texts with many copies are split into blocks of `block`
     documents, so no task has more than one block of a text at a time.
     """
-    from rostra.session import checkpointed
-
     # canonical forms are made once; they are used for the class counts and for both sides
     prints = checkpointed(_fingerprints(docs.filter("text is not null and doc_id is not null")))
     texts = prints.groupBy("look", "chars").agg(F.count(F.lit(1)).alias("n"))
@@ -164,7 +164,8 @@ def lookalike_pairs(docs: DataFrame, block: int = 20_000) -> DataFrame:
     seq = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     pairs = pairs.withColumn("block_1", seq("blocks_1")).withColumn("block_2", seq("blocks_2"))
     # documents of a text in their blocks; only texts that have a partner
-    parts = prints.join(several.select("look", "chars", "blocks"), ["look", "chars"]).select(
+    met = skew_safe_join(prints, several.select("look", "chars", "n", "blocks"), ["look", "chars"], "n", "doc_id", prints.count())
+    parts = met.select(
         "chars", "doc_id", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block")
     )
     side = lambda k: parts.select(F.col("chars").alias(f"chars_{k}"), F.col("block").alias(f"block_{k}"), F.col("doc_id").alias(f"d{k}"))
