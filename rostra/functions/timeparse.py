@@ -21,7 +21,7 @@ ISO = r"\(?(\d{4})-(\d{1,2})-(\d{1,2})\)?" + _RANGE
 def _parts(c: Column, pattern: str) -> Column:
     """All five groups of the leftmost match in one pass of the regex engine; null where none matches."""
     out = F.regexp_replace(c, rf"(?U)(?d)^[\s\S]*?{pattern}[\s\S]*$", _SEP + _SEP.join(f"${i}" for i in range(1, 6)))
-    return F.when(out.startswith(_SEP), F.split(out, _SEP))
+    return let(out, lambda x: F.when(x.startswith(_SEP), F.split(x, _SEP)))
 
 
 def parse_time_range(raw: Column) -> Column:
@@ -31,6 +31,10 @@ def parse_time_range(raw: Column) -> Column:
     (all or nothing); `minutes` is negative where the end is the earlier one. Null and empty texts give the
     missing error, texts in neither notation the unrecognized one, impossible dates or clock times the third.
     """
+    return let(raw, _parse)
+
+
+def _parse(raw: Column) -> Column:
     cn, iso = _parts(raw, CHINESE), _parts(raw, ISO)
     found = F.coalesce(F.concat(F.array(F.lit("cn")), cn), F.concat(F.array(F.lit("iso")), iso))
     numbers = let(found, _numbers)

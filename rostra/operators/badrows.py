@@ -139,15 +139,18 @@ def parse_lines(lines: DataFrame, line: str = "line") -> DataFrame:
 
 def rejected_lines(lines: DataFrame) -> DataFrame:
     """(line_id, reason) of the lines below a header that aren't valid."""
-    return parse_lines(lines.filter("line_no > 1").select("line_id", "line")).filter("reason is not null").select("line_id", "reason").distinct()
+    parsed = parse_lines(lines.filter("line_no > 1").select("line_id", "line"))
+    # a generator, not a filter, which would be pushed below and repeat the checks
+    return parsed.select("line_id", F.explode(F.when(F.col("reason").isNotNull(), F.array("reason"))).alias("reason")).distinct()
 
 
 def loaded_lines(lines: DataFrame) -> DataFrame:
     """The valid lines below a header as records: cleaned text, integer count, parsed times."""
-    ok = parse_lines(lines.filter("line_no > 1").select("line_id", "file_name", "line_no", "line")).filter("reason is null")
-    text = {c: clean_text(F.col(c)) for c in RAW_COLUMNS if c != "count"}
-    return ok.withColumns(text | {"count": coerce_count(F.col("count"))}).select(
-        "line_id", "file_name", "line_no", *RAW_COLUMNS,
+    parsed = parse_lines(lines.filter("line_no > 1").select("line_id", "file_name", "line_no", "line"))
+    text = {c: clean_text(F.col(c)) for c in RAW_COLUMNS if c != "count"} | {"count": coerce_count(F.col("count"))}
+    record = F.struct(
+        "line_id", "file_name", "line_no", *[text[c].alias(c) for c in RAW_COLUMNS],
         beijing_text(F.col("_time.start_s")).alias("start_timestamp"), beijing_text(F.col("_time.end_s")).alias("end_timestamp"),
         F.col("_time.minutes").alias("duration_minutes"), F.col("_time.date").alias("date"),
     )
+    return parsed.select(F.inline(F.when(F.col("reason").isNull(), F.array(record))))

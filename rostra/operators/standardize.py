@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rostra.functions.text import clean_text, coerce_count, coerce_number
-from rostra.functions.timeparse import beijing_text, let, parse_time_range
+from rostra.functions.timeparse import beijing_text, parse_time_range
 from rostra.schema import ALIASES, RECORD_FIELDS, TEXT_FIELDS
 
 
@@ -47,7 +47,7 @@ def to_records(df: DataFrame) -> DataFrame:
     rest = [c for c in df.columns if c not in RECORD_FIELDS or c == "id"]
     clean = df.withColumns({f: clean_text(F.col(f)) for f in TEXT_FIELDS} | {"count": count_value(df, "count")})
     # the parsed parts are taken in one projection above the parse, which is evaluated once
-    parsed = clean.withColumn("_t", let(F.col("raw_time"), parse_time_range))
+    parsed = clean.withColumn("_t", parse_time_range(F.col("raw_time")))
     return parsed.select(
         *rest, *TEXT_FIELDS[:7], "count", *TEXT_FIELDS[7:],
         beijing_text(F.col("_t.start_s")).alias("start_timestamp"), beijing_text(F.col("_t.end_s")).alias("end_timestamp"),
