@@ -130,9 +130,10 @@ def normalise_times(feed: DataFrame, campus_zone: DataFrame) -> DataFrame:
         **{f"_{e}_offset": _offset_minutes(of(e)("z")) for e in ("lo", "hi")},
         **{f"_{e}_named": F.when(of(e)("z") == "", F.col("_home")).otherwise(of(e)("zone")) for e in ("lo", "hi")},
     })
-    utc = lambda c: F.coalesce(
-        c("epoch"), c("wall") - c("offset") * 60, F.when(c("named").isin(zones), _by_zone(c("wall"), F.when(c("named").isin(zones), c("named"))))
-    )
+    # one parsed expression, not a literal object for each of some hundred names
+    listed = ", ".join(f"'{z}'" for z in zones)
+    rows = rows.withColumns({f"_{e}_zone": F.expr(f"case when _{e}_named in ({listed}) then _{e}_named end") for e in ("lo", "hi")})
+    utc = lambda c: F.coalesce(c("epoch"), c("wall") - c("offset") * 60, F.when(c("zone").isNotNull(), _by_zone(c("wall"), c("zone"))))
     rows = rows.withColumns({f"_{e}": utc(of(e)) for e in ("lo", "hi")})
     both = F.col("_lo").isNotNull() & F.col("_hi").isNotNull()
     text = lambda c: F.when(both, F.concat(clock_text(F.col(c)), F.lit("Z")))
