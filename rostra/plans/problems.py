@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from rostra.operators import badrows, drift, intervals, packed, snapshots, timestamps
+from rostra.plans import sql
+from rostra.schema import MISSING_TIME, UNRECOGNIZED_TIME
 from rostra.session import table
 
 
@@ -43,19 +45,12 @@ def p6_standard(spark, d):
 
 QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_loaded, p3_found, p4_found, p5_found, p6_found, p6_standard)}
 
-_SPACE = r"[\s\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{1c}-\x{1f}]"
-_D = "[0-9０-９]"
-_CLOCK = f"{_D}{{1,2}}:{_D}{{2}}"
-_RANGE = rf".*?({_CLOCK}){_SPACE}*[-~至]{_SPACE}*({_CLOCK})"
-_CN = f"({_D}{{4}})年({_D}{{1,2}})月({_D}{{1,2}})日{_RANGE}"
-_ISO = rf"\(?({_D}{{4}})-({_D}{{1,2}})-({_D}{{1,2}})\)?{_RANGE}"
 _CELL = '"(?:[^"]|"")*"|[^",]*'
-_HOUR = f"^(2[0-3]|[01]{_D}|{_D}):[0-5]{_D}$"
-_STRIP = f"regexp_replace(regexp_replace(%s, '^{_SPACE}+', ''), '{_SPACE}+$', '')"
+
 
 _P1 = f"""
 with r as (
-  select snapshot_no, id, epoch_us(cast(start_timestamp as timestamptz)) st, coalesce({_STRIP % "replace(location, chr(160), ' ')"}, '') loc,
+  select snapshot_no, id, epoch_us(cast(start_timestamp as timestamptz)) st, coalesce({sql.strip("replace(location, chr(160), ' ')")}, '') loc,
          row_number() over (partition by snapshot_no, id order by ingested_at desc) k
   from exam_snapshot where id is not null and snapshot_no is not null),
 l as (select * exclude k from r where k = 1),
@@ -68,22 +63,19 @@ from a full join b on a.snapshot_no = b.snapshot_no and a.id = b.id
 where a.id is null or b.id is null or a.st is distinct from b.st or a.loc <> b.loc
 """
 
-_P2_PARSED = rf"""
-with l as (select line_id, file_name, line_no, regexp_replace(coalesce(line, ''), '\r$', '') line from exam_raw_line where line_no > 1),
-q as (select *, regexp_full_match(line, '(?:{_CELL})(?:,(?:{_CELL}))*') quoted,
-             regexp_extract_all(',' || line, ',({_CELL})', 1) f from l),
-v as (select *, case when f[7] like '"%' then replace(f[7][2:-2], '""', '"') else f[7] end n,
-             replace(case when f[8] like '"%' then replace(f[8][2:-2], '""', '"') else f[8] end, chr(160), ' ') t0 from q),
-s as (select *, {_STRIP % "n"} count_text, {_STRIP % "t0"} t from v),
-m as (select *, regexp_extract(t, '{_CN}', ['y','m','d','s','e']) cn, regexp_extract(t, '{_ISO}', ['y','m','d','s','e']) iso from s),
-p as (select *, case when cn.y <> '' then cn else iso end as g from m),
-c as (select *, translate(g.y, '０１２３４５６７８９', '0123456789') yy, translate(g.m, '０１２３４５６７８９', '0123456789') mm,
-             translate(g.d, '０１２３４５６７８９', '0123456789') dd from p),
-k as (select *, try_cast(yy || '-' || mm || '-' || dd as date) is not null and yy <> '0000' and regexp_matches(g.s, '{_HOUR}')
-             and regexp_matches(g.e, '{_HOUR}') and (cn.y <> '' or regexp_matches(iso.m, '^[0-9]+$') and regexp_matches(iso.d, '^[0-9]')) possible from c),
-w as (select *, case when not quoted then 'broken_quoting' when len(f) <> 9 then 'column_count'
-        when not regexp_matches(count_text, '^[0-9０-９]*$') then 'bad_count' when t = '' then 'missing_time'
-        when g.y = '' then 'unrecognized_time' when not possible then 'impossible_time' end reason from k)
+_BARE = lambda k: f"case when f[{k}] like '\"%' then replace(f[{k}][2:-2], '\"\"', '\"') else f[{k}] end"
+_P2_PARSED = sql.parsed(f"""
+  select *, {sql.strip(_BARE(7))} n, {sql.clean(_BARE(8))} t from (
+    select *, regexp_full_match(line, '(?:{_CELL})(?:,(?:{_CELL}))*') quoted, regexp_extract_all(',' || line, ',({_CELL})', 1) f from (
+      select line_id, file_name, line_no, regexp_replace(coalesce(line, ''), '\\r$', '') line from exam_raw_line where line_no > 1))""") + f""",
+w as (select *, case when not quoted then 'broken_quoting' when len(f) <> 9 then 'column_count' when not regexp_matches(n, '^{sql.D}*$') then 'bad_count'
+        when error = '{MISSING_TIME}' then 'missing_time' when error = '{UNRECOGNIZED_TIME}' then 'unrecognized_time'
+        when error is not null then 'impossible_time' end reason from parsed)
+"""
+_P2_LOADED = _P2_PARSED + f"""
+select line_id, file_name, line_no, {", ".join(f'{sql.clean(_BARE(i + 1))} "{c}"' for i, c in enumerate(badrows.RAW_COLUMNS) if c != "count")},
+  coalesce(try_cast({sql.narrow("n")} as bigint), 0) "count", {sql.wire("sm")} start_timestamp, {sql.wire("em")} end_timestamp,
+  em - sm duration_minutes, cast(day as varchar) date from w where reason is null
 """
 
 _P3 = """
@@ -106,7 +98,7 @@ _NARROW = "".join(map(chr, range(0x21, 0x7F))).replace("'", "''")
 
 def _key(c: str) -> str:
     narrow = f"translate({c}, '{_WIDE}', '{_NARROW}')"
-    return f"lower(regexp_replace({narrow}, '(?:{_SPACE}|[_\\x{{feff}}])+', '', 'g'))"
+    return f"lower(regexp_replace({narrow}, '(?:{sql.SPACE}|[_\\x{{feff}}])+', '', 'g'))"
 
 
 _P6 = f"""
@@ -134,9 +126,49 @@ select source_file, field, 'renamed' from z where was and is_now and h0 <> h1 un
 select source_file, field, 'retyped' from z where was and is_now and t0 <> t1
 """
 
+_QUOTED = '"(?:[^"]|"")*"|“[^”]*”|「[^」]*」'
+_P4 = rf"""
+with r as (select distinct id, teacher from exam_record where teacher is not null),
+g as (select id, teacher, regexp_replace(regexp_replace(teacher, '[ \x{{a0}}]+(?:与|及|and)[ \x{{a0}}]', ';', 'g'), '[ \x{{a0}}]{{2,}}', ';', 'g') t from r),
+v as (select id, teacher, list_filter(list_transform(regexp_extract_all(t, '(?:{_QUOTED}|[(（\[][^)）\]]*[)）\]]|[^、，,；;/／|｜&＆\n\r\t\x{{3000}}])+'),
+        lambda x: {sql.strip("x")}), lambda x: x <> '') l from g),
+u as (select id, teacher, list_transform(l, lambda x: {sql.strip("case when regexp_full_match(x, '" + _QUOTED + "') then replace(x[2:-2], chr(34) || chr(34), chr(34)) else x end")}) l from v where len(l) > 1)
+select distinct id, unnest(range(1, len(l) + 1))::int pos, unnest(l) teacher from u
+"""
+
+_FORMATS = [
+    "%Y-%m-%dT%H:%M:%S", "%Y-%m-%dT%H:%M", "%Y-%m-%d %H:%M:%S", "%Y-%m-%d %H:%M", "%Y/%m/%d %H:%M:%S", "%Y.%m.%d %H:%M", "%Y%m%d%H%M%S", "%Y%m%dT%H%M%S",
+    "%Y年%m月%d日 %H:%M", "%Y年%m月%d日 %p %I:%M", "%d %b %Y, %H:%M", "%d %b %Y %H:%M:%S", "%b %d, %Y %I:%M %p",
+]
+_ZONE = "Z|北京时间|(?:UTC|GMT)?[+-][0-9]{1,2}(?::?[0-9]{2})?|UTC|GMT|[A-Z][A-Za-z]+/[A-Za-z_]+"
+_P5 = rf"""
+with c as (select campus, min(zone_id) home from campus_zone group by 1),
+f as (select feed_id, home, {sql.strip("coalesce(start_timestamp, '')")} a, {sql.strip("coalesce(end_timestamp, '')")} b, coalesce(raw_time, '') r from exam_time_feed left join c using (campus)),
+g as (select *, regexp_extract(r, '([0-9]{{4}})(?:年|-)([0-9]{{1,2}})(?:月|-)([0-9]{{1,2}}).*?([0-9]{{1,2}}:[0-9]{{2}})[-~至]([0-9]{{1,2}}:[0-9]{{2}})\)?(.*)$', ['y','m','d','s','e','z']) k from f),
+s as (select feed_id, home, side, case when a <> '' or b <> '' then if(side = 0, a, b) when k.y = '' then ''
+        else k.y || '-' || k.m || '-' || k.d || ' ' || if(side = 0, k.s, k.e) || ' ' || regexp_replace(k.z, '[ ()（）]', '', 'g') end x from g, unnest([0, 1]) u(side)),
+b1 as (select *, regexp_replace(regexp_replace({sql.strip("x")}, '\[[^\]]*\]$', ''), '^[A-Z][a-z]{{2}}, ', '') y from s),
+b2 as (select *, regexp_extract(y, '[0-9 ]({_ZONE})$', 1) z from b1),
+b3 as (select *, case when z = '' then y else y[1:len(y) - len(z)] end w from b2),
+b4 as (select *, replace(replace(regexp_replace(trim(w), '(:[0-9]{{2}})\.[0-9]+$', '\1'), '上午', ' AM '), '下午', ' PM ') w2 from b3),
+b5 as (select *, try_strptime(w2, {_FORMATS!r}) ts, regexp_extract(z, '^(?:UTC|GMT)?([+-])([0-9]{{1,2}}):?([0-9]{{2}})?$', ['s','h','m']) o from b4),
+b6 as (select *, case when z in ('Z', 'UTC', 'GMT') then 0 when z = '北京时间' then 480
+             when o.s <> '' then if(o.s = '-', -1, 1) * (try_cast(o.h as int) * 60 + coalesce(try_cast(o.m as int), 0)) end mins, case when contains(z, '/') then z when z = '' then home end zn from b5),
+b7 as (select *, case when regexp_full_match(y, '[0-9]{{10}}') then try_cast(y as bigint) when regexp_full_match(y, '[0-9]{{13}}') then try_cast(y as bigint) // 1000
+             when mins is not null then epoch_us(ts) // 1000000 - mins * 60
+             -- of a time that occurs twice the function takes the later instant
+             when zn is not null and ts is not null then epoch_us(case when timezone(zn, timezone(zn, ts) - interval 1 hour) = ts then timezone(zn, ts) - interval 1 hour else timezone(zn, ts) end) // 1000000 end t from b6),
+w as (select feed_id, min(t) filter (side = 0) lo, min(t) filter (side = 1) hi from b7 group by 1)
+select feed_id, strftime(make_timestamp(lo * 1000000), '%Y-%m-%dT%H:%M:%SZ') start_utc, strftime(make_timestamp(hi * 1000000), '%Y-%m-%dT%H:%M:%SZ') end_utc
+from w where lo is not null and hi is not null
+"""
+
 ORACLE = {
     "p1_found": _P1,
     "p2_found": _P2_PARSED + "select distinct line_id, reason from w where reason is not null",
+    "p2_loaded": _P2_LOADED,
     "p3_found": _P3,
+    "p4_found": _P4,
+    "p5_found": _P5,
     "p6_found": _P6,
 }
