@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rostra.functions.text import NARROW_ASCII, WIDE_ASCII
+from rostra.operators.ranking import numbered
 from rostra.schema import ALIASES
 from rostra.session import broadcast_if_small
 
@@ -105,22 +106,20 @@ def schema_changes(sheets: DataFrame, header_alias: DataFrame) -> DataFrame:
         F.min(F.when(F.col("kind").isNotNull(), rank))["kind"].alias("kind"), F.min("h")["header_key"].alias("header"), F.min("name").alias("name")
     )
     # files from the rows themselves: one without any cell still stands between its neighbours
-    files = named.select(*file).distinct()
-    w = Window.partitionBy("series_id").orderBy("file_seq", "source_file")
-    files = files.withColumns({"file_no": F.row_number().over(w), "next_file": F.lead("source_file").over(w)})
-    fields = fields.join(files, file)
-    now = fields.select("series_id", F.col("file_no"), "source_file", "field", "name", "kind", "header")
-    before = fields.filter("next_file is not null").select(
-        "series_id", (F.col("file_no") + 1).alias("file_no"), F.col("next_file").alias("p_file"), "field",
-        F.col("name").alias("p_name"), F.col("kind").alias("p_kind"), F.col("header").alias("p_header"),
+    files = numbered(named.select(*file).distinct(), ["series_id"], ["file_seq", "source_file"], "file_no")
+    now = fields.join(files, file).select("series_id", "file_no", "field", "name", "kind", "header", F.lit(True).alias("is_now"))
+    before = now.select(
+        "series_id", (F.col("file_no") + 1).alias("file_no"), "field", F.col("name").alias("p_name"), F.col("kind").alias("p_kind"),
+        F.col("header").alias("p_header"), F.lit(True).alias("was"),
     )
-    both = now.join(before, ["series_id", "file_no", "field"], "full").filter("file_no > 1")
-    was, is_ = F.col("p_file").isNotNull(), F.col("source_file").isNotNull()
+    # what would be compared after the last file of a series finds no file and drops out
+    both = now.join(before, ["series_id", "file_no", "field"], "full").filter("file_no > 1").join(files.select("series_id", "file_no", "source_file"), ["series_id", "file_no"])
+    was, is_ = F.col("was").isNotNull(), F.col("is_now").isNotNull()
     changes = F.array(
         F.when(~was, "added"), F.when(~is_, "removed"),
         F.when(was & is_ & (F.col("header") != F.col("p_header")), "renamed"),
         F.when(was & is_ & (F.col("kind") != F.col("p_kind")), "retyped"),
     )
     return both.select(
-        F.coalesce("source_file", "p_file").alias("source_file"), F.coalesce("name", "p_name").alias("field"), F.explode(F.array_compact(changes)).alias("change")
+        "source_file", F.coalesce("name", "p_name").alias("field"), F.explode(F.array_compact(changes)).alias("change")
     ).distinct()
