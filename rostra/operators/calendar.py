@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import os
+import re
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,6 +65,16 @@ def calendar_text(exams: DataFrame, calendar_name: str, now: str, **options) ->
     return "\r\n".join(r.line for r in lines)
 
 
+def write_calendar(exams: DataFrame, folder: str, class_name: str, now: str, **options) -> str:
+    """SNK-6: one .ics file of a selection, written beside and renamed; returns its path."""
+    text = calendar_text(exams, class_name, now, **options)
+    path = os.path.join(folder, "exams_" + re.sub(r'[\\/*?:"<>|]', "", class_name) + ".ics")
+    with open(path + ".new", "w", encoding="utf8", newline="") as f:
+        f.write(text)
+    os.replace(path + ".new", path)
+    return path
+
+
 def reminders_of(exams: DataFrame, minutes: list[int]) -> DataFrame:
     """JOIN-2, SRT-6: (id, minutes, remind_s): one row for each exam and reminder; remind_s is in UTC seconds."""
     start = F.unix_micros(F.col("start_timestamp").try_cast("timestamp")) / 1_000_000

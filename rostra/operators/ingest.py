@@ -114,3 +114,9 @@ def unchanged(a: DataFrame, b: DataFrame, order: list[str], strict: bool = True)
 def first_row_per(df: DataFrame, keys: list[str], order: list[str], top: int) -> DataFrame:
     """LIM-1: the first rows of each file."""
     return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("_r") <= top).drop("_r")
+
+
+def fetch_summary(fetched: DataFrame, ok: str = "ok") -> DataFrame:
+    """AGG-20: (fetched, failed, any): how many downloads came through; null counts as failed."""
+    good = F.coalesce(F.col(ok), F.lit(False))
+    return fetched.agg(F.count_if(good).alias("fetched"), F.count_if(~good).alias("failed"), F.coalesce(F.max(good), F.lit(False)).alias("any"))

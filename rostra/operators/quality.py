@@ -76,10 +76,14 @@ def file_statistics(records: DataFrame, file: str) -> DataFrame:
     stats = records.groupBy(file).agg(
         F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("parse_error").isNull()).alias("parsed"),
         F.count_if(F.col("parse_error").isNotNull()).alias("failed"),
-        F.count_distinct(some("class_name")).alias("classes"), F.count_distinct(some("course_name")).alias("courses"),
         F.min(some("date")).alias("first_date"), F.max(some("date")).alias("last_date"),
         F.when(F.count(good) > 0, F.bround(average, 1).cast("double")).otherwise(0.0).alias("avg_minutes"),
     )
+    # distinct counts from (file, column, value) in one narrow shuffle, instead of copying every row for each of them
+    names = {"class_name": "classes", "course_name": "courses"}
+    values = unpivot(records.select(file, *[some(c).alias(c) for c in names]), list(names), [file]).filter("value is not null").distinct()
+    counts = values.groupBy(F.col(file).alias("_file")).agg(*[F.count_if(F.col("column") == c).alias(n) for c, n in names.items()])
+    stats = stats.join(counts, F.col(file).eqNullSafe(F.col("_file")), "left").drop("_file").fillna(0, list(names.values()))
     span = F.coalesce(F.concat("first_date", F.lit(" ~ "), "last_date"), F.lit("N/A"))
     return stats.withColumns({"date_range": span, "has_errors": F.col("failed") > 0})
 
@@ -102,7 +106,10 @@ def overall_statistics(stats: DataFrame) -> DataFrame:
 def first_errors(records: DataFrame, file: str, order: str, raw: str = "raw_time", top: int = MAX_ERRORS) -> DataFrame:
     """AGG-11, LIM-2: (file, place, message, more): the first `top` errors of each file and how many there are beyond."""
     bad = records.filter("parse_error is not null")
-    w = Window.partitionBy(file).orderBy(order, raw)
-    ranked = bad.withColumns({"place": F.row_number().over(w), "_n": F.count(F.lit(1)).over(Window.partitionBy(file))})
+    # the row limit is applied map-side before the window's shuffle; the counts are partial sums: a file may hold any share
+    rank = F.row_number().over(Window.partitionBy(file).orderBy(order, raw))
+    ranked = bad.select(file, order, "parse_error", raw, rank.alias("place")).filter(F.col("place") <= top)
+    counts = bad.groupBy(F.col(file).alias("_file")).agg(F.count(F.lit(1)).alias("_n"))
     text = F.concat(F.lit("Row "), F.col(order).cast("string"), F.lit(": "), "parse_error", F.lit(" (Raw: '"), F.col(raw), F.lit("')"))
-    return ranked.filter(F.col("place") <= top).select(file, "place", text.alias("message"), F.greatest(F.col("_n") - top, F.lit(0)).alias("more"))
+    joined = ranked.join(counts, F.col(file).eqNullSafe(F.col("_file")))
+    return joined.select(file, "place", text.alias("message"), F.greatest(F.col("_n") - top, F.lit(0)).alias("more"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rostra.functions.display import CARD_DEFAULTS, card_field, display_date
 from rostra.functions.text import strip
 from rostra.schema import MAX_CLASSES, MIN_TERM
 from rostra.session import broadcast_if_small
@@ -78,3 +79,18 @@ def share_class(url: Column) -> Column:
 def share_url(base: str, class_name: Column) -> Column:
     """SNK-7: the URL that selects a class; the bare one where there is none."""
     return F.when(F.coalesce(class_name, F.lit("")) == "", F.lit(base)).otherwise(F.concat(F.lit(base + "?class="), F.url_encode(class_name)))
+
+
+def selection_state(records: DataFrame, class_name: str, dropped: DataFrame, key: str = "id") -> DataFrame:
+    """SEM-7, AGG-19: (selected, total) of a class: entering it selects all its exams, toggles take some away."""
+    exams = records.filter(F.col("class_name") == class_name).select(key).distinct()
+    kept = exams.join(broadcast_if_small(dropped.select(key).distinct()), key, "left_anti")
+    return kept.agg(F.count(F.lit(1)).alias("selected")).join(F.broadcast(exams.agg(F.count(F.lit(1)).alias("total"))))
+
+
+def cards(records: DataFrame, chosen: DataFrame, key: str = "id") -> DataFrame:
+    """PRJ-13: what the cards of the records show: defaults for missing fields, the date in Chinese, whether it is selected."""
+    marks = broadcast_if_small(chosen.select(F.col(key).alias("_chosen")).distinct())
+    shown = records.join(marks, F.col(key) == F.col("_chosen"), "left")
+    fields = [card_field(c).alias(c) for c in (*CARD_DEFAULTS, "count")]
+    return shown.select(key, "row_index", *fields, display_date(F.col("start_timestamp")).alias("shown_date"), F.col("_chosen").isNotNull().alias("is_selected"))

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rostra.functions.text import clean_text, coerce_count, coerce_number
 from rostra.functions.timeparse import beijing_text, parse_time_range
+from rostra.operators.ranking import numbered
 from rostra.schema import ALIASES, RECORD_FIELDS, TEXT_FIELDS
+from rostra.session import broadcast_if_small
 
 
 def resolve_aliases(columns: list[str], aliases: dict[str, list[str]] = ALIASES) -> dict[str, str | None]:
@@ -28,11 +30,19 @@ def rename_to_standard(sheet: DataFrame, keep: list[str]) -> DataFrame:
     )
 
 
+def resolve_by_join(columns: DataFrame, alias: DataFrame, keys: list[str]) -> DataFrame:
+    """JOIN-3 for many sheets at once: (keys, field, column, mapped) of sheets' columns (keys, column) and aliases
+    (field, alias_pos, alias): of each field the first alias present. Fields without any have a null column."""
+    sheets = columns.select(*keys).distinct()
+    fields = broadcast_if_small(alias.select("field").distinct())
+    hits = columns.join(broadcast_if_small(alias), F.col("column") == F.col("alias")).groupBy(*keys, "field").agg(F.min_by("column", "alias_pos").alias("column"))
+    return sheets.join(fields).join(hits, [*keys, "field"], "left").withColumn("mapped", F.col("column").isNotNull())
+
+
 def number_rows(df: DataFrame, file: str, order: list[str]) -> DataFrame:
-    """PRJ-3/4: row numbers per file from 2 on (the header is row 1) and the id "{file}-{row}". Only for sheets whose
-    reader gave no row number: one file is one window partition."""
-    w = Window.partitionBy(file).orderBy(*order)
-    return df.withColumn("row_no", F.row_number().over(w) + 1).withColumn("row_id", F.concat(F.col(file), F.lit("-"), F.col("row_no")))
+    """PRJ-3/4: row numbers per file from 2 on (the header is row 1) and the id "{file}-{row}", for sheets whose reader gave no
+    row number."""
+    return numbered(df, [file], order, "row_no", start=2).withColumn("row_id", F.concat(F.col(file), F.lit("-"), F.col("row_no")))
 
 
 def count_value(df: DataFrame, column: str) -> Column:

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rostra.functions import ical
+from rostra.functions.display import CARD_DEFAULTS
 from rostra.functions.text import clean_text, coerce_count
-from rostra.operators import calendar, ingest, quality, report, search, standardize
+from rostra.operators import calendar, ingest, quality, ranking, report, search, standardize
 from rostra.operators.snapshots import wall_micros
 from rostra.plans import sql
 from rostra.schema import ALIASES, EXCLUDE_WORDS, RECORD_FIELDS, REQUIRED_WORDS, TARGET_WORDS, TEXT_FIELDS
@@ -328,13 +329,13 @@ def q25_elapsed(spark, d):
     return t.select("event_id", ical.elapsed(F.floor(wall_micros(t, "ts") / 1_000_000)).alias("e")).select("event_id", "e.*")
 
 
-_CARD = {"course_code": "No Code", "location": "地点待定", "teacher": "未知", "raw_time": "未发布"}
-
-
-@query("select id, row_index, " + ", ".join(f"coalesce(nullif({c}, ''), '{v}') {c}" for c, v in _CARD.items()) + """, coalesce(cast("count" as varchar), '-') as "count" from exam_record""")
-def q26_card_defaults(spark, d):
-    cells = [F.coalesce(F.nullif(c, F.lit("")), F.lit(v)).alias(c) for c, v in _CARD.items()]
-    return _records(spark, d).select("id", "row_index", *cells, F.coalesce(F.col("count").cast("string"), F.lit("-")).alias("count"))
+@query("with c as (select distinct id from exam_record where class_name = '全校通选班'), t as (select *, epoch_us(cast(start_timestamp as timestamptz)) // 1000000 + 28800 w from exam_record), "
+       "d as (select *, make_timestamp(w * 1000000) at8 from t) select d.id, row_index, " + ", ".join(f"coalesce(nullif({c}, ''), '{v}') {c}" for c, v in CARD_DEFAULTS.items()) + """, coalesce(cast("count" as varchar), '-') as "count",
+  coalesce(month(at8) || '月' || day(at8) || '日周' || ('日一二三四五六')[dayofweek(at8) + 1] || ' ' || strftime(at8, '%H:%M'), '') shown_date, c.id is not null is_selected
+  from d left join c on c.id = d.id""")
+def q26_cards(spark, d):
+    r = _records(spark, d)
+    return search.cards(r, r.filter("class_name = '全校通选班'").select("id"))
 
 
 @query("select doc_id, replace(left(text, 25), chr(10), ' ') short, replace(replace(left(text, 20), chr(10), ' '), '|', '/') raw from documents")
@@ -352,10 +353,9 @@ def q28_share_class(spark, d):
 @query("""
 select source_file, row_index, row_number() over (partition by source_file order by start_timestamp nulls last, row_index, ingested_at) place from exam_record""")
 def q29_time_order(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("source_file").orderBy(F.col("start_timestamp").asc_nulls_last(), "row_index", "ingested_at")
-    return _records(spark, d).select("source_file", "row_index", F.row_number().over(w).alias("place"))
+    r = _records(spark, d).select("source_file", "row_index", "start_timestamp", "ingested_at")
+    order = [F.col("start_timestamp").asc_nulls_last(), "row_index", "ingested_at"]
+    return ranking.numbered(r, ["source_file"], order, "place").select("source_file", "row_index", "place")
 
 
 @query()
@@ -393,3 +393,30 @@ select source_file, row_index, class_name from r where k <= 3""")
 def q34_first_rows(spark, d):
     r = _records(spark, d).select("source_file", "row_index", "class_name", "ingested_at")
     return ingest.first_row_per(r, ["source_file"], ["row_index", "ingested_at"], 3).drop("ingested_at")
+
+
+@query("""
+with c as (select distinct source_file, unnest(json_keys(payload)) k from exam_sheet_row where source_file is not null),
+h as (select source_file, field, arg_min(k, alias_pos) "column" from c join header_alias on k = alias group by all),
+f as (select * from (select distinct source_file from c), (select distinct field from header_alias))
+select source_file, field, "column", "column" is not null mapped from f left join h using (source_file, field)""")
+def q35_alias_join(spark, d):
+    """JOIN-3 over all files: exact headers, first alias wins."""
+    keys = F.explode(F.json_object_keys("payload")).alias("column")
+    columns = table(spark, d, "exam_sheet_row").filter("source_file is not null").select("source_file", keys).distinct()
+    return standardize.resolve_by_join(columns, table(spark, d, "header_alias"), ["source_file"])
+
+
+@query("""
+with e as (select distinct id from exam_record where class_name = '全校通选班'),
+k as (select id from e where id not in (select id from exam_record where class_name = '全校通选班' and row_index < 100))
+select (select count(*) from k) selected, (select count(*) from e) total""")
+def q36_selection_state(spark, d):
+    r = _records(spark, d)
+    return search.selection_state(r, "全校通选班", r.filter("class_name = '全校通选班' and row_index < 100"))
+
+
+@query("""
+select count(*) filter (parse_error is null) fetched, count(*) filter (parse_error is not null) failed, count(*) filter (parse_error is null) > 0 as "any" from exam_record""")
+def q37_fetch_summary(spark, d):
+    return ingest.fetch_summary(_records(spark, d).select(F.col("parse_error").isNull().alias("ok")))

@@ -37,3 +37,16 @@ def read_optional(spark: SparkSession, path: str, schema: T.StructType) -> DataF
 def source_of(manifest: DataFrame) -> DataFrame:
     """PRJ-19: empty url and title become null."""
     return manifest.withColumns({c: F.nullif(c, F.lit("")) for c in ("source_url", "source_title")})
+
+
+def read_newest(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """SRC-13: the data set of the first path that can be read and has rows; the others are older snapshots to fall back
+    on. An error if none can."""
+    for path in paths:
+        try:
+            df = read_dataset(spark, path)
+            if not df.filter("id is not null").isEmpty():
+                return df
+        except (AnalysisException, PySparkException):
+            continue
+    raise FileNotFoundError(f"no readable data set among {paths}")

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from rostra.functions import ical
 from rostra.functions.civil import clock_text, days_from_date, valid_date
+from rostra.functions.display import display_date
 from rostra.functions.text import clean_text, coerce_count, coerce_number
 from rostra.functions.timeparse import beijing_text, parse_time_range
-from rostra.operators import calendar, ingest, quality, report, search, standardize
+from rostra.operators import calendar, ingest, quality, ranking, report, search, standardize
 from rostra.schema import RECORD_SCHEMA
 from rostra.sources import html, records, xlsx
 from rostra.streaming import poll
@@ -82,6 +83,11 @@ def test_standardize(spark):
     assert rows(numbered.select("row_id", "pos")) == [("f-2", 3), ("f-3", 5), ("g-2", 1)]
     with pytest.raises(ValueError):
         standardize.standardize([], [])
+    columns = spark.createDataFrame([("f", "班级"), ("f", "班级名称"), ("g", "x")], "source_file string, column string")
+    alias = spark.createDataFrame([("class_name", 1, "班级名称"), ("class_name", 2, "班级"), ("count", 1, "人数")], "field string, alias_pos int, alias string")
+    assert rows(standardize.resolve_by_join(columns, alias, ["source_file"])) == [
+        ("f", "class_name", "班级名称", True), ("f", "count", None, False), ("g", "class_name", None, False), ("g", "count", None, False),
+    ]
 
 
 def test_profile(spark):
@@ -113,6 +119,25 @@ def test_statistics(spark):
     assert len(out) == 10 and out[0][2:] == ("Row 0: bad (Raw: 'raw')", 2)
 
 
+def test_numbered_rows_of_hot_groups(spark):
+    data = [("hot" if i % 3 else None if i % 7 == 0 else f"g{i % 11}", i * 7919 % 1009, "x") for i in range(4000)]
+    df = spark.createDataFrame(data, "g string, o int, _n string")
+    expected, seen = [], {}
+    for g, o, x in sorted(data, key=lambda r: (r[0] is not None, r[0] or "", r[1])):
+        seen[g] = seen.get(g, 4) + 1
+        expected.append((g, o, x, seen[g]))
+    for n in ("1", "4", "60"):
+        spark.conf.set("spark.sql.shuffle.partitions", n)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        try:
+            out = ranking.numbered(df, ["g"], ["o"], "no", start=5).collect()
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", "4")
+            spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        assert sorted(map(str, map(tuple, out))) == sorted(map(str, expected))
+    assert ranking.numbered(df.limit(0), ["g"], ["o"], "no").count() == 0
+
+
 # ---------------------------------------------------------------- search and selection
 def test_search(spark):
     names = ["A1", "a2", "B1", "", None] + [f"Z{i:03d}" for i in range(60)]
@@ -129,6 +154,16 @@ def test_search(spark):
     assert [x.id for x in search.in_time_order(r.limit(3), "id").collect()] == ["i1", "i2", "i0"]
     assert one(spark, search.share_class(search.share_url("https://example.org/", F.lit("星 A+1")))) == "星 A+1"
     assert one(spark, search.share_class(F.lit("https://example.org/?x=1"))) is None
+    dropped = spark.createDataFrame([("i0",), ("i9",)], "id string")
+    assert rows(search.selection_state(r, "A1", dropped)) == [(0, 1)] and rows(search.selection_state(r, "a2", dropped)) == [(1, 1)]
+
+
+def test_cards(spark):
+    stamps = ["2026-06-07T23:30:00Z", "2026-06-01T08:05:00+08:00", None, "", "x"]
+    assert each(spark, stamps, "string", display_date) == ["6月8日周一 07:30", "6月1日周一 08:05", "", "", ""]
+    r = spark.createDataFrame([("a", 1, "", None, "T", None, None, None), ("b", 2, "K", "R", "", "8:00", 0, None)], "id string, row_index int, course_code string, location string, teacher string, raw_time string, count int, start_timestamp string")
+    got = rows(search.cards(r, r.filter("id = 'a'").select("id")))
+    assert got == [("a", 1, "No Code", "地点待定", "T", "未发布", "-", "", True), ("b", 2, "K", "R", "未知", "8:00", "0", "", False)]
 
 
 # ---------------------------------------------------------------- notices and files
@@ -137,6 +172,7 @@ def test_titles_and_files(spark):
     assert each(spark, [good, "补考" + good, "学年期末考试", "学年学期", None, ""], "string", ingest.is_schedule_title) == [True, False, False, False, False, False]
     files = spark.createDataFrame([(1, "学生版.xlsx"), (1, "监考.xlsx"), (1, "x.xlsx"), (2, "教师.xlsx"), (2, "y.xls"), (3, "巡考.xls")], "page int, name string")
     assert rows(ingest.chosen_attachments(files, "page")) == [(1, "学生版.xlsx"), (2, "y.xls")]
+    assert rows(ingest.fetch_summary(spark.createDataFrame([(True,), (None,), (False,)], "ok boolean"))) == [(1, 2, True)]
     notices = spark.createDataFrame([(3, good), (2, good + "2"), (1, "x")], "pos int, title string")
     assert ingest.newest_notice(notices).first()["pos"] == 2
 
@@ -220,7 +256,7 @@ def test_uid_and_escape(spark):
 EXAM = "id string, campus string, course_name string, course_code string, class_name string, teacher string, location string, count int, notes string, start_timestamp string, end_timestamp string"
 
 
-def test_calendar(spark):
+def test_calendar(spark, tmp_path):
     s, e = "2026-06-01T08:00:00+08:00", "2026-06-01T09:50:00+08:00"
     exams = spark.createDataFrame([("b", "", "M,1", "", "A", None, "R", 3, "", s, None), ("c", "N", "P", "K", "A", "T", "R;1", None, "x", s, e), ("a", "", "E", "K", "A", "T", "", 1, None, None, e)], EXAM)
     text = calendar.calendar_text(exams, "cal", "20260101T000000Z", reminders=[30])
@@ -234,6 +270,8 @@ def test_calendar(spark):
     assert lines[start + 9 : start + 14] == ["BEGIN:VALARM", "ACTION:DISPLAY", "DESCRIPTION:Exam Reminder", "TRIGGER:-PT30M", "END:VALARM"]
     with pytest.raises(ValueError):
         calendar.calendar_text(exams.limit(0), "cal", "x")
+    path = calendar.write_calendar(exams, str(tmp_path), "A/1", "20260101T000000Z", reminders=[30])
+    assert path.endswith("exams_A1.ics") and open(path, encoding="utf8", newline="").read() == text.replace("X-WR-CALNAME:cal", "X-WR-CALNAME:A/1")
     assert rows(calendar.reminders_of(exams.filter("id = 'c'"), [60, 30, 30]).select("minutes")) == [(30,), (60,)]
 
 
@@ -281,6 +319,9 @@ def test_dataset_and_manifest(spark, tmp_path):
     made = report.manifest(df.withColumn("f", F.lit("f")), "f", "now", source).first()
     assert (made.files_processed, made.total_records, made.source_url, made.source_title) == (["f"], 1, None, "t")
     assert records.read_optional(spark, str(tmp_path / "none.json"), records.MANIFEST).count() == 0
+    assert records.read_newest(spark, [str(tmp_path / "none"), path]).count() == 1
+    with pytest.raises(FileNotFoundError):
+        records.read_newest(spark, [str(tmp_path / "none")])
     report.write_metadata(str(tmp_path / "s.json"), "u", "t", ["f"], "now")
     assert records.read_optional(spark, str(tmp_path / "s.json"), records.SOURCE).first()["downloaded_files"] == ["f"]
 
