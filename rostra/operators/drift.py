@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -19,57 +21,89 @@ def header_key(header: Column) -> Column:
     return F.lower(F.translate(F.regexp_replace(header, r"(?U)[\s_\x1c-\x1f﻿]+", ""), WIDE_ASCII, NARROW_ASCII))
 
 
-def ingest_cells(sheets: DataFrame, header_alias: DataFrame) -> DataFrame:
-    """One row for each cell of each payload: the columns of the sheet row, header, header_key, field (standard
-    field or the header itself), kind (JSON type, null for a null cell), value (JSON text), cast (text that fits
-    the enforced type, null if it must be rescued) and priority (of the alias; of several headers of one field in
-    a row the lowest wins).
+def _aliases(header_alias: DataFrame) -> DataFrame:
+    """(header_key, a): of each header key the standard field of the first alias."""
+    alias = header_alias.select(header_key(F.col("alias")).alias("header_key"), F.col("alias_pos").alias("p"), F.col("field").alias("f"))
+    return alias.filter("header_key is not null").groupBy("header_key").agg(F.min(F.struct("p", "f")).alias("a"))
 
-    Payloads that aren't a JSON object (null, damaged, an array) have no cells; rescue_rows keeps them whole.
-    header_alias is a dimension; its size is checked before it is broadcast.
-    """
-    alias = header_alias.select(header_key(F.col("alias")).alias("header_key"), F.col("field").alias("_f"), F.col("alias_pos").alias("_p"))
-    alias = alias.filter("header_key is not null").groupBy("header_key").agg(F.min(F.struct("_p", "_f")).alias("_a"))
-    parsed = sheets.withColumn("_v", F.try_parse_json("payload"))
-    # only objects are opened; anything else gives no cells
-    opened = parsed.withColumn("_v", F.when(F.schema_of_variant("_v").startswith("OBJECT"), F.col("_v")))
-    cells = opened.lateralJoin(sheets.sparkSession.tvf.variant_explode(F.col("_v").outer())).drop("_v", "pos")
-    shape = F.schema_of_variant("value")
-    kind = (
+
+def _entries(payload: Column) -> Column:
+    """Header and value of every cell of a JSON object; null for anything else."""
+    return F.map_entries(F.from_json(payload, "map<string,variant>"))
+
+
+def _kind(shape: Column) -> Column:
+    return (
         F.when(shape == "VOID", None).when(shape == "STRING", "string").when(shape == "BOOLEAN", "boolean")
         .when(shape.startswith("ARRAY"), "array").when(shape.startswith("OBJECT"), "object").otherwise("number")
     )
-    cells = cells.withColumns({"header": F.col("key"), "header_key": header_key(F.col("key")), "kind": kind}).join(
-        broadcast_if_small(alias), "header_key", "left"
-    )
-    text = F.when(F.col("kind").isin("string", "number", "boolean"), F.try_variant_get("value", "$", "string"))
-    whole = F.when(text.rlike(r"^\s*[+-]?[0-9]+\s*$"), F.trim(text).try_cast("int"))
-    field = F.coalesce(F.col("_a._f"), F.col("header"))
-    fits = F.when(field == "count", whole.cast("string")).when(F.col("kind") == "string", text).when(F.col("kind") == "number", text)
+
+
+def _fits(field: Column, kind: Column, text: Column) -> Column:
+    """The text of a cell that fits the enforced type of its field; null if it must be rescued."""
+    whole = F.when(text.rlike(r"^\s*[+-]?[0-9]+\s*$"), F.trim(text).try_cast("int")).cast("string")
+    return F.when(kind.isin("string", "number"), F.when(field == "count", whole).otherwise(text))
+
+
+def ingest_cells(sheets: DataFrame, header_alias: DataFrame) -> DataFrame:
+    """One row for each cell of each payload: the columns of the sheet row, header, header_key, field (standard
+    field or the header itself), known (a standard field), kind (JSON type, null for a null cell), value (JSON text), cast
+    (text that fits the enforced type, null if it must be rescued) and priority (of the alias; of several
+    headers of one field in a row the lowest wins).
+
+    Payloads that aren't a JSON object (null, damaged, an array) have no cells. header_alias is a dimension; it is
+    broadcast if it is counted to be small.
+    """
+    cells = sheets.select(*sheets.columns, F.explode(_entries(F.col("payload"))).alias("_e"))
+    cells = cells.select(*sheets.columns, F.col("_e.key").alias("header"), header_key(F.col("_e.key")).alias("header_key"), F.col("_e.value").alias("_v"))
+    cells = cells.withColumn("kind", _kind(F.schema_of_variant("_v"))).join(broadcast_if_small(_aliases(header_alias)), "header_key", "left")
+    field = F.coalesce(F.col("a.f"), F.col("header"))
     return cells.select(
-        *sheets.columns, "header", "header_key", field.alias("field"), "kind", F.to_json("value").alias("value"),
-        F.when(F.col("_a").isNotNull(), fits).alias("cast"), F.col("_a").isNotNull().alias("known"),
-        F.coalesce(F.col("_a._p"), F.lit(0)).alias("priority"),
+        *sheets.columns, "header", "header_key", field.alias("field"), F.col("a").isNotNull().alias("known"), "kind", F.to_json("_v").alias("value"),
+        F.when(F.col("a").isNotNull(), _fits(field, F.col("kind"), F.try_variant_get("_v", "$", "string"))).alias("cast"), F.coalesce(F.col("a.p"), F.lit(0)).alias("priority"),
     )
 
 
-def rescue_rows(sheets: DataFrame, header_alias: DataFrame, key: str = "sheet_row_id") -> DataFrame:
-    """One standard row for each sheet row: the keys, every standard field in its enforced type, and `rescued`: JSON of the
-    fields that are unknown or don't fit (field to value), or {"_payload": ...} where the payload isn't an object.
-    Rows delivered again keep their own row. No row is dropped."""
-    ids = [c for c in sheets.columns if c != "payload"]
-    cells = ingest_cells(sheets.select(key, "payload"), header_alias)
-    fit = lambda f: F.min_by("cast", F.when((F.col("field") == f) & F.col("known") & F.col("cast").isNotNull(), F.col("priority")))
-    rescued = F.when(F.col("kind").isNotNull() & ~(F.col("known") & F.col("cast").isNotNull()), F.struct("field", "value"))
-    wide = cells.groupBy(key).agg(
-        *[(fit(f)).cast(t).alias(f) for f, t in TARGET.items()], F.sort_array(F.collect_set(rescued)).alias("_r")
-    )
-    pieces = F.transform("_r", lambda x: F.concat(F.lit('"'), F.replace(F.replace(x["field"], F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('":'), x["value"]))
+def _cells_in_place(payload: Column, lookup: Column) -> Column:
+    """The same cells as an array, without leaving the row; lookup is a map from header key to alias."""
+    entry = lambda e: F.struct(e["key"].alias("header"), lookup[header_key(e["key"])].alias("a"), _kind(F.schema_of_variant(e["value"])).alias("kind"), e["value"].alias("v"))
+    typed = lambda c: F.struct(
+        F.coalesce(c["a"]["f"], c["header"]).alias("field"), c["kind"].alias("kind"), F.to_json(c["v"]).alias("value"), F.coalesce(c["a"]["p"], F.lit(0)).alias("priority"),
+        F.when(c["a"].isNotNull(), _fits(c["a"]["f"], c["kind"], F.try_variant_get(c["v"], "$", "string"))).alias("cast"),
+    )
+    return F.transform(F.transform(_entries(payload), entry), typed)
+
+
+def rescue_rows(sheets: DataFrame, header_alias: DataFrame, key: str = "sheet_row_id", most_aliases: int = 10_000) -> DataFrame:
+    """One standard row for each sheet row: its own columns, every standard field in its enforced type, and `rescued`: JSON of
+    the fields that are unknown or don't fit (field to value), or {"_payload": ...} where the payload isn't an object.
+    Rows delivered again keep their own row; no row is dropped; of a sheet's own columns those named like a standard field
+    give way to it.
+
+    Up to `most_aliases` aliases travel as one map literal, and every row is standardized in place, without a shuffle.
+    With more, cells are joined to the aliases and put together again by `key`.
+    """
+    ids = [c for c in sheets.columns if c not in ("payload", "rescued", *TARGET)]
+    known = _aliases(header_alias).limit(most_aliases + 1).collect()
+    unfit = lambda c: c["kind"].isNotNull() & c["cast"].isNull()
+    if len(known) <= most_aliases:
+        text = json.dumps({r["header_key"]: {"p": r["a"]["p"], "f": r["a"]["f"]} for r in known}, ensure_ascii=False)
+        rows = sheets.withColumn("_c", _cells_in_place(F.col("payload"), F.from_json(F.lit(text), "map<string,struct<p:int,f:string>>")))
+        fit = lambda f: F.array_min(F.transform(F.filter("_c", lambda c: (c["field"] == f) & c["cast"].isNotNull()), lambda c: F.struct(c["priority"], c["cast"])))["cast"]
+        rest = F.array_sort(F.array_distinct(F.transform(F.filter("_c", unfit), lambda c: F.struct(c["field"], c["value"]))))
+        rows = rows.select(*ids, "payload", *[fit(f).cast(t).alias(f) for f, t in TARGET.items()], rest.alias("_r"))
+    else:
+        cells = ingest_cells(sheets.select(key, "payload"), header_alias)
+        best = lambda f: F.min_by("cast", F.when((F.col("field") == f) & F.col("cast").isNotNull(), F.col("priority")))
+        rest = F.when(F.col("kind").isNotNull() & F.col("cast").isNull(), F.struct("field", "value"))
+        wide = cells.groupBy(key).agg(*[best(f).cast(t).alias(f) for f, t in TARGET.items()], F.sort_array(F.collect_set(rest)).alias("_r"))
+        rows = sheets.select(*ids, "payload").join(wide, key, "left")
+        rows = rows.withColumn("_r", F.when(_entries(F.col("payload")).isNotNull(), F.coalesce("_r", F.array().cast("array<struct<field:string,value:string>>"))))
+    name = lambda x: F.concat(F.lit('"'), F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('":'))
+    pieces = F.transform("_r", lambda x: F.concat(name(x["field"]), x["value"]))
     whole = F.to_json(F.struct(F.col("payload").alias("_payload")))
-    out = sheets.join(wide, key, "left")
-    is_object = F.coalesce(F.schema_of_variant(F.try_parse_json("payload")).startswith("OBJECT"), F.lit(False))
-    rest = F.when(F.col("payload").isNotNull() & ~is_object, whole).when(F.size("_r") > 0, F.concat(F.lit("{"), F.array_join(pieces, ","), F.lit("}")))
-    return out.select(*ids, *TARGET, rest.alias("rescued"))
+    rescued = F.when(F.col("payload").isNotNull() & F.col("_r").isNull(), whole).when(F.size("_r") > 0, F.concat(F.lit("{"), F.array_join(pieces, ","), F.lit("}")))
+    return rows.select(*ids, *TARGET, rescued.alias("rescued"))
 
 
 def replay(rescued: DataFrame, promoted: dict[str, str]) -> DataFrame:

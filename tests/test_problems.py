@@ -388,9 +388,15 @@ def test_schema_changes(spark):
 
 def test_rescue_and_replay(spark):
     alias = spark.createDataFrame(ALIAS, "field string, alias_pos int, alias string")
-    df = _sheet(spark, [(1, 1, "a", '{"班级名称":"x","人数":" 5 ","座\\"位":{"n":1}}'), (1, 1, "a", '{"人数":"many","地点":["p"],"n":7}'), (1, 1, "a", "bad"), (1, 1, "a", None), (1, 1, "a", "{}")])
-    out = drift.replay(drift.rescue_rows(df, alias), {"n": "int"}).orderBy("sheet_row_id").collect()
-    assert [(r["class_name"], r["count"], r["rescued"], r["n"]) for r in out] == [
-        ("x", 5, '{"座\\"位":{"n":1}}', None), (None, None, '{"count":"many","location":["p"],"n":7}', 7), (None, None, '{"_payload":"bad"}', None),
-        (None, None, None, None), (None, None, None, None),
-    ]
+    df = _sheet(spark, [
+        (1, 1, "a", '{"班级名称":"x","人数":" 5 ","座\\"位":{"n":1}}'), (1, 1, "a", '{"人数":"many","地点":["p"],"n":7}'), (1, 1, "a", "bad"), (1, 1, "a", None),
+        (1, 1, "a", "{}"), (1, 1, "a", "[1]"), (1, 1, "a", '{"class name":"second","班级 名称":"first","地点":null,"x":true}'),
+    ]).withColumn("class_name", F.lit("clash"))
+    for most in (100, 0):  # in place, and through the join
+        out = drift.replay(drift.rescue_rows(df, alias, most_aliases=most), {"n": "int"}).orderBy("sheet_row_id").collect()
+        assert [(r["class_name"], r["count"], r["rescued"], r["n"]) for r in out] == [
+            ("x", 5, '{"座\\"位":{"n":1}}', None), (None, None, '{"count":"many","location":["p"],"n":7}', 7), (None, None, '{"_payload":"bad"}', None),
+            (None, None, None, None), (None, None, None, None), (None, None, '{"_payload":"[1]"}', None), ("first", None, '{"x":true}', None),
+        ]
+    twice = _sheet(spark, [(1, 1, "a", '{"地点":"p","地点":"q"}'), (1, 2, "b", '{"n":1,"n":2}')])
+    assert rows(drift.schema_changes(twice, alias)) == [("b", "location", "removed"), ("b", "n", "added")]
