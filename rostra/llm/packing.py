@@ -81,7 +81,6 @@ def pack(items: DataFrame, capacity: int = CAPACITY, shard_items: int = SHARD_IT
     sized = checkpointed(whole)  # sizes are dear (tokens), and counted before they are packed
     n = shards or max(1, -(-sized.count() // shard_items))
     c = F.lit(capacity)
-    full = F.floor(F.col("all") / c).cast("bigint")
     # floor(all/capacity) full pieces, then the rest if there is one
     pieces = sized.filter("all > 0").select(
         "item", "row", "all", F.explode(F.sequence(F.lit(0).cast("bigint"), F.ceil(F.col("all") / c).cast("bigint") - 1)).alias("piece")
