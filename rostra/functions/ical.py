@@ -55,6 +55,7 @@ def fold(line: Column) -> Column:
 
 def description(code: Column, teacher: Column, class_name: Column, count: Column, notes: Column, footer: str) -> Column:
     """CAL-4: lines in this order, without empty ones."""
+    # the labels are fixed values
     text = lambda c, default: F.coalesce(F.nullif(c, F.lit("")), F.lit(default))
     note = F.when(F.coalesce(notes, F.lit("")) != "", F.concat(F.lit("备注: "), notes))
     return F.concat_ws(

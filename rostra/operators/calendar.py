@@ -14,6 +14,7 @@ from rostra.schema import DEFAULT_REMINDERS
 
 def header_lines(calendar_name: str, product: str) -> list[str]:
     """CAL-7: the fixed head with the zone, which has no daylight saving. The calendar name isn't escaped."""
+    # fixed values
     return [
         "BEGIN:VCALENDAR", "VERSION:2.0", f"PRODID:{product}", f"X-WR-CALNAME:{calendar_name}", "CALSCALE:GREGORIAN", "METHOD:PUBLISH",
         "BEGIN:VTIMEZONE", "TZID:Asia/Shanghai", "X-LIC-LOCATION:Asia/Shanghai", "BEGIN:STANDARD", "TZOFFSETFROM:+0800",

@@ -13,14 +13,15 @@ _QUOTES = '"' + "“”„「」『』«»〝〞"
 _OPEN, _CLOSE = r"(（\[【〔{〈《", r")）\]】〕}〉》"
 #: Marks that separate values wherever they stand outside quotes and brackets.
 MARKS = "、，,；;／/｜|＆&＋+\n\r\t\x0b\x0c　  "
-#: Conjunctions that separate values if white space is on both sides.
-CONJUNCTIONS = ["与", "和", "及", "以及", "and", "und", "et", "y", "и"]
+#: Conjunctions that separate values if white space is on both sides; single letters in lower case only, since a
+#: capital one is an initial.
+CONJUNCTIONS = ["与", "和", "及", "以及", "(?i:and|und|et)", "y", "и"]
 
 _GAP = r"[ \xa0]"
 _DELIMITER = rf"(?:{_GAP}+(?:{'|'.join(CONJUNCTIONS)})(?={_GAP})|[{MARKS}]|{_GAP}{{2,}})"
-_IS_DELIMITER = rf"(?i)^(?:{_GAP}+(?:{'|'.join(CONJUNCTIONS)})|[{MARKS}]|{_GAP}{{2,}})$"
+_IS_DELIMITER = rf"^(?:{_GAP}+(?:{'|'.join(CONJUNCTIONS)})|[{MARKS}]|{_GAP}{{2,}})$"
 # tokens of an even piece: a delimiter, a bracket, or a run of text (single spaces included)
-_TOKENS = rf"(?i){_DELIMITER}|[{_OPEN}{_CLOSE}]|[^{MARKS}{_OPEN}{_CLOSE} \xa0]+|{_GAP}"
+_TOKENS = rf"{_DELIMITER}|[{_OPEN}{_CLOSE}]|[^{MARKS}{_OPEN}{_CLOSE} \xa0]+|{_GAP}"
 
 
 def split_packed(c: Column) -> Column:
@@ -83,6 +84,6 @@ def unpack_values(df: DataFrame, column: str, keys: list[str], at_least: int = 1
     all rows is split once per key."""
     rows = df.select(*keys, column).filter(F.col(column).isNotNull()).distinct()
     if at_least > 1:  # a field without any mark, gap or conjunction holds one value at most
-        rows = rows.filter(F.col(column).rlike(rf"(?i)[{MARKS}]|{_GAP}{{2,}}|{_GAP}(?:{'|'.join(CONJUNCTIONS)}){_GAP}"))
+        rows = rows.filter(F.col(column).rlike(rf"[{MARKS}]|{_GAP}{{2,}}|{_GAP}(?:{'|'.join(CONJUNCTIONS)}){_GAP}"))
     values = rows.select(*keys, split_packed(F.col(column)).alias("_v")).filter(F.size("_v") >= at_least)
     return values.select(*keys, F.posexplode("_v").alias("pos", column)).withColumn("pos", F.col("pos") + 1).distinct()

@@ -215,8 +215,8 @@ def q16_title_filter(spark, d):
 
 
 @query("""
-with f as (select distinct series_id page, case file_seq % 4 when 0 then '学生版_' when 1 then '监考_' else '' end || source_file as name from exam_sheet_row where series_id % 3 <> 0
-           union select distinct series_id, case file_seq % 3 when 0 then '巡考_' else '' end || source_file from exam_sheet_row where series_id % 3 = 0),
+with f as (select distinct series_id page, case when series_id % 3 = 0 then if(file_seq % 3 = 0, '巡考_', '') when file_seq % 4 = 0 then '学生版_'
+             when file_seq % 4 = 1 then '监考_' else '' end || source_file as name from exam_sheet_row),
 a as (select page, bool_or(contains(name, '学生')) any_student from f group by 1)
 select page, name from f join a using (page)
 where case when any_student then contains(name, '学生') else not (contains(name, '监考') or contains(name, '教师') or contains(name, '巡考') or contains(name, '教务员')) end""")
@@ -409,11 +409,11 @@ def q35_alias_join(spark, d):
 
 @query("""
 with e as (select distinct id from exam_record where class_name = '全校通选班'),
-k as (select id from e where id not in (select id from exam_record where class_name = '全校通选班' and row_index < 100))
+k as (select id from e where id not in (select id from exam_record where class_name = '全校通选班' and contains(notes, '开卷')))
 select (select count(*) from k) selected, (select count(*) from e) total""")
 def q36_selection_state(spark, d):
     r = _records(spark, d)
-    return search.selection_state(r, "全校通选班", r.filter("class_name = '全校通选班' and row_index < 100"))
+    return search.selection_state(r, "全校通选班", r.filter("class_name = '全校通选班' and contains(notes, '开卷')"))
 
 
 @query("""

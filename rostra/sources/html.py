@@ -18,6 +18,10 @@ def anchors(html: Column) -> Column:
     return F.arrays_zip(hrefs.alias("href"), F.transform(texts, lambda t: F.trim(F.regexp_replace(t, "<[^>]*>", ""))).alias("text"))
 
 
+# The classes that mark the notice list, its items and their titles.
+_LIST, _ITEM, _TITLE = ("div", "col_news_con"), ("li", "news"), ("span", "news_title")
+
+
 class _Links(HTMLParser):
     """Anchors, and of each whether it stands in an item of the notice list and in that item's title."""
 
@@ -31,11 +35,11 @@ class _Links(HTMLParser):
         attributes = dict(attrs)
         self.stack.append((tag, set((attributes.get("class") or "").split())))
         if tag == "a":
-            has = lambda t, c: any(x == t and c in k for x, k in self.stack)
-            listed = has("div", "col_news_con") and has("li", "news")
+            has = lambda tag, mark: any(x == tag and mark in k for x, k in self.stack)
+            listed = has(*_LIST) and has(*_ITEM)
             self.open = {
                 "href": attributes.get("href"), "title": attributes.get("title"), "text": "", "listed": listed,
-                "titled": listed and has("span", "news_title"), "item": sum(1 for x, k in self.stack if x == "li"),
+                "titled": listed and has(*_TITLE),
             }
             self.links.append(self.open)
         if tag in ("br", "img", "hr", "input", "meta", "link"):
@@ -55,8 +59,8 @@ class _Links(HTMLParser):
 
 
 def parse_links(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
-    """(key, pos, href, title, text, listed) of every anchor of messy markup; null and empty pages have none. `listed`:
-    the anchor stands in an item of the notice list. Batches of pages, one pass, no shuffle."""
+    """(key, pos, href, title, text, listed, titled) of every anchor of messy markup; null and empty pages have none.
+    `listed`: the anchor stands in an item of the notice list; `titled`: in the title of that item. Batches of pages, one pass, no shuffle."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -65,8 +69,8 @@ def parse_links(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
                 parser = _Links()
                 parser.feed(page or "")
                 parser.close()
-                rows += [(k, i, x["href"], x["title"], x["text"].strip(), x["listed"]) for i, x in enumerate(parser.links)]
-            yield pd.DataFrame(rows, columns=[key, "pos", "href", "title", "text", "listed"])
+                rows += [(k, i, x["href"], x["title"], x["text"].strip(), x["listed"], x["titled"]) for i, x in enumerate(parser.links)]
+            yield pd.DataFrame(rows, columns=[key, "pos", "href", "title", "text", "listed", "titled"])
 
     kind = pages.schema[key].dataType.simpleString()
-    return pages.select(key, html).mapInPandas(run, f"`{key}` {kind}, pos int, href string, title string, text string, listed boolean")
+    return pages.select(key, html).mapInPandas(run, f"`{key}` {kind}, pos int, href string, title string, text string, listed boolean, titled boolean")

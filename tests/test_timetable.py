@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from rostra import session
 from rostra.functions import ical
 from rostra.functions.civil import clock_text, days_from_date, valid_date
 from rostra.functions.display import display_date
@@ -138,6 +139,19 @@ def test_numbered_rows_of_hot_groups(spark):
     assert ranking.numbered(df.limit(0), ["g"], ["o"], "no").count() == 0
 
 
+def test_skew_safe_join(spark):
+    data = spark.range(5000).select("id", F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id") % 700).alias("k"))
+    groups = data.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("first"))
+    out = session.skew_safe_join(data, groups, ["k"], "n", "id", 5000, hot_rows=50)
+    assert rows(out.select("id", "first")) == rows(data.join(groups, "k").select("id", "first"))
+
+
+def test_checked_broadcasts(spark):
+    plan = lambda df: df._jdf.queryExecution().toString()
+    assert "ResolvedHint (strategy=broadcast)" in plan(session.broadcast_if_small(spark.range(5), 5))
+    assert "ResolvedHint" not in plan(session.broadcast_if_small(spark.range(6), 5))
+
+
 # ---------------------------------------------------------------- search and selection
 def test_search(spark):
     names = ["A1", "a2", "B1", "", None] + [f"Z{i:03d}" for i in range(60)]
@@ -197,7 +211,7 @@ def test_links(spark):
     page = '<div class="col_news_con"><ul><li class="news"><span class="news_title"><a href="n.htm" title="T">t <b>x</b></a></span></li></ul></div><p><br><a href=\'f.xls\'> F &amp; G</a><a>no</a>'
     pages = spark.createDataFrame([(1, page), (2, None), (3, "")], "page_id int, html string")
     assert [tuple(r) for r in html.parse_links(pages, "page_id").orderBy("pos").collect()] == [
-        (1, 0, "n.htm", "T", "t x", True), (1, 1, "f.xls", None, "F & G", False), (1, 2, None, None, "no", False),
+        (1, 0, "n.htm", "T", "t x", True, True), (1, 1, "f.xls", None, "F & G", False, False), (1, 2, None, None, "no", False, False),
     ]
     assert [tuple(a) for a in pages.select(html.anchors(F.col("html")).alias("a")).first()["a"]] == [("n.htm", "t x")]
 
