@@ -3,22 +3,28 @@
 from __future__ import annotations
 
 import json
+import unicodedata
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rostra.functions.text import NARROW_ASCII, WIDE_ASCII
+from rostra.functions.text import WHITESPACE
 from rostra.operators.ranking import numbered
 from rostra.schema import ALIASES
-from rostra.session import broadcast_if_small
+from rostra.session import checkpointed
 
 #: The enforced schema: type of each standard field.
 TARGET = {f: "int" if f == "count" else "string" for f in ALIASES}
+_DROPPED = WHITESPACE + "﻿_＿"
+#: Characters of another width and their usual forms, by rule.
+_WIDTHS = {c: chr(int(d.split()[1], 16)) for c in map(chr, range(0x2000, 0x10000)) if (d := unicodedata.decomposition(c)).startswith(("<wide>", "<narrow>")) and c not in _DROPPED}
+_CELL = "struct<header:string,header_key:string,field:string,known:boolean,priority:int,kind:string>"
 
 
 def header_key(header: Column) -> Column:
     """Headers that differ only in white space, underscores, letter case or character width are the same."""
-    return F.lower(F.translate(F.regexp_replace(header, r"(?U)[\s_\x1c-\x1f﻿]+", ""), WIDE_ASCII, NARROW_ASCII))
+    return F.lower(F.translate(header, "".join(_WIDTHS) + _DROPPED, "".join(_WIDTHS.values())))
 
 
 def _aliases(header_alias: DataFrame) -> DataFrame:
@@ -32,90 +38,114 @@ def _entries(payload: Column) -> Column:
     return F.map_entries(F.from_json(payload, "map<string,variant>"))
 
 
-def _kind(shape: Column) -> Column:
+def _kind(value: Column) -> Column:
+    """JSON type of a cell; null of a null cell."""
+    shape = F.schema_of_variant(value)
     return (
         F.when(shape == "VOID", None).when(shape == "STRING", "string").when(shape == "BOOLEAN", "boolean")
         .when(shape.startswith("ARRAY"), "array").when(shape.startswith("OBJECT"), "object").otherwise("number")
     )
 
 
-def _fits(field: Column, kind: Column, text: Column) -> Column:
-    """The text of a cell that fits the enforced type of its field; null if it must be rescued."""
-    whole = F.when(text.rlike(r"^\s*[+-]?[0-9]+\s*$"), F.trim(text).try_cast("int")).cast("string")
-    return F.when(kind.isin("string", "number"), F.when(field == "count", whole).otherwise(text))
+def _fits(kind: str, value: Column) -> Column:
+    """The text of a string or number that fits the enforced type; null for a cell that must be rescued."""
+    text = F.when(F.schema_of_variant(value).rlike("^(?!VOID|BOOLEAN|ARRAY|OBJECT)"), F.try_variant_get(value, "$", "string"))
+    if kind in ("int", "bigint"):
+        return F.when(text.rlike(r"^\s*[+-]?[0-9]+\s*$"), F.trim(text).try_cast(kind)).cast("string")
+    return text if kind == "string" else text.try_cast(kind).cast("string")
 
 
-def ingest_cells(sheets: DataFrame, header_alias: DataFrame) -> DataFrame:
-    """One row for each cell of each payload: the columns of the sheet row, header, header_key, field (standard
-    field or the header itself), known (a standard field), kind (JSON type, null for a null cell), value (JSON text), cast
-    (text that fits the enforced type, null if it must be rescued) and priority (of the alias; of several
-    headers of one field in a row the lowest wins).
+def _resolver(sheets: DataFrame, header_alias: DataFrame, most_aliases: int) -> tuple[DataFrame, Callable[[Column], Column]]:
+    """The rows, and what gives the alias (p, f) of a header key, null for an unknown header.
 
-    Payloads that aren't a JSON object (null, damaged, an array) have no cells. header_alias is a dimension; it is
-    broadcast if it is counted to be small.
+    Up to `most_aliases` aliases travel as one literal: an array of small maps, addressed by the hash of the key, so that
+    a lookup costs the same however many there are. Beyond that the headers of each row are joined to the aliases, and
+    each row gets the map of its own; rows are told apart by a number given before, not by any column of theirs,
+    and are carried through whole. Both give the same.
     """
-    cells = sheets.select(*sheets.columns, F.explode(_entries(F.col("payload"))).alias("_e"))
-    cells = cells.select(*sheets.columns, F.col("_e.key").alias("header"), header_key(F.col("_e.key")).alias("header_key"), F.col("_e.value").alias("_v"))
-    cells = cells.withColumn("kind", _kind(F.schema_of_variant("_v"))).join(broadcast_if_small(_aliases(header_alias)), "header_key", "left")
-    field = F.coalesce(F.col("a.f"), F.col("header"))
-    return cells.select(
-        *sheets.columns, "header", "header_key", field.alias("field"), F.col("a").isNotNull().alias("known"), "kind", F.to_json("_v").alias("value"),
-        F.when(F.col("a").isNotNull(), _fits(field, F.col("kind"), F.try_variant_get("_v", "$", "string"))).alias("cast"), F.coalesce(F.col("a.p"), F.lit(0)).alias("priority"),
+    known = _aliases(header_alias).limit(most_aliases + 1)
+    n = 1 << max(0, min(most_aliases, header_alias.limit(most_aliases + 1).count()) - 1).bit_length()
+    slot = lambda key: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    found = known.select("header_key", "a", slot(F.col("header_key")).alias("slot")).collect()
+    if len(found) <= most_aliases:
+        slots: list[dict] = [{} for _ in range(n)]
+        for r in found:
+            slots[r["slot"]][r["header_key"]] = {"p": r["a"]["p"], "f": r["a"]["f"]}
+        table = F.from_json(F.lit(json.dumps(slots, ensure_ascii=False)), "array<map<string,struct<p:int,f:string>>>")
+        return sheets, lambda key: table[slot(key)][key]
+    rows = sheets.withColumn("_row", F.monotonically_increasing_id())
+    cells = rows.withColumn("_key", F.explode_outer(F.array_distinct(F.transform(_entries(F.col("payload")), lambda e: header_key(e["key"])))))
+    hits = cells.join(_aliases(header_alias), F.col("_key") == F.col("header_key"), "left").drop("header_key")
+    pairs = F.collect_list(F.when(F.col("a").isNotNull(), F.struct("_key", F.struct(F.col("a.p").cast("int").alias("p"), F.col("a.f").alias("f")))))
+    rows = hits.groupBy("_row").agg(*[F.any_value(c).alias(c) for c in sheets.columns], F.map_from_entries(pairs).alias("_alias")).drop("_row")
+    return rows, lambda key: F.col("_alias")[key]
+
+
+def _cell(header: Column, key: Column, alias: Column, kind: Column) -> Column:
+    return F.struct(
+        header.alias("header"), key.alias("header_key"), F.coalesce(alias["f"], header).alias("field"), alias.isNotNull().alias("known"),
+        F.coalesce(alias["p"].cast("int"), F.lit(0)).alias("priority"), kind.alias("kind"),
     )
 
 
-def _cells_in_place(payload: Column, lookup: Column) -> Column:
-    """The same cells as an array, without leaving the row; lookup is a map from header key to alias."""
-    entry = lambda e: F.struct(e["key"].alias("header"), lookup[header_key(e["key"])].alias("a"), _kind(F.schema_of_variant(e["value"])).alias("kind"), e["value"].alias("v"))
-    typed = lambda c: F.struct(
-        F.coalesce(c["a"]["f"], c["header"]).alias("field"), c["kind"].alias("kind"), F.to_json(c["v"]).alias("value"), F.coalesce(c["a"]["p"], F.lit(0)).alias("priority"),
-        F.when(c["a"].isNotNull(), _fits(c["a"]["f"], c["kind"], F.try_variant_get(c["v"], "$", "string"))).alias("cast"),
-    )
-    return F.transform(F.transform(_entries(payload), entry), typed)
+def _as_json(entries: Column) -> Column:
+    """A JSON object of entries (header, v) in their order; repeated headers stay; null where there is none."""
+    one = F.transform(entries, lambda e: F.to_json(F.map_from_arrays(F.array(e["header"]), F.array(e["v"]))))
+    return F.when(F.size(entries) > 0, F.concat(F.lit("{"), F.array_join(F.transform(one, lambda t: F.substring(t, F.lit(2), F.length(t) - 2)), ","), F.lit("}")))
+
+
+def _ingest(rows: DataFrame, resolve: Callable[[Column], Column], keep: list[str]) -> DataFrame:
+    """`keep`, the standard fields, rescued and origin of each row."""
+    named = F.transform(_entries(F.col("payload")), lambda e: F.struct(e["key"].alias("header"), header_key(e["key"]).alias("key"), e["value"].alias("v")))
+    found = F.transform(named, lambda c: F.struct(c["header"], c["key"], resolve(c["key"]).alias("a"), c["v"]))
+    fit = lambda c: F.when(c["a"].isNotNull(), F.when(c["a"]["f"] == "count", _fits(TARGET["count"], c["v"])).otherwise(_fits("string", c["v"])))
+    cells = F.transform(found, lambda c: F.struct(c["header"], c["key"], c["a"], c["v"], fit(c).alias("cast"), _kind(c["v"]).alias("kind")))
+    rows = rows.select(*keep, "payload", cells.alias("_c"))
+    # of several headers of one field the first alias that fits holds
+    typed = F.array_sort(F.transform(F.filter("_c", lambda c: c["cast"].isNotNull()), lambda c: F.struct(c["a"]["p"].alias("p"), c["a"]["f"].alias("f"), c["cast"])))
+    rest = F.filter("_c", lambda c: c["cast"].isNull() & c["kind"].isNotNull())
+    origin = F.transform("_c", lambda c: _cell(c["header"], c["key"], c["a"], F.when(c["cast"].isNotNull(), c["kind"])))
+    rows = rows.select(*keep, "payload", typed["f"].alias("_f"), typed["cast"].alias("_v"), rest.alias("_r"), origin.alias("origin"))
+    value = lambda f, t: F.try_element_at("_v", F.nullif(F.array_position("_f", f), F.lit(0)).cast("int")).cast(t)
+    whole = F.to_json(F.struct(F.col("payload").alias("_payload")))
+    rescued = F.when(F.col("payload").isNotNull() & F.col("_r").isNull(), whole).otherwise(_as_json(F.col("_r")))
+    return rows.select(*keep, *[value(f, t).alias(f) for f, t in TARGET.items()], rescued.alias("rescued"), "origin")
 
 
-def rescue_rows(sheets: DataFrame, header_alias: DataFrame, key: str = "sheet_row_id", most_aliases: int = 10_000) -> DataFrame:
-    """One standard row for each sheet row: its own columns, every standard field in its enforced type, and `rescued`: JSON of
-    the fields that are unknown or don't fit (field to value), or {"_payload": ...} where the payload isn't an object.
-    Rows delivered again keep their own row; no row is dropped; of a sheet's own columns those named like a standard field
-    give way to it.
+def rescue_rows(sheets: DataFrame, header_alias: DataFrame, most_aliases: int = 10_000) -> DataFrame:
+    """One standard row for each sheet row: its own columns, every standard field in its enforced type, `rescued`: a JSON
+    object of the cells that have an unknown header or don't fit, under their headers as delivered, or {"_payload": ...} where
+    the payload isn't an object, and `origin`: of every cell its header, header key, field (the header itself if unknown), known,
+    priority and kind (JSON type of a cell that has its place in a standard field, else null: the type of a rescued one is
+    that of the rescued value). No cell that isn't null is lost: it is either in its field, in `rescued`, or another header of the
+    same field with a better alias has its place. Keys of nested objects come out sorted.
 
-    Up to `most_aliases` aliases travel as one map literal, and every row is standardized in place, without a shuffle.
-    With more, cells are joined to the aliases and put together again by `key`.
+    Every row, repeated ones and ones without any id included, comes out once. Payloads that aren't a JSON object
+    (null, damaged, an array) give null fields and a null origin. Of a sheet's own columns those named like a standard
+    field, `rescued` or `origin` give way. No shuffle with up to `most_aliases` aliases.
     """
-    ids = [c for c in sheets.columns if c not in ("payload", "rescued", *TARGET)]
-    known = _aliases(header_alias).limit(most_aliases + 1).collect()
-    unfit = lambda c: c["kind"].isNotNull() & c["cast"].isNull()
-    if len(known) <= most_aliases:
-        text = json.dumps({r["header_key"]: {"p": r["a"]["p"], "f": r["a"]["f"]} for r in known}, ensure_ascii=False)
-        rows = sheets.withColumn("_c", _cells_in_place(F.col("payload"), F.from_json(F.lit(text), "map<string,struct<p:int,f:string>>")))
-        fit = lambda f: F.array_min(F.transform(F.filter("_c", lambda c: (c["field"] == f) & c["cast"].isNotNull()), lambda c: F.struct(c["priority"], c["cast"])))["cast"]
-        rest = F.array_sort(F.array_distinct(F.transform(F.filter("_c", unfit), lambda c: F.struct(c["field"], c["value"]))))
-        rows = rows.select(*ids, "payload", *[fit(f).cast(t).alias(f) for f, t in TARGET.items()], rest.alias("_r"))
-    else:
-        cells = ingest_cells(sheets.select(key, "payload"), header_alias)
-        best = lambda f: F.min_by("cast", F.when((F.col("field") == f) & F.col("cast").isNotNull(), F.col("priority")))
-        rest = F.when(F.col("kind").isNotNull() & F.col("cast").isNull(), F.struct("field", "value"))
-        wide = cells.groupBy(key).agg(*[best(f).cast(t).alias(f) for f, t in TARGET.items()], F.sort_array(F.collect_set(rest)).alias("_r"))
-        rows = sheets.select(*ids, "payload").join(wide, key, "left")
-        rows = rows.withColumn("_r", F.when(_entries(F.col("payload")).isNotNull(), F.coalesce("_r", F.array().cast("array<struct<field:string,value:string>>"))))
-    name = lambda x: F.concat(F.lit('"'), F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('":'))
-    pieces = F.transform("_r", lambda x: F.concat(name(x["field"]), x["value"]))
-    whole = F.to_json(F.struct(F.col("payload").alias("_payload")))
-    rescued = F.when(F.col("payload").isNotNull() & F.col("_r").isNull(), whole).when(F.size("_r") > 0, F.concat(F.lit("{"), F.array_join(pieces, ","), F.lit("}")))
-    return rows.select(*ids, *TARGET, rescued.alias("rescued"))
+    keep = [c for c in sheets.columns if c not in ("payload", "rescued", "origin", *TARGET)]
+    rows, resolve = _resolver(sheets.select(*keep, "payload"), header_alias, most_aliases)
+    return _ingest(rows, resolve, keep)
 
 
 def replay(rescued: DataFrame, promoted: dict[str, str]) -> DataFrame:
-    """Promote approved fields: each becomes a column of the given type, filled from the rescue column where the
-    value fits; a value that doesn't fit stays null there and stays in the rescue column."""
-    v = F.try_parse_json("rescued")
-    path = lambda f: "$['" + f.replace("'", "\\'") + "']"
-    return rescued.withColumns({f: F.try_variant_get(v, path(f), t) for f, t in promoted.items()})
-
-
-def schema_changes(sheets: DataFrame, header_alias: DataFrame) -> DataFrame:
-    """(source_file, field, change): each file compared with the file before it in its series.
+    """Promote approved fields (name to type): each becomes a column, filled from the rescue column by the first header that is
+    the same but for its spelling and whose value fits the type. What was replayed leaves `rescued`; a value that doesn't
+    fit stays there, and the column is null."""
+    entries = F.transform(_entries(F.col("rescued")), lambda e: F.struct(e["key"].alias("header"), e["value"].alias("v")))
+    rows = rescued.withColumn("_e", entries)
+    for name, kind in promoted.items():
+        fits = F.transform("_e", lambda e: F.when(header_key(e["header"]) == header_key(F.lit(name)), _fits(kind, e["v"])))  # noqa: B023
+        rows = rows.withColumn("_p", fits).withColumn("_at", F.nullif(F.array_position(F.transform("_p", lambda x: x.isNotNull()), True), F.lit(0)).cast("int"))
+        left = F.when(F.col("_at").isNull(), F.col("_e")).otherwise(F.filter("_e", lambda e, i: i != F.col("_at") - 1))
+        rows = rows.withColumns({name: F.try_element_at("_p", F.col("_at")).cast(kind), "_e": left})
+    return rows.withColumn("rescued", _as_json(F.col("_e"))).drop("_e", "_p", "_at")
+
+
+def schema_changes(sheets: DataFrame, header_alias: DataFrame, most_aliases: int = 10_000) -> DataFrame:
+    """(source_file, field, change): each file compared with the file before it in its series, from what ingestion delivers:
+    the origin of the cells in standard fields, and the rescue column, whose values are read again for the types of all others.
 
     added/removed: the field occurs in only one of the two; renamed: under another header key; retyped: the JSON
     type of most non-null values differs (a tie goes to the alphabetically first type; a field without any
@@ -123,24 +153,30 @@ def schema_changes(sheets: DataFrame, header_alias: DataFrame) -> DataFrame:
     one of the first alias. The first file of a series has no changes. Rows without series, file number or file
     name are left out; repeated and late rows don't matter.
 
-    All cells collapse map-side to one row per file, field, header and type; what is shuffled and windowed is as
-    large as the files' headers, not as the rows.
+    One scan: all cells collapse map-side to one row per file, field, header and type. What is checkpointed, numbered and
+    joined is as large as the files' headers, not as the rows.
     """
-    named = sheets.filter("series_id is not null and file_seq is not null and source_file is not null")
-    cells = ingest_cells(named.select("series_id", "file_seq", "source_file", "payload"), header_alias)
     file = ["series_id", "file_seq", "source_file"]
+    named = sheets.filter("series_id is not null and file_seq is not null and source_file is not null").select(*file, "payload")
+    given, resolve = _resolver(named, header_alias, most_aliases)
+    rows = _ingest(given, resolve, [c for c in given.columns if c != "payload"])
+    keyed = F.transform(_entries(F.col("rescued")), lambda e: F.struct(e["key"].alias("header"), header_key(e["key"]).alias("key"), e["value"].alias("v")))
+    again = F.transform(keyed, lambda c: _cell(c["header"], c["key"], resolve(c["key"]), _kind(c["v"])))
+    # no origin: a payload that has no cells; its file still stands between its neighbours
+    every = F.when(F.col("origin").isNotNull(), F.concat("origin", F.coalesce(again, F.array().cast(f"array<{_CELL}>"))))
+    cells = rows.select(*file, F.explode_outer(every).alias("c"))
     # a field of its own is known by its header key and reported by the header as the file spells it
-    cells = cells.withColumns({"name": F.col("field"), "field": F.when(F.col("known"), F.col("field")).otherwise(F.concat(F.lit("?"), "header_key"))})
+    field = F.when(F.col("c.known"), F.col("c.field")).otherwise(F.concat(F.lit("?"), "c.header_key")).alias("field")
+    cells = cells.select(*file, field, "c.header_key", "c.priority", F.col("c.field").alias("name"), "c.kind")
     # counts alone, all else as keys: a hash aggregation, map-side as small as the files' headers
-    by_type = cells.groupBy(*file, "field", "header_key", "priority", "name", "kind").agg(F.count("kind").alias("n"))
-    # a file's most frequent type and its header of the first alias, both in one aggregation
-    rank = F.struct((-F.col("n")).alias("n"), "kind")
-    summed = by_type.groupBy(*file, "field", "kind").agg(F.sum("n").alias("n"), F.min(F.struct("priority", "header_key")).alias("h"), F.min("name").alias("name"))
-    fields = summed.groupBy(*file, "field").agg(
-        F.min(F.when(F.col("kind").isNotNull(), rank))["kind"].alias("kind"), F.min("h")["header_key"].alias("header"), F.min("name").alias("name")
-    )
-    # files from the rows themselves: one without any cell still stands between its neighbours
-    files = numbered(named.select(*file).distinct(), ["series_id"], ["file_seq", "source_file"], "file_no")
+    by_type = checkpointed(cells.groupBy(*cells.columns).agg(F.count("kind").alias("n")))
+    kinds = ["array", "boolean", "number", "object", "string"]
+    fields = by_type.filter("field is not null").groupBy(*file, "field").agg(
+        F.array(*[F.struct((-F.sum(F.when(F.col("kind") == k, F.col("n")))).alias("n"), F.lit(k).alias("kind")) for k in kinds]).alias("ranks"),
+        F.min(F.struct("priority", "header_key"))["header_key"].alias("header"), F.min("name").alias("name"),
+    )
+    fields = fields.withColumn("kind", F.array_min(F.filter("ranks", lambda x: x["n"] < 0))["kind"]).drop("ranks")
+    files = numbered(by_type.select(*file).distinct(), ["series_id"], ["file_seq", "source_file"], "file_no")
     now = fields.join(files, file).select("series_id", "file_no", "field", "name", "kind", "header", F.lit(True).alias("is_now"))
     before = now.select(
         "series_id", (F.col("file_no") + 1).alias("file_no"), "field", F.col("name").alias("p_name"), F.col("kind").alias("p_kind"),

@@ -40,7 +40,7 @@ def p6_found(spark, d):
 def p6_standard(spark, d):
     """The one consistent table, with the approved fields promoted out of the rescue column."""
     rows = drift.rescue_rows(table(spark, d, "exam_sheet_row"), table(spark, d, "header_alias"))
-    return drift.replay(rows, {"座位数": "int", "场次": "string"})
+    return drift.replay(rows.drop("origin"), {"座位数": "int", "场次": "string"})
 
 
 QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_loaded, p3_found, p4_found, p5_found, p6_found, p6_standard)}
@@ -101,8 +101,11 @@ def _key(c: str) -> str:
     return f"lower(regexp_replace({narrow}, '(?:{sql.SPACE}|[_\\x{{feff}}])+', '', 'g'))"
 
 
+_ALIAS = f"select {_key('alias')} hk, arg_min(field, alias_pos) f, min(alias_pos) p from header_alias group by 1"
+
+
 _P6 = f"""
-with h as (select {_key("alias")} hk, arg_min(field, alias_pos) f, min(alias_pos) p from header_alias group by 1),
+with h as ({_ALIAS}),
 c as (select series_id, file_seq, source_file, unnest(json_keys(payload)) k, payload from exam_sheet_row),
 t as (select series_id, file_seq, source_file, k, {_key("k")} hk, json_type(json_extract(payload, '$."' || replace(k, '"', '\\"') || '"')) jt from c),
 n as (select *, case when jt = 'NULL' then null when jt = 'VARCHAR' then 'string' when jt = 'BOOLEAN' then 'boolean'
@@ -126,6 +129,27 @@ select source_file, field, 'renamed' from z where was and is_now and h0 <> h1 un
 select source_file, field, 'retyped' from z where was and is_now and t0 <> t1
 """
 
+_PROMOTED = {"座位数": "int", "场次": "string"}
+_FIT = f"""case when jt in ('VARCHAR', 'UBIGINT', 'BIGINT', 'DOUBLE', 'HUGEINT') then case when {{kind}} <> 'int' then t
+  when regexp_full_match(t, '\\s*[+-]?[0-9]+\\s*') then cast(try_cast(trim(t) as int) as varchar) end end"""
+_OWN = "sheet_row_id, series_id, file_seq, source_file, row_index, delivered_at"
+_P6_STANDARD = f"""
+with h as ({_ALIAS}),
+c as (select sheet_row_id, payload, unnest(json_keys(payload)) k, generate_subscripts(json_keys(payload), 1) i from exam_sheet_row),
+t as (select sheet_row_id, k, i, {_key("k")} hk, json_extract(payload, '$."' || replace(k, '"', '\\"') || '"') v from c),
+j as (select t.*, h.f, h.p, json_type(v) jt, json_extract_string(v, '$') t from t left join h using (hk)),
+s as (select *, case when jt = 'OBJECT' then '{{' || array_to_string(list_transform(list_sort(json_keys(v)), lambda x: cast(to_json(x) as varchar) || ':' || cast(json_extract(v, '$."' || x || '"') as varchar)), ',') || '}}'
+    else cast(v as varchar) end w, case when f is not null then {_FIT.format(kind="if(f = 'count', 'int', 'string')")} end fit,
+  case {" ".join(f"when f is null and hk = {_key(repr(n))} then {_FIT.format(kind=repr(k))}" for n, k in _PROMOTED.items())} end again from j),
+r as (select *, again is not null and i = min(i) filter (again is not null) over (partition by sheet_row_id, hk) promoted from s),
+g as (select sheet_row_id, {", ".join(f"arg_min(fit, (p, fit)) filter (f = '{x}' and fit is not null) as a_{x}" for x in drift.TARGET)},
+  {", ".join(f"any_value(again) filter (promoted and hk = {_key(repr(n))}) as b_{i}" for i, n in enumerate(_PROMOTED))},
+  string_agg(cast(to_json(k) as varchar) || ':' || w, ',' order by i) filter (jt <> 'NULL' and fit is null and not promoted) rest from r group by 1)
+select {_OWN}, {", ".join(f'cast(a_{x} as {"int" if k == "int" else "varchar"}) as "{x}"' for x, k in drift.TARGET.items())},
+  '{{' || rest || '}}' as rescued, {", ".join(f'cast(b_{i} as {"int" if k == "int" else "varchar"}) as "{n}"' for i, (n, k) in enumerate(_PROMOTED.items()))}
+from exam_sheet_row left join g using (sheet_row_id)
+"""
+
 _QUOTED = '"(?:[^"]|"")*"|“[^”]*”|「[^」]*」'
 _P4 = rf"""
 with r as (select distinct id, teacher from exam_record where teacher is not null),
@@ -171,4 +195,5 @@ ORACLE = {
     "p4_found": _P4,
     "p5_found": _P5,
     "p6_found": _P6,
+    "p6_standard": _P6_STANDARD,
 }

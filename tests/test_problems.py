@@ -389,14 +389,40 @@ def test_schema_changes(spark):
 def test_rescue_and_replay(spark):
     alias = spark.createDataFrame(ALIAS, "field string, alias_pos int, alias string")
     df = _sheet(spark, [
-        (1, 1, "a", '{"班级名称":"x","人数":" 5 ","座\\"位":{"n":1}}'), (1, 1, "a", '{"人数":"many","地点":["p"],"n":7}'), (1, 1, "a", "bad"), (1, 1, "a", None),
+        (1, 1, "a", '{"班级名称":"x","人数":" 5 ","座\\"位\\n":{"n":1,"m":2}}'), (1, 1, "a", '{"人数":"many","地点":["p"],"N ":7}'), (1, 1, "a", "bad"), (1, 1, "a", None),
         (1, 1, "a", "{}"), (1, 1, "a", "[1]"), (1, 1, "a", '{"class name":"second","班级 名称":"first","地点":null,"x":true}'),
+        (1, 1, "a", '{"n":"x","n":1.5,"N_":" 8","人数":2.5}'), (1, 1, "a", '{"count":3,"ｎ":9}'),
     ]).withColumn("class_name", F.lit("clash"))
-    for most in (100, 0):  # in place, and through the join
-        out = drift.replay(drift.rescue_rows(df, alias, most_aliases=most), {"n": "int"}).orderBy("sheet_row_id").collect()
+    for most in (100, 0):  # a literal, and a join
+        given = drift.rescue_rows(df, alias, most_aliases=most)
+        assert [r["rescued"] for r in given.filter("sheet_row_id in (1, 7)").orderBy("sheet_row_id").collect()] == ['{"人数":"many","地点":["p"],"N ":7}', '{"n":"x","n":1.5,"N_":" 8","人数":2.5}']
+        out = drift.replay(given, {"n": "int"}).orderBy("sheet_row_id").collect()
         assert [(r["class_name"], r["count"], r["rescued"], r["n"]) for r in out] == [
-            ("x", 5, '{"座\\"位":{"n":1}}', None), (None, None, '{"count":"many","location":["p"],"n":7}', 7), (None, None, '{"_payload":"bad"}', None),
+            ("x", 5, '{"座\\"位\\n":{"m":2,"n":1}}', None), (None, None, '{"人数":"many","地点":["p"]}', 7), (None, None, '{"_payload":"bad"}', None),
             (None, None, None, None), (None, None, None, None), (None, None, '{"_payload":"[1]"}', None), ("first", None, '{"x":true}', None),
+            (None, None, '{"n":"x","n":1.5,"人数":2.5}', 8), (None, None, '{"count":3}', 9),
         ]
+        assert [tuple(c) for c in out[6]["origin"]] == [
+            ("class name", "classname", "class_name", True, 2, "string"), ("班级 名称", "班级名称", "class_name", True, 1, "string"),
+            ("地点", "地点", "location", True, 1, None), ("x", "x", "x", False, 0, None),
+        ]
+    twice = [(1, '{"地点":"A"}'), (1, '{"地点":"B","人数":3}'), (1, '{"地点":"B","人数":3}'), (None, '{"地点":"C","k":[1]}'), (None, None), (None, "bad")]
+    df = spark.createDataFrame([(i, None, None, None, 1, p) for i, p in twice], "sheet_row_id bigint, series_id int, file_seq int, source_file string, row_index int, payload string")
+    columns = ["sheet_row_id", "location", "count", "rescued"]
+    expected = rows(spark.createDataFrame([(1, "A", None, None), (1, "B", 3, None), (1, "B", 3, None), (None, "C", None, '{"k":[1]}'), (None,) * 4, (None, None, None, '{"_payload":"bad"}')], "a bigint, b string, c int, d string"))
+    for most in (100, 0):
+        assert rows(drift.rescue_rows(df, alias, most_aliases=most).select(columns)) == expected
+    assert drift.rescue_rows(df.limit(0), alias).count() == 0
+    assert [r["rescued"] for r in drift.rescue_rows(df, alias.limit(0)).filter("location is null and sheet_row_id is null").collect()].count('{"地点":"C","k":[1]}') == 1
+
+
+def test_rescue_paths_agree_on_a_whole_table(spark, sf_dir):
+    t, alias = table(spark, sf_dir, "exam_sheet_row"), table(spark, sf_dir, "header_alias")
+    literal, joined = (drift.rescue_rows(t, alias, most_aliases=most) for most in (100, 0))
+    assert rows(literal) == rows(joined) and rows(drift.schema_changes(t, alias)) == rows(drift.schema_changes(t, alias, most_aliases=0))
+
+
+def test_changes_of_repeated_headers(spark):
+    alias = spark.createDataFrame(ALIAS, "field string, alias_pos int, alias string")
     twice = _sheet(spark, [(1, 1, "a", '{"地点":"p","地点":"q"}'), (1, 2, "b", '{"n":1,"n":2}')])
     assert rows(drift.schema_changes(twice, alias)) == [("b", "location", "removed"), ("b", "n", "added")]
