@@ -6,8 +6,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def _div(a: Column, n: int) -> Column:
-    return F.floor(a / F.lit(n)).cast("bigint")
+def floor_div(a: Column, n: int) -> Column:
+    """Whole quotient, rounded down, on integers alone."""
+    return F.call_function("div", a - F.pmod(a, F.lit(n)), F.lit(n))
 
 
 def days_in_month(y: Column, m: Column) -> Column:
@@ -25,12 +26,12 @@ def days_from_date(y: Column, m: Column, d: Column) -> Column:
     y, m, d = y.cast("bigint"), m.cast("bigint"), d.cast("bigint")
     yy = F.when(m <= 2, y - 1).otherwise(y)
     mm = F.pmod(m + 9, F.lit(12))
-    return yy * 365 + _div(yy, 4) - _div(yy, 100) + _div(yy, 400) + _div(mm * 153 + 2, 5) + d - 719469
+    return yy * 365 + floor_div(yy, 4) - floor_div(yy, 100) + floor_div(yy, 400) + floor_div(mm * 153 + 2, 5) + d - 719469
 
 
 def clock_text(seconds: Column) -> Column:
     """yyyy-MM-ddTHH:mm:ss of seconds since the epoch, as they stand."""
-    day, rest = _div(seconds, 86400), F.pmod(seconds, F.lit(86400))
+    day, rest = floor_div(seconds, 86400), F.pmod(seconds, F.lit(86400))
     two = lambda c: F.lpad(c.cast("int").cast("string"), 2, "0")
     date = F.date_from_unix_date(day.cast("int")).cast("string")
-    return F.concat(date, F.lit("T"), two(_div(rest, 3600)), F.lit(":"), two(_div(rest, 60) % 60), F.lit(":"), two(rest % 60))
+    return F.concat(date, F.lit("T"), two(floor_div(rest, 3600)), F.lit(":"), two(floor_div(rest, 60) % 60), F.lit(":"), two(rest % 60))

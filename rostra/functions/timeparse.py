@@ -62,6 +62,13 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def compiled_apart(value: Column) -> Column:
+    """The value itself. A projection that holds a lambda isn't fused with its neighbours into one generated method but is
+    compiled by itself, in many small ones. For projections of long expressions, whose fused method would pass 8,000
+    bytes of bytecode, beyond which the JVM's compiler leaves a method to the interpreter."""
+    return let(value, lambda x: x)
+
+
 def _numbers(p: Column) -> Column:
     """Components as integers; p is [notation, '', y, m, d, start, end]."""
     digits = lambda c: F.translate(c, WIDE_DIGITS, "0123456789").try_cast("int")

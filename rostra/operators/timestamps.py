@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rostra.functions.civil import clock_text, days_from_date, valid_date
-from rostra.functions.text import blank_to_null, strip
+from rostra.functions.civil import clock_text, days_from_date, floor_div, valid_date
+from rostra.functions.text import WHITESPACE
+from rostra.functions.timeparse import compiled_apart
 from rostra.session import broadcast_if_small
 
 _SEP = "\x01"
@@ -15,7 +18,10 @@ _MONTH = "(?:jan|feb|mar|apr|may|jun|jul|aug|sept?|oct|nov|dec)[a-z]{0,6}"
 _DAY = r"(?:(?:mon|tue|wed|thu|fri|sat|sun)[a-z]{0,6},?\s+)?"
 _NAMED_ZONE = r"[a-z]+(?:/[a-z0-9_+\-]+)+"
 #: A zone behind a time: an offset, a name, Beijing time, UTC; the name in brackets behind an offset is ignored.
-_ZONE = rf"(?:\s*[(（]?(?<z>z|北京时间|(?:utc|gmt)?[+-]\d{{1,2}}(?::?\d{{2}})?|utc|gmt|{_NAMED_ZONE})[)）]?(?:\[(?<zb>{_NAMED_ZONE})\])?)?"
+_ZONE = (
+    rf"(?:\s*[(（]?(?:(?<z{{0}}>z|北京时间|{_NAMED_ZONE})|(?:utc|gmt)?(?<zs{{0}}>[+-])(?<zh{{0}}>\d{{{{1,2}}}})(?::?(?<zm{{0}}>\d{{{{2}}}}))?|(?<zu{{0}}>utc|gmt))[)）]?"
+    rf"(?:\[{_NAMED_ZONE}\])?)?"
+)
 _CLOCK = r"(?<h{0}>\d{{1,2}})[:：](?<n{0}>\d{{2}})(?:[:：](?<s{0}>\d{{2}})(?:[.,]\d{{1,9}})?)?"
 
 #: Every notation of a single stamp; each alternative has its own named groups.
@@ -26,29 +32,28 @@ _STAMPS = [
     _DAY + rf"(?<dd>\d{{1,2}})\s+(?<md>{_MONTH})\.?\s+(?<yd>\d{{4}}),?\s+" + _CLOCK.format("d"),
     rf"{_DAY}(?<me>{_MONTH})\.?\s+(?<de>\d{{1,2}}),?\s+(?<ye>\d{{4}}),?\s+" + _CLOCK.format("e") + r"\s*(?<pe>am|pm)?",
 ]
-_STAMP = rf"(?i)^(?:(?<es>\d{{10}})|(?<em>\d{{13}})|(?:{'|'.join(_STAMPS)}){_ZONE})$"
-_STAMP_OUT = [
-    *("".join(f"${{{k}{a}}}" for a in "abcde") for k in "ymdhns"), "${pc}${pe}", "${z}", "${es}", "${em}",
-]
 #: A date with a time range, and the zone behind it.
 _RANGE = (
-    r"(?i)^.*?(?:(?<ya>\d{4})年(?<ma>\d{1,2})月(?<da>\d{1,2})日|(?<yb>\d{4})-(?<mb>\d{1,2})-(?<db>\d{1,2})).*?"
-    r"(?<h>\d{1,2}):(?<n>\d{2})\s*[-~至]\s*(?<k>\d{1,2}):(?<l>\d{2})\)?" + _ZONE + r"[^a-z+]*$"
+    r".*?(?:(?<yf>\d{4})年(?<mf>\d{1,2})月(?<df>\d{1,2})日|(?<yg>\d{4})-(?<mg>\d{1,2})-(?<dg>\d{1,2})).*?"
+    r"(?<hf>\d{1,2}):(?<nf>\d{2})\s*[-~至]\s*(?<hi>\d{1,2}):(?<ni>\d{2})\)?" + _ZONE.format("f") + r"[^a-z+]*"
 )
-_DATE_OUT = ["${ya}${yb}", "${ma}${mb}", "${da}${db}"]
-_LOW_OUT = [*_DATE_OUT, "${h}", "${n}", "", "", "${z}", "", ""]
-_HIGH_OUT = [*_DATE_OUT, "${k}", "${l}", "", "", "${z}", "", ""]
-
+#: What marks a text that stands for both ends: "8:00-9:00" ends a range there, and in a single stamp is a time with an offset.
+_BOTH = "\x02"
+#: All notations in one alternation.
+_ANY = rf"(?i)^[{WHITESPACE}]*(?:{_BOTH}{_RANGE}|(?:(?<es>\d{{10}})|(?<em>\d{{13}})|(?:{'|'.join(_STAMPS)}){_ZONE.format('a')})[{WHITESPACE}]*)$"
+#: Of each component the groups that may hold it; only those of the alternative that matched are filled.
+_PARTS = {
+    "y": "ya yb yc yd ye yf yg", "m": "ma mb mc mf mg", "month": "md me", "d": "da db dc dd de df dg", "h": "ha hb hc hd he hf", "n": "na nb nc nd ne nf", "s": "sa sb sc sd se",
+    "half": "pc pe", "zone": "za zf", "sign": "zsa zsf", "zh": "zha zhf", "zm": "zma zmf", "utc": "zua zuf", "es": "es", "em": "em", "h2": "hi", "n2": "ni",
+}
+#: The replacement refers to the groups by their numbers, which spares a look-up of each name for each text.
+_NUMBERS = {name: i for i, name in enumerate(re.findall(r"\(\?<(\w+)>", _ANY), 1)}
+_OUT = "".join(_SEP + "".join(f"${_NUMBERS[g]}" for g in groups.split()) for groups in _PARTS.values())
 
-def _extract(c: Column, pattern: str, out: list[str]) -> Column:
-    """All components in one pass: the whole text is replaced by the groups, of which only those of the
-    alternative that matched are filled. Null where nothing matches."""
-    text = F.regexp_replace(strip(c), pattern, _SEP + _SEP.join(out))
-    return F.when(text.startswith(_SEP), F.split(text, _SEP))
 
-
-def _int(c: Column) -> Column:
-    return blank_to_null(c).try_cast("int")
+def _extract(text: Column) -> Column:
+    """All components in one pass: the whole text is replaced by the groups. Where nothing matches one piece is left."""
+    return F.split(F.regexp_replace(F.when(~F.contains(text, F.lit(_SEP)), text), _ANY, _OUT), _SEP)
 
 
 def known_zones(df: DataFrame) -> list[str]:
@@ -57,13 +62,20 @@ def known_zones(df: DataFrame) -> list[str]:
     return [z for z in jvm.java.lang.String.join(",", jvm.java.time.ZoneId.getAvailableZoneIds()).split(",") if "/" in z]
 
 
-def _components(p: Column) -> dict[str, Column]:
-    """Typed components of an extracted text; the month by number or by name."""
-    month = F.array_position(F.array(*[F.lit(x) for x in _MONTHS]), F.lower(F.left(p[2], F.lit(3)))).cast("int")
+def _components(p: dict[str, Column]) -> dict[str, Column]:
+    """Typed components of the extracted texts; the month by number or by name, the offset in minutes up to 18 hours."""
+    number = lambda k, kind="int": F.when(p[k] != "", p[k].cast(kind))
+    month = F.array_position(F.array(*[F.lit(x) for x in _MONTHS]), F.lower(F.left(p["month"], F.lit(3)))).cast("int")
+    minutes = F.coalesce(number("zm"), F.lit(0))
+    named = F.lower(p["zone"])
+    offset = (
+        F.when((p["utc"] != "") | (named == "z"), 0).when(named == "北京时间", 8 * 60)
+        .when((p["sign"] != "") & (number("zh") <= 18) & (minutes < 60), F.when(p["sign"] == "-", -1).otherwise(1) * (number("zh") * 60 + minutes))
+    )
     return {
-        "y": _int(p[1]), "m": F.coalesce(_int(p[2]), F.when(month > 0, month)), "d": _int(p[3]),
-        "h": _int(p[4]), "n": _int(p[5]), "s": F.coalesce(_int(p[6]), F.lit(0)), "half": F.lower(p[7]), "z": F.lower(p[8]), "zone": p[8],
-        "epoch": F.coalesce(blank_to_null(p[9]).try_cast("bigint"), F.floor(blank_to_null(p[10]).try_cast("bigint") / 1000).cast("bigint")),
+        "y": number("y"), "m": F.when(p["month"] != "", month).otherwise(number("m")), "d": number("d"), "h": _hour(number("h"), F.lower(p["half"])), "n": number("n"),
+        "s": F.coalesce(number("s"), F.lit(0)), "offset": offset, "zone": F.when(p["sign"] == "", p["zone"]),
+        "epoch": F.coalesce(number("es", "bigint"), floor_div(number("em", "bigint"), 1000)),
     }
 
 
@@ -84,22 +96,9 @@ def _wall_seconds(y: Column, m: Column, d: Column, h: Column, n: Column, s: Colu
     return F.when(ok, days_from_date(y, m, d) * 86400 + (h * 3600 + n * 60 + s).cast("bigint"))
 
 
-def _offset_minutes(z: Column) -> Column:
-    """Of a lower-case zone text: UTC, Beijing time or an offset of up to 18 hours; null for others."""
-    digits = F.regexp_replace(F.regexp_replace(z, "^[a-z]*[+-]", ""), ":", "")
-    short = F.length(digits) <= 2
-    hours = F.when(short, digits).otherwise(F.left(digits, F.length(digits) - 2)).try_cast("int")
-    minutes = F.when(short, 0).otherwise(F.right(digits, F.lit(2)).try_cast("int"))
-    return (
-        F.when(z.isin("z", "utc", "gmt"), 0)
-        .when(z == "北京时间", 8 * 60)
-        .when(z.rlike(r"^(utc|gmt)?[+-]\d") & (hours <= 18) & (minutes < 60), F.when(z.contains("-"), -1).otherwise(1) * (hours * 60 + minutes))
-    )
-
-
 def _by_zone(wall: Column, zone: Column) -> Column:
     """A local time that occurs twice is its earlier instant; one that is skipped moves later by the gap."""
-    return F.floor(F.unix_micros(F.to_utc_timestamp(F.timestamp_micros(wall * 1_000_000), zone)) / 1_000_000).cast("bigint")
+    return F.unix_seconds(F.to_utc_timestamp(F.timestamp_seconds(wall), zone))
 
 
 def normalise_times(feed: DataFrame, campus_zone: DataFrame) -> DataFrame:
@@ -115,29 +114,31 @@ def normalise_times(feed: DataFrame, campus_zone: DataFrame) -> DataFrame:
     rows = feed.join(broadcast_if_small(home), "campus", "left")
     zones = known_zones(feed)
     start, end, raw = F.col("start_timestamp"), F.col("end_timestamp"), F.col("raw_time")
-    filled = (strip(F.coalesce(start, F.lit(""))) != "") | (strip(F.coalesce(end, F.lit(""))) != "")
-    rows = rows.withColumns({
-        "_lo": F.when(filled, _extract(start, _STAMP, _STAMP_OUT)).otherwise(_extract(raw, _RANGE, _LOW_OUT)),
-        "_hi": F.when(filled, _extract(end, _STAMP, _STAMP_OUT)).otherwise(_extract(raw, _RANGE, _HIGH_OUT)),
-    })
+    shown = lambda c: F.coalesce(c.rlike(f"[^{WHITESPACE}]"), F.lit(False))
     # step by step: each projection refers to columns of the one before, so nothing is computed twice
+    rows = rows.withColumn("_filled", shown(start) | shown(end))
+    filled = F.col("_filled")
+    rows = rows.withColumns({"_lo": _extract(F.when(filled, start).otherwise(F.concat(F.lit(_BOTH), raw))), "_hi": _extract(F.when(filled, end))})
+    place = {k: i for i, k in enumerate(_PARTS, 1)}
+    low = lambda k: F.get("_lo", F.lit(place[k]))
+    high = lambda k: F.when(filled, F.get("_hi", F.lit(place[k]))).otherwise(low({"h": "h2", "n": "n2"}.get(k, k)))
+    sides = {"lo": {k: low(k) for k in _PARTS}, "hi": {k: high(k) for k in _PARTS}}
     of = lambda e: lambda name: F.col(f"_{e}_{name}")
-    rows = rows.withColumns({f"_{e}_{k}": v for e in ("lo", "hi") for k, v in _components(F.col(f"_{e}")).items()})
-    rows = rows.withColumns({f"_{e}_h": _hour(of(e)("h"), of(e)("half")) for e in ("lo", "hi")})
+    parts = {f"_{e}_{k}": v for e, p in sides.items() for k, v in _components(p).items()}
+    rows = rows.withColumns(parts | {"_home": compiled_apart(F.col("_home"))})
     wall = lambda c: _wall_seconds(*(c(k) for k in "ymdhns"))
     rows = rows.withColumns({
         **{f"_{e}_wall": wall(of(e)) for e in ("lo", "hi")},
-        **{f"_{e}_offset": _offset_minutes(of(e)("z")) for e in ("lo", "hi")},
-        **{f"_{e}_named": F.when(of(e)("z") == "", F.col("_home")).otherwise(of(e)("zone")) for e in ("lo", "hi")},
+        **{f"_{e}_named": F.when(of(e)("zone") == "", compiled_apart(F.col("_home"))).otherwise(of(e)("zone")) for e in ("lo", "hi")},
     })
     # one parsed expression, not a literal object for each of some hundred names
     listed = ", ".join(f"'{z}'" for z in zones)
-    rows = rows.withColumns({f"_{e}_zone": F.expr(f"case when _{e}_named in ({listed}) then _{e}_named end") for e in ("lo", "hi")})
-    utc = lambda c: F.coalesce(c("epoch"), c("wall") - c("offset") * 60, F.when(c("zone").isNotNull(), _by_zone(c("wall"), c("zone"))))
-    rows = rows.withColumns({f"_{e}": utc(of(e)) for e in ("lo", "hi")})
-    both = F.col("_lo").isNotNull() & F.col("_hi").isNotNull()
+    known = lambda e: F.expr(f"case when _{e}_named in ({listed}) then _{e}_named end")
+    utc = lambda e: F.coalesce(compiled_apart(of(e)("epoch")), of(e)("wall") - of(e)("offset") * 60, _by_zone(of(e)("wall"), known(e)))
+    rows = rows.withColumns({"_low": utc("lo"), "_high": utc("hi")})
+    both = compiled_apart(F.col("_low").isNotNull() & F.col("_high").isNotNull())
     text = lambda c: F.when(both, F.concat(clock_text(F.col(c)), F.lit("Z")))
-    return rows.withColumns({"start_utc": text("_lo"), "end_utc": text("_hi")}).select(*feed.columns, "start_utc", "end_utc")
+    return rows.withColumns({"start_utc": text("_low"), "end_utc": text("_high")}).select(*feed.columns, "start_utc", "end_utc")
 
 
 def found_times(feed: DataFrame, campus_zone: DataFrame) -> DataFrame:
