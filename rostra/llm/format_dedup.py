@@ -17,9 +17,10 @@ def _stripped(c: Column) -> Column:
 
 
 def _histogram(c: Column) -> Column:
-    """Fingerprint of how often each character occurs, whatever the order: the sum of a 40-bit hash of each one."""
-    each = F.transform(F.split(c, ""), lambda x: F.xxhash64(x).bitwiseAND(F.lit((1 << 40) - 1)))
-    return F.aggregate(each, F.lit(0).cast("bigint"), lambda a, x: a + x)
+    """Fingerprint of how often each character occurs, whatever the order: the sum of a 40-bit hash of each one. It is never
+    null, as the plan can tell, so that a join on it needs no filter, which would compute it once more."""
+    total = F.aggregate(F.split(c, ""), F.lit(0).cast("bigint"), lambda a, x: a + F.xxhash64(x).bitwiseAND(F.lit((1 << 40) - 1)))
+    return F.coalesce(total, F.lit(0).cast("bigint"))
 
 
 def entry_classes(df: DataFrame, row_id: str = "listing_id", fields: list[str] = FIELDS) -> DataFrame:
@@ -36,9 +37,10 @@ def entry_classes(df: DataFrame, row_id: str = "listing_id", fields: list[str] =
     rows = df.select(F.col(row_id).alias("_id"), *[F.coalesce(F.col(f).cast("string"), F.lit("")).alias(f"_f{i}") for i, f in enumerate(fields)])
     rows = rows.filter("_id is not null")
     values = [f"_f{i}" for i in range(len(fields))]
-    total = rows.count()
     cheap = rows.withColumn("_all", _stripped(F.concat(*values))).withColumns({"_len": F.length("_all"), "_hist": _histogram(F.col("_all"))}).drop("_all")
-    several = cheap.groupBy("_len", "_hist").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1")
+    # 24 bytes for each class of several, used for the size of the hot ones and for the join
+    several = checkpointed(cheap.groupBy("_len", "_hist").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1"))
+    total = several.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
     members = skew_safe_join(cheap, several, ["_len", "_hist"], "_n", "_id", total)
     key = F.concat_ws("\x01", F.array_sort(F.array(*[_stripped(F.col(v)) for v in values])))
     keyed = members.select("_id", key.alias("_key")).select("_id", F.xxhash64("_key").alias("_k1"), F.xxhash64(F.lit("2"), F.col("_key"), F.length("_key")).alias("_k2"))
