@@ -219,7 +219,7 @@ class Encoder:
         return ids, np.diff(bounds)
 
 
-def _parts(texts: pa.Array) -> Iterator[tuple[int, int]]:
+def byte_runs(texts: pa.Array) -> Iterator[tuple[int, int]]:
     """Runs of texts of about _BATCH_BYTES together; only these become Python strings at a time."""
     sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
     start = 0
@@ -236,7 +236,7 @@ def _encoded(df: DataFrame, id_column: str, text_column: str, tokenizer: str, co
         encoder = Encoder(tables.value)
         for batch in batches:
             keys, texts = batch.column(0), batch.column(1)
-            for lo, hi in _parts(texts):
+            for lo, hi in byte_runs(texts):
                 ids, counts = encoder.encode(texts.slice(lo, hi - lo).to_pylist())
                 if counts_only:
                     value = pa.array(counts, pa.int64())

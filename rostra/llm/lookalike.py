@@ -11,12 +11,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rostra.llm.bpe import byte_runs
 from rostra.session import checkpointed, skew_safe_join
 
 # Cyrillic and Greek letters that look like a Latin letter, in pairs.
 _LOOKALIKES = (
-    "АA ВB ЕE ЅS ІI ЈJ КK МM НH ОO РP СC ТT ХX ҮY ԚQ ԜW аa еe оo рp сc уy хx ѕs іi јj ԛq ԝw һh ԁd ӏl "
-    "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX οo ϲc ϳj"
+    "АA ВB ЕE ЅS ІI ЈJ КK МM НH ОO РP СC ТT ХX ҮY ԚQ ԜW ԌG ѴV аa еe оo рp сc уy хx ѕs іi јj ԛq ԝw һh ԁd ӏl ѵv үy "
+    "ΑA ΒB ΕE ΖZ ΗH ΙI ΚK ΜM ΝN ΟO ΡP ΤT ΥY ΧX ϹC ͿJ αa γy ιi κk νv οo ρp υu χx ϲc ϳj"
 )
 # CJK radical signs without a compatibility decomposition, and their ideographs, in pairs.
 _RADICALS = "⺁厂 ⺅亻 ⺇几 ⺉刂 ⺋㔾 ⺒巳 ⺓幺 ⺖忄 ⺗㣺 ⺘扌 ⺙攵 ⺛旡 ⺝月 ⺟母 ⺠民 ⺡氵 ⺢氺 ⺣灬 ⺤爫 ⺦丬 ⺨犭 ⺩王 ⺪疋 ⺫罒 ⺬示 ⺭礻 ⺮竹 ⺯糹 ⺰纟 ⺱罓 ⺲罒 ⺷羊 ⺸羊 ⺹耂 ⺼肉 ⺽臼 ⺾艹 ⺿艹 ⻀艹 ⻁虎 ⻂衤 ⻃覀 ⻄西 ⻅见 ⻆角 ⻈讠 ⻉贝 ⻋车 ⻌辶 ⻍辶 ⻎辶 ⻏阝 ⻐钅 ⻑長 ⻒镸 ⻓长 ⻔门 ⻖阝 ⻗雨 ⻘青 ⻙韦 ⻚页 ⻛风 ⻜飞 ⻝食 ⻟飠 ⻠饣 ⻢马 ⻣骨 ⻤鬼 ⻥鱼 ⻦鸟 ⻧卤 ⻨麦 ⻩黄 ⻬齐 ⻮齿 ⻰龙 ⻳龟"
@@ -60,7 +61,8 @@ class Canonical:
     A quick check tells stable from unstable characters: a character is unstable if it has a replacement, isn't
     allowed in the normal form (quick check no), may combine with what stands before it (maybe), or is a mark.
     Only runs of unstable characters, together with the starter before them, are normalized; the results are
-    spliced into the text, whose stable stretches stay as they are.
+    spliced into the text, whose stable stretches stay as they are. Characters beyond the first plane count as unstable in
+    the quick check, so that it is one look-up in a bit map for each character; normalizing them changes only those that aren't stable.
     """
 
     def __init__(self) -> None:
@@ -82,20 +84,19 @@ class Canonical:
             if c in maybe or unicodedata.combining(c) or self._normal(c) != c:
                 unstable.append(ord(c))
         kinds, start = [], None
+        unstable = [p for p in unstable if p < 0x10000]
         for k, p in enumerate(unstable):  # as ranges
             start = p if start is None else start
             if k + 1 == len(unstable) or unstable[k + 1] != p + 1:
                 kinds.append(f"{re.escape(chr(start))}-{re.escape(chr(p))}")
                 start = None
-        each = "".join(kinds)
-        self.segment = re.compile(f"[^{each}]?[{each}]+", re.DOTALL)
+        self.runs = re.compile("[" + "".join(kinds) + "\U00010000-\U0010ffff]+", re.DOTALL)
         self.known: dict[str, str] = {}
 
     def _normal(self, text: str) -> str:
         return unicodedata.normalize("NFC", unicodedata.normalize("NFD", text.translate(self.table)).translate(self.letters))
 
-    def _spliced(self, match: re.Match) -> str:
-        s = match.group()
+    def _segment(self, s: str) -> str:
         out = self.known.get(s)
         if out is None:
             out = self._normal(s)
@@ -106,7 +107,20 @@ class Canonical:
         return out
 
     def __call__(self, text: str) -> str:
-        return text if text.isascii() else self.segment.sub(self._spliced, text)
+        if text.isascii():
+            return text
+        pieces, at = [], 0
+        for run in self.runs.finditer(text):
+            start = max(at, run.start() - 1)  # the starter before the run
+            pieces += (text[at:start], self._segment(text[start : run.end()]))
+            at = run.end()
+        return "".join(pieces) + text[at:] if pieces else text
+
+
+def _texts(column: pa.Array) -> Iterator[str | None]:
+    """The texts one after the other; only a bounded slice of them is turned into strings at a time."""
+    for lo, hi in byte_runs(column):
+        yield from column.slice(lo, hi - lo).to_pylist()
 
 
 def canonical_texts(df: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -115,7 +129,7 @@ def canonical_texts(df: DataFrame, id_column: str = "doc_id", text_column: str =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         canonical = Canonical()
         for batch in batches:
-            texts = [None if t is None else canonical(t) for t in batch.column(1).to_pylist()]
+            texts = [None if t is None else canonical(t) for t in _texts(batch.column(1))]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=["id", "canonical"])
 
     rows = df.select(F.col(id_column).alias("id"), F.col(text_column).cast("string").alias("value"))
@@ -130,44 +144,63 @@ def _fingerprints(df: DataFrame) -> DataFrame:
         canonical = Canonical()
         digest = lambda t: hashlib.blake2b(t.encode("utf8", "surrogatepass"), digest_size=16).digest()
         for batch in batches:
-            ids, looks, chars = [], [], []
-            for i, t in zip(batch.column(0), batch.column(1), strict=True):
-                text = t.as_py()
+            shown, looks, chars = [], [], []
+            for text in _texts(batch.column(1)):
                 form = canonical(text) if text else ""
-                if form.strip():
-                    ids.append(i.as_py())
-                    looks.append(digest(form))
+                shown.append(bool(form) and not form.isspace())
+                if shown[-1]:
                     chars.append(digest(text))
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(looks, pa.binary()), pa.array(chars, pa.binary())], names=["doc_id", "look", "chars"])
+                    looks.append(chars[-1] if form is text else digest(form))
+            ids = batch.column(0).filter(pa.array(shown, pa.bool_()))
+            yield pa.RecordBatch.from_arrays([ids, pa.array(looks, pa.binary()), pa.array(chars, pa.binary())], names=["doc_id", "look", "chars"])
 
     return df.select("doc_id", "text").mapInArrow(run, "doc_id bigint, look binary, chars binary")
 
 
-def lookalike_pairs(docs: DataFrame, block: int = 20_000) -> DataFrame:
+def _classes(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(texts, classes): of each text of a class of several texts its look, chars and number n of documents; and of each such
+    class its look, class_id (smallest doc_id), number of texts and of documents."""
+    texts = prints.groupBy("look", "chars").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first"))
+    classes = texts.groupBy("look").agg(F.min("first").alias("class_id"), F.count(F.lit(1)).alias("texts"), F.sum("n").alias("documents")).filter("texts > 1")
+    return texts.select("look", "chars", "n"), classes
+
+
+def lookalike_classes(docs: DataFrame) -> DataFrame:
+    """(doc_id, class_id, texts, documents) of every document whose text looks the same as another text: the class by its
+    smallest doc_id, how many different texts it has and how many documents. The compact and complete form of the pairs, one row
+    a document, however large a class is; texts that nothing else looks like, null texts and ones that show nothing are left out.
+    """
+    prints = checkpointed(_fingerprints(docs.filter("text is not null and doc_id is not null")))
+    _, classes = _classes(prints)
+    return skew_safe_join(prints, classes, ["look"], "documents", "doc_id", prints.count()).select("doc_id", "class_id", "texts", "documents")
+
+
+def lookalike_pairs(docs: DataFrame, block: int = 20_000, most_texts: int = 2_000) -> DataFrame:
     """(doc_id_1, doc_id_2), doc_id_1 < doc_id_2: all pairs of documents whose texts look the same but aren't the
-    same characters. Null texts and texts that show nothing are left out, as are documents without an id.
+    same characters. Null texts and texts that show nothing are left out, as are documents without an id. The pairs grow with
+    the square of a class; lookalike_classes says the same with one row a document.
 
     Only 40 bytes of a document are shuffled. Copies of one text make no pairs with each other: classes of a single
     text, however many copies it has, drop out before anything is joined. In the others each document of one text meets
-    those of the other texts, which is the result itself; texts with many copies are split into blocks of `block`
-    documents, so no task has more than one block of a text at a time.
+    those of the other texts, which is the result itself. A look of more than `most_texts` texts is split into parts
+    that meet each other two by two, and texts with many copies are split into blocks of `block` documents, so no task has
+    more than two parts of a look, or two blocks of texts, at a time.
     """
     # canonical forms are made once; they are used for the class counts and for both sides
     prints = checkpointed(_fingerprints(docs.filter("text is not null and doc_id is not null")))
-    texts = prints.groupBy("look", "chars").agg(F.count(F.lit(1)).alias("n"))
-    classes = texts.groupBy("look").agg(F.count(F.lit(1)).alias("texts")).filter("texts > 1").select("look")
+    texts, classes = _classes(prints)
     # the pairs of different texts of a class, with the number of blocks of either
-    several = texts.join(classes, "look", "left_semi").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
-    one = several.select("look", F.col("chars").alias("chars_1"), F.col("blocks").alias("blocks_1"))
-    other = several.select("look", F.col("chars").alias("chars_2"), F.col("blocks").alias("blocks_2"))
-    pairs = one.join(other, "look").filter("chars_1 < chars_2").drop("look")
+    several = texts.join(classes.select("look", "texts"), "look").withColumn("blocks", F.ceil(F.col("n") / block).cast("int"))
+    parts = F.ceil(F.col("texts") / most_texts).cast("int")
+    several = several.withColumn("part", F.pmod(F.xxhash64("chars"), parts).cast("int")).withColumn("every", F.sequence(F.lit(0), parts - 1))
+    one = several.select("look", F.col("part").alias("p1"), F.explode("every").alias("p2"), F.col("chars").alias("chars_1"), F.col("blocks").alias("blocks_1"))
+    other = several.select("look", F.explode("every").alias("p1"), F.col("part").alias("p2"), F.col("chars").alias("chars_2"), F.col("blocks").alias("blocks_2"))
+    pairs = one.join(other, ["look", "p1", "p2"]).filter("chars_1 < chars_2").drop("look", "p1", "p2")
     seq = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     pairs = pairs.withColumn("block_1", seq("blocks_1")).withColumn("block_2", seq("blocks_2"))
     # documents of a text in their blocks; only texts that have a partner
     met = skew_safe_join(prints, several.select("look", "chars", "n", "blocks"), ["look", "chars"], "n", "doc_id", prints.count())
-    parts = met.select(
-        "chars", "doc_id", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block")
-    )
-    side = lambda k: parts.select(F.col("chars").alias(f"chars_{k}"), F.col("block").alias(f"block_{k}"), F.col("doc_id").alias(f"d{k}"))
+    placed = met.select("chars", "doc_id", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int").alias("block"))
+    side = lambda k: placed.select(F.col("chars").alias(f"chars_{k}"), F.col("block").alias(f"block_{k}"), F.col("doc_id").alias(f"d{k}"))
     met = pairs.join(side(1), ["chars_1", "block_1"]).join(side(2), ["chars_2", "block_2"]).filter("d1 <> d2")
     return met.select(F.least("d1", "d2").alias("doc_id_1"), F.greatest("d1", "d2").alias("doc_id_2")).distinct()
