@@ -57,9 +57,12 @@ def hidden_copies(df: DataFrame) -> DataFrame:
 
 
 def collapsed_entries(df: DataFrame) -> DataFrame:
-    """The table with every entry once, as its row of the smallest listing_id writes it, and its number of copies."""
+    """The table with every entry once, as its row of the smallest listing_id writes it, and its number of copies. Of rows that
+    share one id the smallest in code-point order stays; rows without an id stay each by itself, with one copy."""
     copies = entry_classes(df)
-    firsts = copies.filter("listing_id = first_id").select("listing_id", "copies")
+    firsts = copies.filter("listing_id = first_id").groupBy("listing_id").agg(F.max("copies").alias("copies"))
     later = copies.filter("listing_id <> first_id").select("listing_id")
-    kept = df.select("listing_id", *FIELDS).join(later, "listing_id", "left_anti").join(firsts, "listing_id", "left")
-    return kept.select("listing_id", *FIELDS, F.coalesce("copies", F.lit(1).cast("bigint")).alias("copies"))
+    kept = df.select("listing_id", *FIELDS).withColumn("_row", F.when(F.col("listing_id").isNull(), F.monotonically_increasing_id()))
+    kept = kept.join(later, "listing_id", "left_anti").join(firsts, "listing_id", "left")
+    one = kept.groupBy("listing_id", "_row").agg(F.min(F.struct(*FIELDS)).alias("r"), F.max("copies").alias("copies"))
+    return one.select("listing_id", *[F.col(f"r.{f}").alias(f) for f in FIELDS], F.coalesce("copies", F.lit(1).cast("bigint")).alias("copies"))

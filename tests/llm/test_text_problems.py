@@ -28,6 +28,10 @@ def test_hidden_copies(spark):
     kept = {r.listing_id: (r.copies, r.course_code) for r in format_dedup.collapsed_entries(df).collect()}
     assert kept[1] == (3, "GE-1") and kept[6] == (3, None) and kept[3] == (1, "ge1") and sum(c for c, _ in kept.values()) == 13
     assert format_dedup.hidden_copies(df.limit(0)).count() == 0
+    again = df.filter("listing_id <= 3").unionAll(df.filter("listing_id = 1")).unionAll(df.filter("listing_id = 3").withColumn("listing_id", F.lit(None).cast("bigint")))
+    again = again.unionAll(again.filter("listing_id is null"))
+    assert rows(format_dedup.collapsed_entries(again).select("listing_id", "course_code", "copies")) == [(None, "ge1", 1), (None, "ge1", 1), (1, "GE-1", 3), (3, "ge1", 1)]
+    assert rows(format_dedup.hidden_copies(again)) == [(1, 2)]
 
 
 def test_hidden_copies_of_a_hot_entry(spark):
@@ -177,6 +181,8 @@ def test_canonical_form(canonical):
     apart = [("é", "e"), ("A", "a"), ("①", "1"), ("²", "2"), ("½", "1/2"), ("№", "No"), ("…", "..."), ("“", '"'), ("—", "-"), ("0", "O"), ("1", "l"), ("\n", " "), ("\t", " "), ("·", "."), ("й", "и")]
     for a, b in apart:
         assert canonical(a) != canonical(b), (a, b)
+    for look, latin in (("ανυκιργχ ѵү", "avukipyx vy"), ("ά", "á"), ("𝐀е", "𝐀e"), ("е\U000e0100x", "ex")):
+        assert canonical(look) == latin
 
 
 _HARD = st.text(alphabet=st.one_of(st.characters(exclude_categories=["Cs"]), st.sampled_from("aeо ｅﬁ⼈̧́̈​‍　ёЙ가ᅡᆨ각ⅷㄱ이")), max_size=30)
@@ -195,9 +201,10 @@ def test_pairs(spark):
     df = spark.createDataFrame([(i, t, "k", "c") for i, t in enumerate(texts)], "doc_id bigint, text string, look string, chars string")
     alike = [0, 1, 2, 3, 9]
     expected = [(a, b) for a in alike for b in alike if a < b and (a, b) != (1, 2)] + [(10, 11)]
-    for block in (1, 2, 1000):
-        assert sorted(map(tuple, lookalike.lookalike_pairs(df, block).collect())) == sorted(expected)
-    assert lookalike.lookalike_pairs(df.limit(0)).count() == 0
+    for block, most in ((1, 1), (2, 3), (1000, 2), (1000, 1000)):
+        assert sorted(map(tuple, lookalike.lookalike_pairs(df, block, most).collect())) == sorted(expected)
+    assert lookalike.lookalike_pairs(df.limit(0)).count() == lookalike.lookalike_classes(df.limit(0)).count() == 0
+    assert sorted(map(tuple, lookalike.lookalike_classes(df).collect())) == [(i, 0, 4, 5) for i in alike] + [(i, 10, 2, 2) for i in (10, 11)]
 
 
 def test_pairs_of_a_whole_table(spark, sf_dir, canonical):
