@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,25 +44,29 @@ def chosen_attachments(files: DataFrame, page: str, name: str = "name") -> DataF
 
 
 def absolute_url(base: str, href: Column) -> Column:
-    """PRJ-15 for the forms that occur in pages: absolute, //host, /path, ?query, #fragment and relative references; dot
-    segments at the front of a relative reference are resolved against the base, one level each."""
+    """PRJ-15: a reference of any form against the page it stands on, as RFC 3986 resolves it: absolute ones and //host stay as they
+    are, ?query and #fragment keep the page's path, and dot segments anywhere in a path are resolved, as often as they
+    occur and never above the root. Null gives null, an empty reference the page itself."""
     scheme, _, rest = base.partition("://")
-    host, _, path = rest.partition("/")
-    path = path.split("#")[0].split("?")[0]
-    levels = path.split("/")[:-1]
-    out = F.concat(F.lit(f"{scheme}://{host}/" + "".join(f"{p}/" for p in levels)), F.regexp_replace(href, r"^\./", ""))
-    for up in range(1, len(levels) + 2):  # the deepest climb, added last, is tested first
-        root = f"{scheme}://{host}/" + "".join(f"{p}/" for p in levels[: max(0, len(levels) - up)])
-        out = F.when(href.rlike(rf"^(?:\.\./){{{up}}}"), F.concat(F.lit(root), F.regexp_replace(href, r"^(?:\.\./)+", ""))).otherwise(out)
+    host = re.match("[^/?#]*", rest)[0]
+    path, query = re.match("([^?#]*)([?][^#]*)?", rest[len(host) :]).groups("")
+    site, folder = f"{scheme}://{host}", path[: path.rfind("/") + 1] or "/"
+    own = F.regexp_extract(href, "^[^?#]*", 0)
+    tail = F.substring(href, F.length(own) + 1, F.length(href))
+    segments = F.split(F.when(own.startswith("/"), own).otherwise(F.concat(F.lit(folder), own)), "/")
+    last = F.element_at(segments, -1)
+    # empty segments within a relative path vanish; a closing dot segment leaves the folder
+    inner = F.filter(segments, lambda s, i: (i == 0) | (s != "") | (i == F.size(segments) - 1) | own.startswith("/"))
+    step = lambda done, s: F.when(s == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(s == ".", done).otherwise(F.concat(done, F.array(s)))
+    kept = F.aggregate(inner, F.array().cast("array<string>"), step)
+    whole = F.array_join(F.when(last.isin(".", ".."), F.concat(kept, F.array(F.lit("")))).otherwise(kept), "/")
+    whole = F.when(whole.startswith("/"), whole).otherwise(F.concat(F.lit("/"), whole))
     return (
-        F.when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), href)
+        F.when(href == "", F.lit(base)).when(href.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), href)
         .when(href.startswith("//"), F.concat(F.lit(f"{scheme}:"), href))
-        .when(href.startswith("/"), F.concat(F.lit(f"{scheme}://{host}"), href))
-        .when(href == "", F.lit(base))
-        .when(href.startswith("?"), F.concat(F.lit(f"{scheme}://{host}/{path}"), href))
-        .when(href.startswith("#"), F.concat(F.lit(base.split("#")[0]), href))
-        .otherwise(out)
-    )
+        .when(href.startswith("#"), F.concat(F.lit(site + path + query), href)).when(href.startswith("?"), F.concat(F.lit(site + path), href))
+        .otherwise(F.concat(F.lit(site), whole, tail))
+    )
 
 
 def is_workbook_link(href: Column) -> Column:
@@ -111,9 +117,11 @@ def unchanged(a: DataFrame, b: DataFrame, order: list[str], strict: bool = True)
     return bool(rows_differ(a.drop(*drop), b.drop(*drop)).first()["equal"])
 
 
-def first_row_per(df: DataFrame, keys: list[str], order: list[str], top: int) -> DataFrame:
-    """LIM-1: the first rows of each file."""
-    return df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col("_r") <= top).drop("_r")
+def first_row_per(df: DataFrame, keys: list[str], order: list[str], top: int, name: str | None = None) -> DataFrame:
+    """LIM-1: the first rows of each file, with their place as `name` if one is given. The row limit is applied map-side, before
+    the window's shuffle."""
+    ranked = df.withColumn(name or "_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter(F.col(name or "_r") <= top)
+    return ranked if name else ranked.drop("_r")
 
 
 def fetch_summary(fetched: DataFrame, ok: str = "ok") -> DataFrame:

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rostra.functions.display import display
 from rostra.functions.text import blank_to_null
+from rostra.operators.ranking import numbered
 from rostra.schema import MAX_ERRORS, MAX_SAMPLES
+from rostra.session import checkpointed
 
 #: AGG-5: names of Spark types as the profile reports them.
 _TYPE_NAMES = {"string": "object", "int": "int64", "bigint": "int64", "double": "float64", "boolean": "bool"}
@@ -61,6 +64,70 @@ def first_values(df: DataFrame, columns: list[str], order: list[Column], top: in
     return kept.groupBy("column").agg(F.array_join(F.transform(pair, lambda x: x["v"]), ", ").alias("samples"))
 
 
+def _dtype(kinds: Column, nulls: Column, rows: Column) -> Column:
+    """AGG-5: the type that a column of cells of these kinds gets: whole numbers with gaps are floats, an empty column of some rows
+    is one of floats, everything mixed is object."""
+    only = lambda *names: F.forall(kinds, lambda k: k.isin(*names))
+    return (
+        F.when(rows == 0, "object").when(only("int") & (nulls == 0), "int64").when(only("int", "float"), "float64").when(only("bool") & (nulls == 0), "bool")
+        .when(only("date"), "datetime64[ns]").otherwise("object")
+    )
+
+
+def sheet_profile(sheets: DataFrame, file: str, row: str, cells: str = "cells", top: int = MAX_SAMPLES) -> DataFrame:
+    """AGG-1..5 for all files at once: (file, column, place, kind, non_null, nulls, non_null_pct, n_distinct, samples) of every column
+    that a file has. `sheets` has one row for each row of a file, with its cells (column, kind, value); a row without cells counts
+    as a row. A column that some rows of a file lack is null in them. Values of other kinds are different ones.
+
+    One scan: cells collapse map-side to one row per file, column and value; windows for the samples see the first ones of each
+    salt only, so a file or column of any size is no single task.
+    """
+    each = sheets.select(file, F.col(row).alias("_row"), F.posexplode_outer(cells).alias("_pos", "c"))
+    values = each.groupBy(file, "c.column", "c.kind", "c.value").agg(F.count(F.lit(1)).alias("n"), F.min("_row").alias("first"), F.min("_pos").alias("pos"))
+    values = checkpointed(values)
+    sizes = sheets.groupBy(F.col(file).alias("_file")).agg(F.count(F.lit(1)).alias("_rows"))
+    some = F.col("value").isNotNull()
+    sums = values.filter("column is not null").groupBy(file, "column").agg(
+        F.min("pos").alias("_pos"), F.coalesce(F.sum(F.when(some, F.col("n"))), F.lit(0)).alias("non_null"), F.count("value").alias("n_distinct"),
+        F.collect_set(F.when(some, F.col("kind"))).alias("_kinds"),
+    )
+    known = values.filter("value is not null").withColumn("_salt", F.pmod(F.xxhash64("value"), F.lit(64)))
+    rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("first", "value", "kind"))
+    known = known.withColumn("_r", rank(file, "column", "_salt")).filter(F.col("_r") <= top)
+    known = known.withColumn("_r", rank(file, "column")).filter(F.col("_r") <= top)
+    pairs = F.array_sort(F.collect_list(F.struct("_r", F.left("value", F.lit(30)).alias("v"))))
+    samples = known.groupBy(F.col(file).alias("_f"), F.col("column").alias("_c")).agg(F.array_join(F.transform(pairs, lambda x: x["v"]), ", ").alias("samples"))
+    out = sums.join(sizes, F.col(file).eqNullSafe(F.col("_file"))).join(samples, F.col(file).eqNullSafe(F.col("_f")) & (F.col("column") == F.col("_c")), "left")
+    out = out.withColumn("nulls", F.col("_rows") - F.col("non_null"))
+    place = F.row_number().over(Window.partitionBy(file).orderBy("_pos", "column"))  # a file's columns, not its rows
+    return out.select(
+        file, "column", place.alias("place"), _dtype(F.col("_kinds"), F.col("nulls"), F.col("_rows")).alias("kind"), "non_null", "nulls",
+        percent(F.col("non_null"), F.col("_rows")).alias("non_null_pct"), "n_distinct", "samples",
+    )
+
+
+def raw_value(kind: Column, value: Column) -> Column:
+    """PRJ-10: dates in ISO form, everything else as its text, missing stays null."""
+    return F.when(kind == "date", F.replace(value, F.lit(" "), F.lit("T"))).otherwise(value)
+
+
+def raw_samples(sheets: DataFrame, file: str, row: str, cells: str = "cells", top: int = MAX_SAMPLES) -> DataFrame:
+    """PRJ-10/12, LIM-1: (file, place, pos, column, value) of the first rows of each file as they are displayed: headers cut to 15,
+    values to 20 characters, newlines as spaces, bars as slashes. The row limit is applied map-side, before the window's shuffle."""
+    text = F.to_json(F.col(cells))
+    rank = F.row_number().over(Window.partitionBy(file).orderBy(row, "_text"))
+    first = sheets.select(file, row, cells, text.alias("_text")).withColumn("place", rank).filter(F.col("place") <= top)
+    each = first.select(file, "place", F.posexplode(cells).alias("pos", "c"))
+    return each.select(file, "place", "pos", display(F.col("c.column"), 15).alias("column"), display(raw_value(F.col("c.kind"), F.col("c.value")), 20, bars=True).alias("value"))
+
+
+def campus_totals(histogram: DataFrame, file: str) -> DataFrame:
+    """AGG-14, SRT-4: (place, campus, n): the histograms of all files together, largest first, ties in order of first appearance (files in
+    the order of their names)."""
+    merged = histogram.groupBy("campus").agg(F.sum("n").alias("n"), F.min(F.struct(file, "place")).alias("_first"))
+    return numbered(merged, [], [F.desc("n"), F.col(f"_first.{file}"), F.col("_first.place")], "place").select("place", "campus", "n")
+
+
 def campus_histogram(records: DataFrame, file: str, order: str) -> DataFrame:
     """AGG-6: (file, campus, n, place): rows per non-empty campus; place counts campuses by first appearance."""
     counts = records.filter("campus <> ''").groupBy(file, "campus").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("_first"))

@@ -39,14 +39,28 @@ def search_modes(records: DataFrame, terms: DataFrame) -> DataFrame:
     """AGG-18, FLT-7: (term, chosen) to (term, chosen, mode, classes, exams) for a list of searches at once.
 
     A chosen class goes first and gives DETAIL even without exams; else the number of matching classes decides:
-    0 NOT_FOUND, 1 DETAIL, more LIST; a term shorter than two characters gives EMPTY. exams is what DETAIL shows. The list
-    of searches is checked to be small before it is broadcast against the distinct classes.
+    0 NOT_FOUND, 1 DETAIL, more LIST; a term shorter than two characters (or null) gives EMPTY. exams is what DETAIL shows. Searches repeated
+    come out repeated. Any number of searches: classes and terms meet by equality, of the chosen class or of the
+    first two characters of the term, never each with each.
     """
     by_class = records.filter("class_name <> ''").groupBy("class_name").agg(F.count(F.lit(1)).alias("n"))
-    asked = terms.withColumn("_active", F.length("term") >= MIN_TERM)
-    hit = F.col("_active") & F.when(F.col("chosen").isNotNull(), F.col("class_name") == F.col("chosen")).otherwise(matches(F.col("class_name"), F.col("term")))
-    found = by_class.join(broadcast_if_small(asked.select("term", "chosen", "_active"), 1000), hit)
+    asked = terms.select("term", "chosen").withColumn("_active", F.coalesce(F.length("term") >= MIN_TERM, F.lit(False)))
+    live = asked.filter("_active").distinct()
+    bare = lambda c: F.upper(F.btrim(strip(c), F.lit("\ufeff")))
+    # a term of one character or more meets only the classes that hold its first two
+    upper = F.upper("class_name")
+    grams = F.transform(F.sequence(F.lit(1), F.length(upper)), lambda i: F.substring(upper, i, F.lit(2)))
+    every = F.concat(grams, F.transform(grams, lambda g: F.left(g, F.lit(1))))
+    by_gram = by_class.withColumn("_gram", F.explode(F.array_distinct(every)))
+    typed = live.filter("chosen is null").withColumn("_bare", bare(F.col("term")))
+    inside = by_gram.join(typed.withColumn("_gram", F.left("_bare", F.lit(2))), "_gram").filter(F.contains(F.upper("class_name"), F.col("_bare")))
+    exact = by_class.join(live.filter("chosen is not null"), F.col("class_name") == F.col("chosen"))
+    found = inside.select("term", "chosen", "n").unionByName(exact.select("term", "chosen", "n"))
+    # a term of nothing but blanks matches every class: one sum, which no class has to meet
+    total = by_class.agg(F.count(F.lit(1)).alias("_classes"), F.sum("n").alias("_exams")).withColumn("_one", F.lit(1))
+    blank = typed.filter("_bare = ''").withColumn("_one", F.lit(1)).join(F.broadcast(total), "_one").filter("_classes > 0")
     counts = found.groupBy(F.col("term").alias("_t"), F.col("chosen").alias("_c")).agg(F.count(F.lit(1)).alias("classes"), F.sum("n").alias("exams"))
+    counts = counts.unionByName(blank.select(F.col("term").alias("_t"), F.col("chosen").alias("_c"), F.col("_classes").alias("classes"), F.col("_exams").alias("exams")))
     out = asked.join(counts, F.col("term").eqNullSafe(F.col("_t")) & F.col("chosen").eqNullSafe(F.col("_c")), "left")
     classes = F.coalesce("classes", F.lit(0).cast("bigint"))
     mode = (

@@ -30,13 +30,18 @@ def rename_to_standard(sheet: DataFrame, keep: list[str]) -> DataFrame:
     )
 
 
-def resolve_by_join(columns: DataFrame, alias: DataFrame, keys: list[str]) -> DataFrame:
+def resolve_by_join(columns: DataFrame, alias: DataFrame, keys: list[str], fields: list[str] = list(ALIASES)) -> DataFrame:
     """JOIN-3 for many sheets at once: (keys, field, column, mapped) of sheets' columns (keys, column) and aliases
-    (field, alias_pos, alias): of each field the first alias present. Fields without any have a null column."""
-    sheets = columns.select(*keys).distinct()
-    fields = broadcast_if_small(alias.select("field").distinct())
+    (field, alias_pos, alias): of each of the fields the first alias present. Fields without any have a null column."""
+    every = columns.select(*keys).distinct().withColumn("field", F.explode(F.array(*map(F.lit, fields))))
     hits = columns.join(broadcast_if_small(alias), F.col("column") == F.col("alias")).groupBy(*keys, "field").agg(F.min_by("column", "alias_pos").alias("column"))
-    return sheets.join(fields).join(hits, [*keys, "field"], "left").withColumn("mapped", F.col("column").isNotNull())
+    return every.join(hits, [*keys, "field"], "left").withColumn("mapped", F.col("column").isNotNull())
+
+
+def column_mapping(resolved: DataFrame, keys: list[str]) -> DataFrame:
+    """PRJ-18: (keys, column_mapping): of each sheet the map of its resolved fields to their columns; empty if there is none."""
+    pair = F.when(F.col("mapped"), F.struct("field", "column"))
+    return resolved.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(pair))).alias("column_mapping"))
 
 
 def number_rows(df: DataFrame, file: str, order: list[str]) -> DataFrame:

@@ -5,18 +5,20 @@ The SQL is kept apart from the operators: it states the result another way, for
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rostra.functions import ical
-from rostra.functions.display import CARD_DEFAULTS
+from rostra.functions.display import CARD_DEFAULTS, display
 from rostra.functions.text import clean_text, coerce_count
 from rostra.operators import calendar, ingest, quality, ranking, report, search, standardize
 from rostra.operators.snapshots import wall_micros
 from rostra.plans import sql
 from rostra.schema import ALIASES, EXCLUDE_WORDS, RECORD_FIELDS, REQUIRED_WORDS, TARGET_WORDS, TEXT_FIELDS
 from rostra.session import table
-from rostra.sources.html import anchors
+from rostra.sources import records, xlsx
+from rostra.sources.html import anchors, notices
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -201,7 +203,6 @@ def _in(c: str, words: list[str], how: str) -> str:
     return "(" + f" {how} ".join(f"contains({c}, '{w}')" for w in words) + ")"
 
 
-_TITLE = "split_part(text, chr(10), 1) || ' ' || coalesce(doc_kind, '')"
 _TITLE_OK = f"(not {_in('title', EXCLUDE_WORDS, 'or')} and {_in('title', REQUIRED_WORDS, 'and')} and {_in('title', TARGET_WORDS, 'or')})"
 
 
@@ -340,7 +341,7 @@ def q26_cards(spark, d):
 
 @query("select doc_id, replace(left(text, 25), chr(10), ' ') short, replace(replace(left(text, 20), chr(10), ' '), '|', '/') raw from documents")
 def q27_display_cut(spark, d):
-    return table(spark, d, "documents").select("doc_id", report.display(F.col("text"), 25).alias("short"), report.display(F.col("text"), 20, True).alias("raw"))
+    return table(spark, d, "documents").select("doc_id", display(F.col("text"), 25).alias("short"), display(F.col("text"), 20, True).alias("raw"))
 
 
 @query("select id, row_index, case when coalesce(class_name, '') <> '' then class_name end as chosen from exam_record")
@@ -358,19 +359,50 @@ def q29_time_order(spark, d):
     return ranking.numbered(r, ["source_file"], order, "place").select("source_file", "row_index", "place")
 
 
-@query()
+_FOLDED = """case when strlen({c}) <= 75 then {c} else list_reduce(string_split({c}, ''),
+  lambda a, c: a || case when strlen(regexp_extract(a, '[^\\n]*$')) + strlen(c) > 75 then chr(13) || chr(10) || ' ' else '' end || c) end"""
+_UID = """'exam-' || lower(to_base(abs(case when u >= 2147483648 then u - 4294967296 else u end), 36)) || '-' || {n} || '@example.org'"""
+_ALARM = ["BEGIN:VALARM", "ACTION:DISPLAY", "DESCRIPTION:Exam Reminder", "TRIGGER:-PT{m}M", "END:VALARM"]
+_HEAD = ["BEGIN:VCALENDAR", "VERSION:2.0", "PRODID:-//rostra//timetable//EN", "X-WR-CALNAME:", "CALSCALE:GREGORIAN", "METHOD:PUBLISH", "BEGIN:VTIMEZONE", "TZID:Asia/Shanghai",
+         "X-LIC-LOCATION:Asia/Shanghai", "BEGIN:STANDARD", "TZOFFSETFROM:+0800", "TZOFFSETTO:+0800", "TZNAME:CST", "DTSTART:19700101T000000", "END:STANDARD", "END:VTIMEZONE"]
+
+
+@query(f"""
+with e as (select *, row_number() over (partition by class_name order by start_timestamp nulls last, id, ingested_at) - 1 n,
+    list_reduce(list_prepend(0::bigint, list_transform(string_split(id, ''), lambda x: ord(x)::bigint)), lambda a, b: (a * 31 + b) % 4294967296) u
+  from exam_record where class_name <> ''),
+l as (select class_name, n as event, unnest(ls) line, unnest(range(len(ls))) line_no from (select class_name, n, [
+    'BEGIN:VEVENT', 'UID:' || {_UID.format(n="n")}, 'DTSTAMP:20260101T000000Z', 'DTSTART;TZID=Asia/Shanghai:' || {_STAMP_SQL.format(c="start_timestamp")},
+    'DTEND;TZID=Asia/Shanghai:' || {_STAMP_SQL.format(c="end_timestamp")}, 'SUMMARY:' || {_ESC("'考试: ' || coalesce(course_name, '')")},
+    'LOCATION:' || {_ESC("case when coalesce(campus, '') <> '' then '[' || campus || '] ' else '' end || coalesce(location, '')")}, 'DESCRIPTION:' || {_ESC(_DESC)},
+    'STATUS:CONFIRMED', {", ".join(repr(x.format(m=m)) for m in (30, 60) for x in _ALARM)}, 'END:VEVENT'] ls from e where start_timestamp <> '' and end_timestamp <> '')
+  union all select class_name, -1, unnest(ls), unnest(range(len(ls))) from (select class_name, {[*_HEAD]} ls from (select distinct class_name from e))
+  union all select distinct class_name, 2147483647, 'END:VCALENDAR', 0 from e),
+m as (select class_name, event, line_no, if(line = 'X-WR-CALNAME:', line || class_name, line) line from l)
+select class_name, cast(event as bigint) event, cast(line_no as int) line_no, {_FOLDED.format(c="line")} line from m""")
 def q30_calendar_lines(spark, d):
-    """The calendar file of one class, as lines; no SQL (folding), checked in the tests."""
-    r = _records(spark, d)
-    first = r.filter("class_name > '' and class_name <> '全校通选班'").agg(F.min("class_name")).first()[0]
-    exams = r.filter(F.col("class_name") == F.lit(first)).dropDuplicates(["id"])
-    return calendar.calendar_lines(exams, str(first), "20260101T000000Z")
+    """The calendar files of all classes, as lines."""
+    r = _records(spark, d).filter("class_name <> ''")
+    return calendar.calendar_lines(r, "class_name", "20260101T000000Z", footer="footer", order=("start_timestamp", "id", "ingested_at"))
+
+
+_NOTICE = """campus || ' 2025-2026学年第' || (row_index % 2 + 1) || '学期' || coalesce(course_name, '') || case row_index % 7 when 0 then '期末考试安排表' when 1 then '补考安排'
+  when 2 then '课程结束考试（重修）' when 3 then '课程结束考试' when 4 then '期末考试监考' when 5 then '成绩公布' else '考试安排表' end"""
 
 
 @query(f"""
-with t as (select doc_id pos, text title from documents) select pos, title from t where {_TITLE_OK} order by pos limit 1""")
+with t as (select id || ingested_at::varchar pos, {_NOTICE} title from exam_record) select pos, title from t where {_TITLE_OK} order by pos limit 1""")
 def q31_newest_notice(spark, d):
-    return ingest.newest_notice(table(spark, d, "documents").select(F.col("doc_id").alias("pos"), F.col("text").alias("title")))
+    return ingest.newest_notice(_records(spark, d).select(F.concat("id", F.col("ingested_at").cast("string")).alias("pos"), F.expr(_NOTICE).alias("title")))
+
+
+@query(f"""
+with t as (select id, row_index, {_NOTICE} title from exam_record)
+select id, row_index, title, coalesce({_TITLE_OK}, false) valid from t""")
+def q38_notice_titles(spark, d):
+    """FLT-1 over titles of which some are valid, some have an excluding word, and some lack the target."""
+    t = _records(spark, d).select("id", "row_index", F.expr(_NOTICE).alias("title"))
+    return t.withColumn("valid", ingest.is_schedule_title(F.col("title")))
 
 
 @query("""
@@ -416,7 +448,151 @@ def q36_selection_state(spark, d):
     return search.selection_state(r, "全校通选班", r.filter("class_name = '全校通选班' and contains(notes, '开卷')"))
 
 
-@query("""
-select count(*) filter (parse_error is null) fetched, count(*) filter (parse_error is not null) failed, count(*) filter (parse_error is null) > 0 as "any" from exam_record""")
+_BLOCK = "source_file || '-' || (row_index // 100)"
+_KIND = "(row_index // 100) % 7"  # 3: cut off, 5: no workbook at all; the odd others have other headers
+_BOOK_COLUMNS = {
+    0: {"课程代码": "course_code", "班级名称": "class_name", "人数": "count", "考试时间": "raw_time", "考试教室": "location"},
+    1: {"教室名称": "location", "其他": "notes", "选课课号": "course_code", "行政班级": "class_name", "学生人数": "count", "时间": "raw_time"},
+}
+
+
+def _books(spark: SparkSession, d: str) -> DataFrame:
+    """Workbooks (path, content) of up to 100 row numbers of a file each, some of them damaged."""
+    names = [*dict.fromkeys(c for columns in _BOOK_COLUMNS.values() for c in columns.values())]
+
+    def make(key, pdf):
+        kind, columns = key[1], _BOOK_COLUMNS[key[1] % 2]
+        pdf = pdf.sort_values(["row_index", "at"])
+        cells = [[None if v is None or v != v else int(v) if c == "count" else v for c, v in zip(columns.values(), r, strict=True)] for r in pdf[list(columns.values())].itertuples(index=False)]
+        content = xlsx.workbook_bytes(list(columns), cells)
+        content = content[: len(content) // 2] if kind == 3 else b"not a workbook" if kind == 5 else content
+        return pd.DataFrame({"path": [f"/in/{key[0]}.xlsx"], "content": [content]})
+
+    block = F.floor(F.col("row_index") / 100).cast("int")
+    r = _records(spark, d).select(F.concat("source_file", F.lit("-"), block).alias("name"), (block % 7).alias("kind"), "row_index", F.col("ingested_at").cast("string").alias("at"), *names)
+    return r.groupBy("name", "kind").applyInPandas(make, "path string, content binary")
+
+
+_BOOK_ROWS = f"select *, {_BLOCK} || '.xlsx' as book, {_KIND} as kind from exam_record where source_file is not null and row_index is not null"
+
+
+@query(f"""
+with b as (select distinct book, kind from ({_BOOK_ROWS}))
+select count(*) filter (kind not in (3, 5)) fetched, count(*) filter (kind in (3, 5)) failed, count(*) filter (kind not in (3, 5)) > 0 as "any" from b""")
 def q37_fetch_summary(spark, d):
-    return ingest.fetch_summary(_records(spark, d).select(F.col("parse_error").isNull().alias("ok")))
+    parts = xlsx.read_workbooks(_books(spark, d)).filter("part <> 'row'")
+    return ingest.fetch_summary(parts.select((F.col("part") == "header").alias("ok")))
+
+
+@query(f"""
+with b as ({_BOOK_ROWS})
+select book source_file, row_number() over (partition by book order by row_index, ingested_at) + 1 row_index, {", ".join(f"nullif({c}, '') {c}" for c in ("course_code", "class_name", "raw_time", "location"))}, cast("count" as varchar) "count"
+from b where kind not in (3, 5)""")
+def q39_workbook_rows(spark, d):
+    """SRC-2, PRJ-1/2 and FLT-16: rows of the workbooks that can be read, each by its own headers, beside damaged ones."""
+    rows = xlsx.standard_rows(xlsx.read_workbooks(_books(spark, d)))
+    return rows.select("source_file", "row_index", "course_code", "class_name", "raw_time", "location", "count")
+
+
+@query(f"with b as ({_BOOK_ROWS}) select distinct book source_file, 'BadZipFile: File is not a zip file' as error from b where kind in (3, 5)")
+def q40_failed_files(spark, d):
+    return xlsx.failed_files(xlsx.read_workbooks(_books(spark, d)))
+
+
+_CHANGED = "case doc_id % 5 when 0 then null when 1 then text || '.' else text end"
+
+
+_PAGE = """'<div class="col_news_con"><ul><li class="news"><span class="news_title">' || case when row_index % 3 = 0 then '' else '<a href="n' || row_index || '.htm" title="' || source_file || '">t</a>' end
+  || '</span><a href="../x/./y' || file_seq || '.htm">' || source_file || '</a></li><li class="news">none</li><li class="news"><a href="/a/../b' || series_id || '.htm">last</a></li></ul></div><a href="far.htm">far</a>'"""
+
+
+@query(f"""
+with p as (select sheet_row_id, row_index, file_seq, series_id, source_file from exam_sheet_row where source_file is not null),
+n as (select sheet_row_id, 1 item, if(row_index % 3 = 0, 'https://example.org/a/x/y' || file_seq || '.htm', 'https://example.org/a/b/n' || row_index || '.htm') url, source_file title from p
+  union all select sheet_row_id, 3, 'https://example.org/b' || series_id || '.htm', 'last' from p)
+select * from n""")
+def q47_notices(spark, d):
+    """SRC-4, PRJ-15, PRJ-17: items of a notice list, with the anchor of the title or the first one, and dot segments anywhere."""
+    pages = table(spark, d, "exam_sheet_row").filter("source_file is not null").select("sheet_row_id", F.expr(_PAGE).alias("html"))
+    found = notices(pages, "sheet_row_id")
+    return found.select("sheet_row_id", "item", ingest.absolute_url(_BASE, F.col("href")).alias("url"), ingest.notice_title(F.col("title"), F.col("text")).alias("title"))
+
+
+@query(f"""
+with o as (select doc_id || '.xls' as name, md5(text) digest from documents where text is not null), n as (select doc_id || '.xls' as name, md5({_CHANGED}) digest from documents where {_CHANGED} is not null)
+select coalesce(o.name, n.name) as name, case when o.name is null then 'added' when n.name is null then 'removed' when o.digest = n.digest then 'same' else 'changed' end as status
+from o full join n on o.name = n.name""")
+def q41_content_changes(spark, d):
+    """JOIN-4 and SRC-7: which files of a delivery differ from the last one in their bytes."""
+    t = table(spark, d, "documents")
+    name = F.concat(F.lit("/in/"), "doc_id", F.lit(".xls")).alias("path")
+    old = t.filter("text is not null").select(name, F.encode("text", "UTF-8").alias("content"))
+    new = t.withColumn("text", F.expr(_CHANGED)).filter("text is not null").select(name, F.encode("text", "UTF-8").alias("content"))
+    return ingest.file_changes(xlsx.workbook_digests(old), xlsx.workbook_digests(new))
+
+
+_SORTED = """case when json_type(v) = 'OBJECT' then '{' || array_to_string(list_transform(list_sort(json_keys(v)), lambda x: cast(to_json(x) as varchar) || ':' || cast(json_extract(v, '$."' || x || '"') as varchar)), ',') || '}'
+  when json_type(v) = 'ARRAY' then cast(v as varchar) else json_extract_string(v, '$') end"""
+_CELLS_SQL = f"""
+r as (select sheet_row_id, source_file, row_index, payload from exam_sheet_row where source_file is not null),
+c0 as (select sheet_row_id, source_file, row_index, unnest(json_keys(payload)) "column", generate_subscripts(json_keys(payload), 1) - 1 pos, payload from r),
+c1 as (select *, json_extract(payload, '$."' || "column" || '"') v from c0),
+c as (select * exclude v, case json_type(v) when 'NULL' then null when 'VARCHAR' then 'str' when 'BOOLEAN' then 'bool' when 'UBIGINT' then 'int' when 'BIGINT' then 'int'
+        when 'ARRAY' then 'object' when 'OBJECT' then 'object' else 'float' end k, {_SORTED} as value from c1)"""
+
+
+def _json_sheets(spark: SparkSession, d: str) -> DataFrame:
+    t = table(spark, d, "exam_sheet_row").filter("source_file is not null")
+    return t.select("source_file", "row_index", records.json_cells(F.col("payload")).alias("cells"))
+
+
+@query(f"""
+with {_CELLS_SQL},
+n as (select source_file, count(*) n from r group by 1),
+d as (select source_file, "column", k, value, min(row_index) f from c where value is not null group by all),
+s as (select *, row_number() over (partition by source_file, "column" order by f, value, k) p from d),
+t as (select source_file, "column", string_agg(left(value, 30), ', ' order by p) samples from s where p <= 3 group by all),
+g as (select source_file, "column", min(pos) pos, count(value) non_null, count(distinct (k, value)) filter (value is not null) n_distinct, list(distinct k) filter (value is not null) ks from c group by all)
+select source_file, "column", row_number() over (partition by source_file order by pos, "column") place,
+  case when ks = ['int'] and non_null = n then 'int64' when len(list_filter(coalesce(ks, []), lambda x: x not in ('int', 'float'))) = 0 then 'float64' when ks = ['bool'] and non_null = n then 'bool' else 'object' end kind,
+  non_null, n - non_null nulls, round_even(cast(non_null * 100 as decimal(38,8)) / n, 1) non_null_pct, n_distinct, samples
+from g join n using (source_file) left join t using (source_file, "column")""")
+def q42_sheet_profile(spark, d):
+    return quality.sheet_profile(_json_sheets(spark, d), "source_file", "row_index")
+
+
+@query(f"""
+with {_CELLS_SQL},
+p as (select sheet_row_id, row_number() over (partition by source_file order by row_index, payload) place from r)
+select source_file, place, pos, replace(left("column", 15), chr(10), ' ') "column", replace(replace(left(value, 20), chr(10), ' '), '|', '/') as value
+from c join p using (sheet_row_id) where place <= 3""")
+def q43_raw_samples(spark, d):
+    return quality.raw_samples(_json_sheets(spark, d), "source_file", "row_index")
+
+
+@query("""
+with c as (select distinct source_file, unnest(json_keys(payload)) k from exam_sheet_row where source_file is not null),
+h as (select source_file, field, arg_min(k, alias_pos) k from c join header_alias on k = alias group by all)
+select source_file, '{' || coalesce(string_agg(to_json(field) || ':' || to_json(k), ',' order by field), '') || '}' column_mapping from (select distinct source_file from c) left join h using (source_file) group by 1""")
+def q44_column_mapping(spark, d):
+    keys = F.explode(F.json_object_keys("payload")).alias("column")
+    columns = table(spark, d, "exam_sheet_row").filter("source_file is not null").select("source_file", keys).distinct()
+    resolved = standardize.resolve_by_join(columns, table(spark, d, "header_alias"), ["source_file"])
+    return standardize.column_mapping(resolved, ["source_file"]).withColumn("column_mapping", F.to_json("column_mapping"))
+
+
+@query("""
+with c as (select source_file, campus, count(*) n, min(row_index) f from exam_record where campus <> '' group by all),
+h as (select *, row_number() over (partition by source_file order by f, campus) place from c),
+t as (select campus, sum(n)::bigint n, min((source_file, place)) o from h group by 1)
+select row_number() over (order by n desc, o) place, campus, n from t""")
+def q45_campus_totals(spark, d):
+    return quality.campus_totals(quality.campus_histogram(_records(spark, d), "source_file", "row_index"), "source_file")
+
+
+@query()
+def q46_quality_report(spark, d):
+    """The lines of the report over all files; its parts have SQL of their own (q09, q10, q11, q35, q42, q43, q45)."""
+    r = _records(spark, d)
+    named = [F.struct(F.lit(c).alias("column"), F.lit("int" if f == "count" else "str").alias("kind"), F.col(f).cast("string").alias("value")) for c, f in _BOOK_COLUMNS[0].items()]
+    return report.quality_report(r.select("source_file", "row_index", F.array(*named).alias("cells")), r, "source_file", "row_index", "2026-01-01 00:00:00")

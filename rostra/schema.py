@@ -37,10 +37,10 @@ DEFAULT_REMINDERS = [30, 60]
 
 TEXT_FIELDS = [f for f in ALIASES if f != "count"]
 
+# The fields of the standard record, in their order.
 RECORD_FIELDS = [
-    "id", *["campus", "course_name", "course_code", "class_name", "teacher", "location", "raw_time", "count"],
-    *["school", "student_school", "major", "grade", "notes"],
-    *["start_timestamp", "end_timestamp", "duration_minutes", "date", "parse_error"],
+    "id", "campus", "course_name", "course_code", "class_name", "teacher", "location", "raw_time", "count", "school",
+    "student_school", "major", "grade", "notes", "start_timestamp", "end_timestamp", "duration_minutes", "date", "parse_error",
 ]
 
 RECORD_SCHEMA = T.StructType(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,12 +15,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder named by spark.checkpoint.dir; only where it is unset (tests) make a local one."""
+    """Use the folder named by spark.checkpoint.dir, which all executors share. Where it is unset, a run on this machine alone
+    (tests) gets a folder of its own; on a cluster that is an error, since executors would write to different disks."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="rostra-checkpoint-"))
+    if not named and not re.fullmatch(r"local(\[[^\]]*\])?", sc.master):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+    sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "rostra-checkpoint"))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -27,6 +32,17 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def drop_checkpoints(spark: SparkSession) -> None:
+    """Delete what this session has checkpointed so far, once the results made from it are written. Spark does so by itself,
+    as plans are forgotten, with spark.cleaner.referenceTracking.cleanCheckpoints=true."""
+    folder = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if folder.isDefined():
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder.get())
+        fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        for status in fs.listStatus(path):
+            fs.delete(status.getPath(), True)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = 10_000) -> DataFrame:
     """Broadcast hint only after counting that the side holds at most max_rows; beyond that the
     planner's own shuffle join is used."""

@@ -30,16 +30,19 @@ class _Links(HTMLParser):
         self.stack: list[tuple[str, set[str]]] = []
         self.links: list[dict] = []
         self.open: dict | None = None
+        self.items = 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
         attributes = dict(attrs)
         self.stack.append((tag, set((attributes.get("class") or "").split())))
+        if tag == _ITEM[0] and _ITEM[1] in self.stack[-1][1]:
+            self.items += 1
         if tag == "a":
             has = lambda tag, mark: any(x == tag and mark in k for x, k in self.stack)
             listed = has(*_LIST) and has(*_ITEM)
             self.open = {
                 "href": attributes.get("href"), "title": attributes.get("title"), "text": "", "listed": listed,
-                "titled": listed and has(*_TITLE),
+                "titled": listed and has(*_TITLE), "item": self.items if listed else None,
             }
             self.links.append(self.open)
         if tag in ("br", "img", "hr", "input", "meta", "link"):
@@ -59,8 +62,9 @@ class _Links(HTMLParser):
 
 
 def parse_links(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
-    """(key, pos, href, title, text, listed, titled) of every anchor of messy markup; null and empty pages have none.
-    `listed`: the anchor stands in an item of the notice list; `titled`: in the title of that item. Batches of pages, one pass, no shuffle."""
+    """(key, pos, href, title, text, listed, titled, item) of every anchor of messy markup; null and empty pages have none.
+    `listed`: the anchor stands in an item of the notice list, the `item`-th of the page; `titled`: in the title of that item. Batches of
+    pages, one pass, no shuffle."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -69,8 +73,18 @@ def parse_links(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
                 parser = _Links()
                 parser.feed(page or "")
                 parser.close()
-                rows += [(k, i, x["href"], x["title"], x["text"].strip(), x["listed"], x["titled"]) for i, x in enumerate(parser.links)]
-            yield pd.DataFrame(rows, columns=[key, "pos", "href", "title", "text", "listed", "titled"])
+                rows += [(k, i, x["href"], x["title"], x["text"].strip(), x["listed"], x["titled"], x["item"]) for i, x in enumerate(parser.links)]
+            out = pd.DataFrame(rows, columns=[key, "pos", "href", "title", "text", "listed", "titled", "item"])
+            yield out.astype({"item": "Int32"})
 
     kind = pages.schema[key].dataType.simpleString()
-    return pages.select(key, html).mapInPandas(run, f"`{key}` {kind}, pos int, href string, title string, text string, listed boolean, titled boolean")
+    return pages.select(key, html).mapInPandas(run, f"`{key}` {kind}, pos int, href string, title string, text string, listed boolean, titled boolean, item int")
+
+
+def notices(pages: DataFrame, key: str, html: str = "html") -> DataFrame:
+    """SRC-4: (key, item, href, title, text) of the notice list of each page: of each item the first anchor in its title, or, where its title has
+    none, the first one anywhere in the item. Items without any anchor are left out. An anchor is chosen by an aggregation with
+    map-side combine."""
+    found = parse_links(pages, key, html).filter("listed")
+    first = F.min(F.struct((~F.col("titled")).alias("other"), "pos", "href", "title", "text"))
+    return found.groupBy(key, "item").agg(first.alias("a")).select(key, "item", "a.href", "a.title", "a.text")

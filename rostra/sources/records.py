@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException, PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +34,21 @@ def read_optional(spark: SparkSession, path: str, schema: T.StructType) -> DataF
         return spark.createDataFrame([], schema)
 
 
+def json_cells(payload: Column) -> Column:
+    """The cells of a row delivered as a JSON object, in its order: array of (column, kind, value), as workbooks have them. Nested
+    values are JSON text of kind object; a null cell has neither kind nor value. Null for anything but an object."""
+    def cell(e: Column) -> Column:
+        shape = F.schema_of_variant(e["value"])
+        kind = (
+            F.when(shape == "VOID", None).when(shape == "STRING", "str").when(shape == "BOOLEAN", "bool").when(shape == "BIGINT", "int")
+            .when(shape.rlike("^(ARRAY|OBJECT)"), "object").otherwise("float")
+        )
+        text = F.when(shape.rlike("^(ARRAY|OBJECT)"), F.to_json(e["value"])).otherwise(F.try_variant_get(e["value"], "$", "string"))
+        return F.struct(e["key"].alias("column"), kind.alias("kind"), text.alias("value"))
+
+    return F.transform(F.map_entries(F.from_json(payload, "map<string,variant>")), cell)
+
+
 def source_of(manifest: DataFrame) -> DataFrame:
     """PRJ-19: empty url and title become null."""
     return manifest.withColumns({c: F.nullif(c, F.lit("")) for c in ("source_url", "source_title")})

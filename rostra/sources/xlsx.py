@@ -1,23 +1,29 @@
-"""SRC-1/2: a Python data source for workbooks, on the standard library alone.
+"""SRC-1/2/7, FLT-16, JOIN-4: workbooks, on the standard library alone.
 
-    spark.dataSource.register(WorkbookSource)
-    spark.read.format("rostra_xlsx").option("header_columns", "校区,人数").load("/data/*.xlsx")
+    files = workbook_files(spark, "/data")        # path and content, through Spark's file systems
+    book = read_workbooks(files)                  # cells of all sheets, and what can't be read
+    records = to_records(standard_rows(book))     # standardize.py
 
-First sheet, first row as header. Every cell comes out as text: numbers without a needless ".0", date cells as
-"yyyy-MM-dd HH:mm:ss", booleans as True/False, missing markers (fixed values below) as null. One partition per file.
+First sheet, first row as header. Every cell comes out as text with its kind: numbers without a needless ".0", date cells as
+"yyyy-MM-dd HH:mm:ss", booleans as True/False, missing markers (fixed values below) as null. Listing, reading and parsing are
+distributed; the driver opens no workbook. A file that can't be read is one error row and stops nothing.
 """
 
 from __future__ import annotations
 
-import glob
-import os
+import io
 import re
 import zipfile
 from collections.abc import Iterator
 from datetime import datetime, timedelta
 from xml.etree import ElementTree
+from xml.sax.saxutils import escape
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from rostra.schema import ALIASES
 
 # Texts that a spreadsheet reader takes for missing cells.
 MISSING = set(
@@ -47,8 +53,8 @@ def _text(node) -> str:
 class Workbook:
     """Rows of the first sheet of a workbook, read as a stream."""
 
-    def __init__(self, path: str):
-        self.zip = zipfile.ZipFile(path)
+    def __init__(self, content: bytes):
+        self.zip = zipfile.ZipFile(io.BytesIO(content))
         names = set(self.zip.namelist())
         book = ElementTree.fromstring(self.zip.read("xl/workbook.xml"))
         sheet = book.find(f"{_MAIN}sheets/{_MAIN}sheet")
@@ -72,25 +78,26 @@ class Workbook:
         kinds = [int(x.get("numFmtId", 0)) for x in cells] if cells is not None else []
         return {i for i, k in enumerate(kinds) if own.get(k, k in _BUILTIN_DATES)}
 
-    def _value(self, cell) -> str | None:
+    def _value(self, cell) -> tuple[str, str] | None:
+        """(kind, text) of a cell: int, float, bool, date or str; null for a missing one."""
         kind, v = cell.get("t", "n"), cell.find(_MAIN + "v")
         if kind == "inlineStr":
-            return "".join(map(_text, cell.findall(_MAIN + "is")))
+            return "str", "".join(map(_text, cell.findall(_MAIN + "is")))
         if v is None or v.text is None:
             return None
         if kind == "s":
-            return self.strings[int(v.text)]
+            return "str", self.strings[int(v.text)]
         if kind == "b":
-            return "True" if v.text == "1" else "False"
+            return "bool", "True" if v.text == "1" else "False"
         if kind != "n":
-            return v.text
+            return "str", v.text
         number = float(v.text)
         if int(cell.get("s", 0)) in self.dates:
-            return str((self.epoch + timedelta(days=number)).replace(microsecond=0))
-        return str(int(number)) if number.is_integer() and abs(number) < 1e15 else repr(number)
+            return "date", str((self.epoch + timedelta(days=number)).replace(microsecond=0))
+        return ("int", str(int(number))) if number.is_integer() and abs(number) < 1e15 else ("float", repr(number))
 
-    def rows(self) -> Iterator[tuple[int, dict[int, str | None]]]:
-        """(row number, column index to value); rows without any value are skipped."""
+    def rows(self) -> Iterator[tuple[int, dict[int, tuple[str, str]]]]:
+        """(row number, column index to kind and text of the cells that aren't missing); rows without any are skipped."""
         with self.zip.open(self.sheet) as f:
             number = 0
             for _, node in ElementTree.iterparse(f):
@@ -101,69 +108,137 @@ class Workbook:
                 for cell in node.findall(_MAIN + "c"):
                     at = _column(cell.get("r")) if cell.get("r") else at + 1
                     value = self._value(cell)
-                    cells[at] = None if value in MISSING else value
+                    if value is not None and value[1] not in MISSING:
+                        cells[at] = value
                 node.clear()
-                if any(v is not None for v in cells.values()):
+                if cells:
                     yield number, cells
 
 
-def headers(path: str) -> list[str]:
-    """The header row of a workbook; columns without a name get the name of their position."""
-    for _, cells in Workbook(path).rows():
-        return [cells.get(i) or f"Unnamed: {i}" for i in range(max(cells) + 1)]
-    return []
-
-
-def list_workbooks(path: str) -> list[str]:
-    """SRC-1/7 in order of the path (a folder stands for its *.xlsx)."""
-    return sorted(glob.glob(os.path.join(path, "*.xlsx") if os.path.isdir(path) else path))
-
-
-class _File(InputPartition):
-    def __init__(self, path: str):
-        super().__init__(path)
-        self.path = path
-
-
-class WorkbookReader(DataSourceReader):
-    def __init__(self, path: str, columns: list[str]):
-        self.path, self.columns = path, columns
-
-    def partitions(self) -> list[InputPartition]:
-        return [_File(p) for p in list_workbooks(self.path)] or [_File("")]
-
-    def read(self, partition: _File) -> Iterator[tuple]:
-        if not partition.path:
-            return
-        name, places = os.path.basename(partition.path), None
-        for number, cells in Workbook(partition.path).rows():
-            if places is None:
-                found = {v: k for k, v in reversed(list(cells.items()))}
-                places = [found.get(c) for c in self.columns]
-                continue
-            yield (name, number, *(cells.get(p) if p is not None else None for p in places))
-
-
-class WorkbookSource(DataSource):
-    """Columns: source_file, row_index (the sheet's row number, the header being 1), then those of the header, or the
-    comma-separated ones of the option header_columns."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "rostra_xlsx"
-
-    def _columns(self) -> list[str]:
-        named = self.options.get("header_columns")
-        if named:
-            return named.split(",")
-        seen: dict[str, None] = {}
-        for path in list_workbooks(self.options["path"]):
-            seen.update(dict.fromkeys(headers(path)))
-        return list(seen)
+def column_names(header: dict[int, tuple[str, str]]) -> list[str]:
+    """The names of the columns: one without a name gets that of its position, one whose name is taken a number behind it."""
+    names: list[str] = []
+    for i in range(max(header) + 1):
+        name = bare = header[i][1] if i in header else f"Unnamed: {i}"
+        n = 0
+        while name in names:
+            n += 1
+            name = f"{bare}.{n}"
+        names.append(name)
+    return names
 
-    def schema(self) -> str:
-        quoted = ", ".join(f"`{c.replace('`', '``')}` string" for c in self._columns())
-        return "source_file string, row_index int" + (", " + quoted if quoted else "")
 
-    def reader(self, schema) -> WorkbookReader:
-        return WorkbookReader(self.options["path"], schema.names[2:])
+_CELLS = "array<struct<column:string,kind:string,value:string>>"
+BOOK_SCHEMA = f"source_file string, part string, row_index int, cells {_CELLS}, error string"
+_ARROW = pa.schema([
+    ("source_file", pa.string()), ("part", pa.string()), ("row_index", pa.int32()),
+    ("cells", pa.list_(pa.struct([("column", pa.string()), ("kind", pa.string()), ("value", pa.string())]))), ("error", pa.string()),
+])
+_BUFFERED_BYTES = 8_000_000  # larger files are parsed twice, rather than their rows held until the last one is known to be good
+_ROWS = 2_000  # rows of a batch
+
+
+def _sheet(name: str, content: bytes) -> Iterator[tuple]:
+    columns: list[str] | None = None
+    for number, cells in Workbook(content).rows():
+        if columns is None:
+            columns = column_names(cells)
+            yield name, "header", number, [{"column": c, "kind": None, "value": None} for c in columns], None
+        else:
+            known = [(c, *cells.get(i, (None, None))) for i, c in enumerate(columns)]
+            yield name, "row", number, [{"column": c, "kind": k, "value": v} for c, k, v in known], None
+
+
+def _whole_sheet(name: str, content: bytes | None) -> Iterator[tuple]:
+    """The rows of a file, or a single error row: nothing comes of a file that is damaged further down."""
+    try:
+        if content is None:
+            raise ValueError("no content")
+        if len(content) <= _BUFFERED_BYTES:
+            rows = iter(list(_sheet(name, content)))
+        else:
+            for _ in _sheet(name, content):
+                pass
+            rows = _sheet(name, content)
+    except Exception as e:  # noqa: BLE001 - whatever is wrong with one file, the others are read
+        yield name, "error", None, None, f"{type(e).__name__}: {e}"[:500]
+        return
+    yield from rows
+
+
+def workbook_files(spark: SparkSession, path: str, pattern: str = "*.{xlsx,XLSX}") -> DataFrame:
+    """SRC-1: (path, content) of the workbooks of a folder, on any file system that Spark reads. Files of no bytes have no row in
+    Spark's file scans and so are not listed."""
+    return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(path).select("path", "content")
+
+
+def file_name(path: Column) -> Column:
+    return F.try_url_decode(F.replace(F.substring_index(path, "/", -1), F.lit("+"), F.lit("%2B")))
+
+
+def workbook_digests(files: DataFrame) -> DataFrame:
+    """SRC-7, JOIN-4: (name, digest) of workbooks of either kind (pattern "*.{xls,xlsx}"): the MD5 of the bytes, which
+    ingest.file_changes compares."""
+    return files.select(file_name(F.col("path")).alias("name"), F.md5("content").alias("digest"))
+
+
+def read_workbooks(files: DataFrame) -> DataFrame:
+    """SRC-2, FLT-16: (source_file, part, row_index, cells, error) of workbooks (path, content), in no particular order.
+
+    part: header (once a file that has any row: the columns in their order, without values), row (every cell of the header's
+    columns, in their order, null if missing), or error (the file can't be read: damaged, empty, of the older binary
+    format; nothing else comes of it). row_index is the sheet's row number. Rows without any value are left out. No shuffle;
+    a task holds the files of one partition at a time.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            for i in range(batch.num_rows):
+                for row in _whole_sheet(batch.column(0)[i].as_py(), batch.column(1)[i].as_py()):
+                    held.append(row)
+                    if len(held) == _ROWS:
+                        yield pa.RecordBatch.from_pylist([dict(zip(_ARROW.names, r, strict=True)) for r in held], _ARROW)
+                        held = []
+        yield pa.RecordBatch.from_pylist([dict(zip(_ARROW.names, r, strict=True)) for r in held], _ARROW)
+
+    return files.select(file_name(F.col("path")).alias("name"), F.col("content").cast("binary").alias("content")).mapInArrow(run, BOOK_SCHEMA)
+
+
+def standard_rows(book: DataFrame, aliases: dict[str, list[str]] = ALIASES) -> DataFrame:
+    """PRJ-1/2: (source_file, row_index, standard fields) of the rows of workbooks, whatever columns each of them has: of each field
+    the first alias among the columns of the row's sheet, also where its cell is missing."""
+    rows = book.filter("part = 'row'").select("source_file", "row_index", F.col("cells.column").alias("_c"), F.col("cells.value").alias("_v"))
+
+    def value(names: list[str]) -> Column:
+        at = F.coalesce(*[F.nullif(F.array_position("_c", n), F.lit(0)) for n in names])
+        return F.try_element_at("_v", at.cast("int"))
+
+    return rows.select("source_file", "row_index", *[value(names).alias(f) for f, names in aliases.items()])
+
+
+def failed_files(book: DataFrame) -> DataFrame:
+    """FLT-16: (source_file, error) of the files that can't be read."""
+    return book.filter("part = 'error'").select("source_file", "error")
+
+
+def workbook_bytes(columns: list[str], rows: list[list]) -> bytes:
+    """A workbook of one sheet: a header and rows of texts, numbers, booleans and missing cells."""
+
+    def cell(v: object) -> str:
+        if v is None:
+            return "<c/>"
+        if isinstance(v, bool):
+            return f'<c t="b"><v>{int(v)}</v></c>'
+        if isinstance(v, (int, float)):
+            return f"<c><v>{v!r}</v></c>"
+        text = re.sub(r"[^\t\n\r\x20-\ud7ff\ue000-\ufffd\U00010000-\U0010ffff]", "", str(v))  # what XML can't hold
+        return f'<c t="inlineStr"><is><t xml:space="preserve">{escape(text, {chr(13): "&#13;"})}</t></is></c>'
+
+    sheet = "".join(f'<row r="{i}">{"".join(map(cell, r))}</row>' for i, r in enumerate([columns, *rows], 1))
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{_MAIN[1:-1]}" xmlns:r="{_REL[1:-1]}"><sheets><sheet name="Sheet1" sheetId="1" r:id="rId1"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Target="worksheets/sheet1.xml"/></Relationships>')
+        z.writestr("xl/worksheets/sheet1.xml", f'<worksheet xmlns="{_MAIN[1:-1]}"><sheetData>{sheet}</sheetData></worksheet>')
+    return out.getvalue()

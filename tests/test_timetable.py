@@ -1,5 +1,7 @@
 """The timetable operators: cleaning, parsing, profiles, search, ingest, calendar, files."""
 
+import hashlib
+import io
 import json
 import zipfile
 
@@ -17,6 +19,7 @@ from rostra.functions.timeparse import beijing_text, parse_time_range
 from rostra.operators import calendar, ingest, quality, ranking, report, search, standardize
 from rostra.schema import RECORD_SCHEMA
 from rostra.sources import html, records, xlsx
+from rostra.sources.files import replace_workbooks
 from rostra.streaming import poll
 from tests.conftest import rows
 
@@ -86,7 +89,7 @@ def test_standardize(spark):
         standardize.standardize([], [])
     columns = spark.createDataFrame([("f", "班级"), ("f", "班级名称"), ("g", "x")], "source_file string, column string")
     alias = spark.createDataFrame([("class_name", 1, "班级名称"), ("class_name", 2, "班级"), ("count", 1, "人数")], "field string, alias_pos int, alias string")
-    assert rows(standardize.resolve_by_join(columns, alias, ["source_file"])) == [
+    assert rows(standardize.resolve_by_join(columns, alias, ["source_file"], ["class_name", "count"])) == [
         ("f", "class_name", "班级名称", True), ("f", "count", None, False), ("g", "class_name", None, False), ("g", "count", None, False),
     ]
 
@@ -158,6 +161,10 @@ def test_search(spark):
     r = spark.createDataFrame([(f"i{i}", n, f"t{i}" if i else None) for i, n in enumerate(names)], "id string, class_name string, start_timestamp string")
     terms = [("  ", None), ("a", None), ("A2", None), (" a1", None), ("zz", None), ("xx", "B1"), ("xx", "none"), ("x", "B1")]
     out = {(t.term, t.chosen): (t.mode, t.classes, t.exams) for t in search.search_modes(r, spark.createDataFrame(terms, "term string, chosen string")).collect()}
+    assert rows(search.search_modes(r, spark.createDataFrame([(None, "A1"), (None, None), ("a2", None), ("a2", None), ("\ufeffz01", None)], "term string, chosen string"))) == [
+        (None, None, "EMPTY", 0, None), (None, "A1", "EMPTY", 0, None), ("a2", None, "DETAIL", 1, 1), ("a2", None, "DETAIL", 1, 1), ("\ufeffz01", None, "LIST", 10, None),
+    ]
+    assert rows(search.search_modes(r.limit(0), spark.createDataFrame([("  ", None), ("xx", "B")], "term string, chosen string")).select("mode", "classes")) == [("DETAIL", 0), ("NOT_FOUND", 0)]
     assert out == {
         ("  ", None): ("LIST", 63, None), ("a", None): ("EMPTY", 0, None), ("A2", None): ("DETAIL", 1, 1), (" a1", None): ("DETAIL", 1, 1),
         ("zz", None): ("NOT_FOUND", 0, None), ("xx", "B1"): ("DETAIL", 1, 1), ("xx", "none"): ("DETAIL", 0, 0), ("x", "B1"): ("EMPTY", 0, None),
@@ -196,23 +203,42 @@ def test_urls(spark):
     cases = {
         "https://x.org/f.xls": "https://x.org/f.xls", "//x.org/f": "https://x.org/f", "/f.xls": "https://example.org/f.xls", "f.xls": "https://example.org/a/b/f.xls",
         "./f.xls": "https://example.org/a/b/f.xls", "../f.xls": "https://example.org/a/f.xls", "../../f": "https://example.org/f", "../../../f": "https://example.org/f",
+        "a/../b.xlsx": "https://example.org/a/b/b.xlsx", "x/./y.xlsx": "https://example.org/a/b/x/y.xlsx", "/a/../b.xlsx": "https://example.org/b.xlsx",
+        "../x/../y.xlsx": "https://example.org/a/y.xlsx", "./../z.xls": "https://example.org/a/z.xls", "x/..": "https://example.org/a/b/", "/../../z": "https://example.org/z",
+        "x//y/../z?u=../v#../w": "https://example.org/a/b/x/z?u=../v#../w", "": base, "..": "https://example.org/a/", "x.y/.../..z": "https://example.org/a/b/x.y/.../..z",
         "?q=2": "https://example.org/a/b/list.htm?q=2", "#y": "https://example.org/a/b/list.htm?p=1#y", "mailto:a@x": "mailto:a@x",
     }
     from urllib.parse import urljoin
 
     assert each(spark, list(cases), "string", lambda c: ingest.absolute_url(base, c)) == list(cases.values()) == [urljoin(base, h) for h in cases]
+    assert each(spark, [None], "string", lambda c: ingest.absolute_url(base, c)) == [None]
+    for other in ("https://example.org", "https://example.org/", "https://example.org/a/b/", "https://example.org/x?y=/z"):
+        assert each(spark, [h for h in cases if h[:1] not in "?#"], "string", lambda c, o=other: ingest.absolute_url(o, c)) == [urljoin(other, h) for h in cases if h[:1] not in "?#"]
     assert each(spark, ["a.XLSX", "a.xls?x=1", None, "b.xls"], "string", ingest.is_workbook_link) == [True, False, False, True]
     assert one(spark, ingest.attachment_name(F.lit("see"), F.lit("/d/a*b.xlsx"))) == "ab.xlsx"
     assert one(spark, ingest.attachment_name(F.lit('x:"y.xls'), F.lit("/d/a.xlsx"))) == "xy.xls"
     assert one(spark, ingest.notice_title(F.lit(""), F.lit(" t "))) == "t"
 
 
+@settings(max_examples=6, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["a", "..", ".", "b.xls", "", "...", "c?d=..", "e#/../f"]), min_size=1, max_size=6).map("/".join), min_size=20, max_size=40))
+def test_urls_agree_with_the_standard_library(spark, references):
+    from urllib.parse import urljoin
+
+    base = "https://example.org/p/q/list.htm?x=1#y"
+    references = [r for r in references if not r.startswith("//")]
+    assert each(spark, references, "string", lambda c: ingest.absolute_url(base, c)) == [urljoin(base, r) for r in references]
+
+
 def test_links(spark):
     page = '<div class="col_news_con"><ul><li class="news"><span class="news_title"><a href="n.htm" title="T">t <b>x</b></a></span></li></ul></div><p><br><a href=\'f.xls\'> F &amp; G</a><a>no</a>'
     pages = spark.createDataFrame([(1, page), (2, None), (3, "")], "page_id int, html string")
     assert [tuple(r) for r in html.parse_links(pages, "page_id").orderBy("pos").collect()] == [
-        (1, 0, "n.htm", "T", "t x", True, True), (1, 1, "f.xls", None, "F & G", False, False), (1, 2, None, None, "no", False, False),
+        (1, 0, "n.htm", "T", "t x", True, True, 1), (1, 1, "f.xls", None, "F & G", False, False, None), (1, 2, None, None, "no", False, False, None),
     ]
+    items = ['<li class="news"><a href="early"></a><span class="news_title"><a href="t">T</a><a href="t2"></a></span></li>', '<li class="news"><a href="only">O</a><a href="second">x</a></li>', '<li class="news">none</li>', '<li class="other"><a href="no"></a></li>']
+    listed = spark.createDataFrame([(1, '<div class="x col_news_con">' + "".join(items) + "</div>" + items[0]), (2, None)], "page_id int, html string")
+    assert rows(html.notices(listed, "page_id")) == [(1, 1, "t", None, "T"), (1, 2, "only", None, "O")]
     assert [tuple(a) for a in pages.select(html.anchors(F.col("html")).alias("a")).first()["a"]] == [("n.htm", "t x")]
 
 
@@ -284,8 +310,12 @@ def test_calendar(spark, tmp_path):
     assert lines[start + 9 : start + 14] == ["BEGIN:VALARM", "ACTION:DISPLAY", "DESCRIPTION:Exam Reminder", "TRIGGER:-PT30M", "END:VALARM"]
     with pytest.raises(ValueError):
         calendar.calendar_text(exams.limit(0), "cal", "x")
-    path = calendar.write_calendar(exams, str(tmp_path), "A/1", "20260101T000000Z", reminders=[30])
-    assert path.endswith("exams_A1.ics") and open(path, encoding="utf8", newline="").read() == text.replace("X-WR-CALNAME:cal", "X-WR-CALNAME:A/1")
+    several = exams.withColumn("c", F.lit("A/1")).unionAll(exams.limit(1).withColumn("c", F.lit("B"))).unionAll(exams.limit(1).withColumn("c", F.lit(None).cast("string")))
+    done = rows(calendar.write_calendars(several, "c", str(tmp_path / "cal"), "20260101T000000Z", reminders=[30]))
+    assert done == [("A/1", "exams_A1.ics", len(text.split("\r\n")) - text.count("\r\n ")), ("B", "exams_B.ics", 17)]
+    read = lambda name: open(tmp_path / "cal" / name, encoding="utf8", newline="").read()
+    assert read("exams_A1.ics") == text.replace("X-WR-CALNAME:cal", "X-WR-CALNAME:A/1") and "VEVENT" not in read("exams_B.ics")
+    assert calendar.calendar_lines(several.limit(0), "c", "x").count() == 0
     assert rows(calendar.reminders_of(exams.filter("id = 'c'"), [60, 30, 30]).select("minutes")) == [(30,), (60,)]
 
 
@@ -303,20 +333,81 @@ def _workbook(path, rows_xml, shared=(), styles=""):
 
 def test_workbooks(spark, tmp_path):
     _workbook(
-        tmp_path / "b.xlsx",
-        '<row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1" t="s"><v>1</v></c><c r="D1" t="inlineStr"><is><t>时间</t></is></c></row>'
+        tmp_path / "b b+.xlsx",
+        '<row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1" t="s"><v>1</v></c><c r="D1" t="inlineStr"><is><t>时间</t></is></c><c r="E1" t="s"><v>0</v></c></row>'
         '<row r="2"><c r="A2" t="s"><v>2</v></c><c r="B2"><v>12</v></c><c r="D2" s="1"><v>45992.5</v></c></row><row r="3"><c r="A3"/></row>'
         '<row r="5"><c r="A5" t="inlineStr"><is><t>N/A</t></is></c><c r="B5"><v>1.5</v></c><c r="D5" t="b"><v>1</v></c></row>',
         ["班级", "人数", "A&amp;B"],
     )
     _workbook(tmp_path / "a.xlsx", '<row r="1"><c r="A1" t="inlineStr"><is><t>人数</t></is></c></row>')
-    spark.dataSource.register(xlsx.WorkbookSource)
-    df = spark.read.format("rostra_xlsx").load(str(tmp_path))
-    assert df.columns == ["source_file", "row_index", "人数", "班级", "Unnamed: 2", "时间"]
-    assert rows(df) == [("b.xlsx", 2, "12", "A&B", None, "2025-12-01 12:00:00"), ("b.xlsx", 5, "1.5", None, None, "True")]
-    out = standardize.standardize([df], ["source_file", "row_index"])
-    assert rows(out.select("class_name", "count", "parse_error")) == [("", 0, "Unrecognized date format"), ("A&B", 12, "Unrecognized date format")]
-    assert spark.read.format("rostra_xlsx").option("header_columns", "人数").load(str(tmp_path / "none*.xlsx")).count() == 0
+    _workbook(tmp_path / "late.xlsx", '<row r="1"><c r="A1"><v>1</v></c></row><row r="2"><c r="A2" t="s"><v>99</v></c></row>')  # damaged below its first rows
+    (tmp_path / "cut.xlsx").write_bytes((tmp_path / "a.xlsx").read_bytes()[:80])
+    (tmp_path / "old.xls").write_bytes(b"\xd0\xcf\x11\xe0")
+    book = xlsx.read_workbooks(xlsx.workbook_files(spark, str(tmp_path)))
+    assert rows(book.filter("part = 'header'").select("source_file", "cells.column")) == [("a.xlsx", ["人数"]), ("b b+.xlsx", ["班级", "人数", "Unnamed: 2", "时间", "班级.1"])]
+    cells = rows(book.filter("part = 'row'").select("source_file", "row_index", "cells.value", "cells.kind"))
+    assert cells == [
+        ("b b+.xlsx", 2, ["A&B", "12", None, "2025-12-01 12:00:00", None], ["str", "int", None, "date", None]), ("b b+.xlsx", 5, [None, "1.5", None, "True", None], [None, "float", None, "bool", None]),
+    ]
+    assert {r.source_file: r.error.split(":")[0] for r in xlsx.failed_files(book).collect()} == {"cut.xlsx": "BadZipFile", "late.xlsx": "IndexError"}
+    out = standardize.to_records(xlsx.standard_rows(book))
+    assert rows(out.select("source_file", "class_name", "count", "parse_error")) == [("b b+.xlsx", "", 0, "Unrecognized date format"), ("b b+.xlsx", "A&B", 12, "Unrecognized date format")]
+    both = xlsx.workbook_files(spark, str(tmp_path), "*.{xls,xlsx}")
+    assert dict(map(tuple, xlsx.workbook_digests(both).collect()))["old.xls"] == hashlib.md5(b"\xd0\xcf\x11\xe0").hexdigest() and both.count() == 5
+    nothing = spark.createDataFrame([(None, None), ("/x/n.xlsx", None), ("/x/o.xlsx", bytearray())], "path string, content binary")
+    assert rows(xlsx.failed_files(xlsx.read_workbooks(nothing))) == [(None, "ValueError: no content"), ("n.xlsx", "ValueError: no content"), ("o.xlsx", "BadZipFile: File is not a zip file")]
+    assert xlsx.read_workbooks(nothing.limit(0)).count() == 0
+
+
+def test_large_workbooks_are_whole_or_nothing(spark, monkeypatch):
+    monkeypatch.setattr(xlsx, "_BUFFERED_BYTES", 0)
+    good = xlsx.workbook_bytes(["班级", "x"], [[f"K{i}", None if i % 2 else i] for i in range(5000)])
+    _late = io.BytesIO()
+    _workbook(_late, '<row r="1"><c r="A1"><v>1</v></c></row><row r="2"><c r="A2" t="s"><v>99</v></c></row>')
+    book = xlsx.read_workbooks(spark.createDataFrame([("g.xlsx", bytearray(good)), ("bad.xlsx", bytearray(_late.getvalue()))], "path string, content binary"))
+    assert rows(book.groupBy("source_file", "part").count()) == [("bad.xlsx", "error", 1), ("g.xlsx", "header", 1), ("g.xlsx", "row", 5000)]
+    text = 'a<b>&"\r\n\t中\U0001f393\x01'
+    one = [*xlsx.Workbook(xlsx.workbook_bytes(["h"], [[text], [True], [1.5]])).rows()]
+    assert [c[0] for _, c in one] == [("str", "h"), ("str", text[:-1]), ("bool", "True"), ("float", "1.5")]
+
+
+def test_replacing_workbooks(spark, tmp_path):
+    folder = tmp_path / "data"
+    folder.mkdir()
+    (folder / "old.xls").write_bytes(b"o")
+    files = spark.createDataFrame([("n.xlsx", bytearray(b"new")), ("m.xls", bytearray(b""))], "name string, content binary")
+    assert replace_workbooks(spark, files, str(folder)) == 2
+    assert {f.name: f.read_bytes() for f in folder.iterdir() if not f.name.startswith(".")} == {"n.xlsx": b"new", "m.xls": b""}
+    with pytest.raises(ValueError):
+        replace_workbooks(spark, files.limit(0), str(folder))
+    assert (folder / "n.xlsx").exists()
+
+
+def test_sheet_profile(spark):
+    cell = "array<struct<column:string,kind:string,value:string>>"
+    data = [
+        ("f", 2, [("n", "int", "1"), ("s", "str", "b"), ("d", "date", "2026-01-01 00:00:00"), ("e", None, None)]),
+        ("f", 3, [("n", "int", "2"), ("s", "int", "5"), ("d", None, None), ("e", None, None), ("late", "bool", "True")]),
+        ("f", 3, [("n", "int", "2"), ("s", "str", "a|\n" + "x" * 40)]), ("g", 2, [("n", "int", "1")]), ("g", 3, []), ("g", 4, None), (None, 2, [("n", "float", "1.5")]),
+    ]
+    df = spark.createDataFrame(data, f"file string, r int, cells {cell}").withColumn("column", F.lit("clash"))
+    assert rows(quality.sheet_profile(df, "file", "r")) == [
+        (None, "n", 1, "float64", 1, 0, 100.0, 1, "1.5"), ("f", "d", 3, "datetime64[ns]", 1, 2, 33.3, 1, "2026-01-01 00:00:00"), ("f", "e", 4, "float64", 0, 3, 0.0, 0, None),
+        ("f", "late", 5, "object", 1, 2, 33.3, 1, "True"), ("f", "n", 1, "int64", 3, 0, 100.0, 2, "1, 2"), ("f", "s", 2, "object", 3, 0, 100.0, 3, "b, 5, a|\n" + "x" * 27),
+        ("g", "n", 1, "float64", 1, 2, 33.3, 1, "1"),
+    ]
+    raw = quality.raw_samples(df.filter("file = 'f'"), "file", "r")
+    assert [r.value for r in raw.filter("pos < 3").orderBy("place", "pos").collect()] == ["1", "b", "2026-01-01T00:00:00", "2", "5", None, "2", "a/ " + "x" * 17]
+    assert quality.sheet_profile(df.limit(0), "file", "r").count() == quality.raw_samples(df.limit(0), "file", "r").count() == 0
+    payload = ['{"a":1,"b":1.5,"c":"x","d":true,"e":null,"f":{"z":1,"y":[2]}}', "[1]", "bad", None]
+    got = each(spark, payload, "string", records.json_cells)
+    assert [tuple(c) for c in got[0]] == [("a", "int", "1"), ("b", "float", "1.5"), ("c", "str", "x"), ("d", "bool", "true"), ("e", None, None), ("f", "object", '{"y":[2],"z":1}')]
+    assert got[1:] == [None] * 3
+    columns = spark.createDataFrame([("f", "班级"), ("g", "x")], "file string, column string")
+    alias = spark.createDataFrame([("class_name", 1, "班级名称"), ("class_name", 2, "班级")], "field string, alias_pos int, alias string")
+    assert rows(standardize.column_mapping(standardize.resolve_by_join(columns, alias, ["file"]), ["file"])) == [("f", {"class_name": "班级"}), ("g", {})]
+    histogram = spark.createDataFrame([("g", "N", 2, 1), ("f", "S", 1, 2), ("f", "N", 1, 1), ("g", "S", 2, 2), ("g", "X", 9, 3)], "file string, campus string, n bigint, place int")
+    assert rows(quality.campus_totals(histogram, "file")) == [(1, "X", 9), (2, "N", 3), (3, "S", 3)]
 
 
 def test_dataset_and_manifest(spark, tmp_path):
@@ -340,13 +431,29 @@ def test_dataset_and_manifest(spark, tmp_path):
     assert records.read_optional(spark, str(tmp_path / "s.json"), records.SOURCE).first()["downloaded_files"] == ["f"]
 
 
-def test_report(spark, sf_dir):
-    from rostra.session import table
-
-    r = table(spark, sf_dir, "exam_record")
-    lines = report.quality_report(r.select("source_file", "row_index", F.col("campus").alias("校区")), r, "source_file", "row_index", "2026-01-01 00:00:00")
-    text = "\n".join(lines)
-    assert f"| Records | {r.count():,} |" in text and "| `campus` | `校区` | mapped |" in text and "_(tried: 课程名称, 课程, 考试课程)_" in text
+def test_report(spark, tmp_path):
+    cells = "array<struct<column:string,kind:string,value:string>>"
+    sheets = spark.createDataFrame([
+        ("f", 2, [("校区", "str", "N"), ("人数", "int", "3")]), ("f", 3, [("校区", "str", "S|\n"), ("人数", None, None)]), ("g", 2, [("地点", "str", "R")]), (None, 2, []),
+    ], f"file string, row_no int, cells {cells}")
+    data = [("f", 2, "N", "A", 110, None, "2026-01-01"), *[("f", i, "S", "A", 0, "bad", None) for i in range(3, 15)], ("g", 2, "", "", 0, None, None)]
+    r = spark.createDataFrame(
+        [(*x, "C", "R", "T", 1, None, "raw") for x in data],
+        "file string, row_no int, campus string, class_name string, duration_minutes int, parse_error string, date string, course_name string, location string, teacher string, count int, start_timestamp string, raw_time string",
+    )
+    lines = report.quality_report(sheets, r, "file", "row_no", "2026-01-01 00:00:00")
+    report.write_report(lines, str(tmp_path / "r.md"))
+    text = (tmp_path / "r.md").read_text(encoding="utf8").split("\n")
+    assert text[:2] == ["# Data inventory and quality", ""] and "| Records | 14 |" in text and "| Campuses | S (12), N (1) |" in text
+    f, g = text.index("## ⚠️ `f`"), text.index("## ✅ `g`")
+    assert f < g and text[f + 2] == "Rows 13, columns 2, parsed 1/13, dates 2026-01-01 ~ 2026-01-01"
+    mine, other = text[f:g], text[g:]
+    assert "| 2 | `人数` | float64 | 50.0 | 1 | 3 |" in mine and not any("人数" in x and "tried" not in x for x in other)
+    assert "| `campus` | `校区` | mapped |" in mine and "| `campus` | _(tried: 校区, 校区名称)_ | not found |" in other and "| `location` | `地点` | mapped |" in other
+    assert "12 rows with parsing issues:" in mine and "- Row 3: bad (Raw: 'raw')" in mine and "- _and 2 more_" in mine
+    assert mine[mine.index("| 校区 | 人数 |") :][:4] == ["| 校区 | 人数 |", "| --- | --- |", "| N | 3 |", "| S/  |  |"]
+    assert sum(x.startswith("| A | C |") for x in mine) == 3 and "- Row" not in "".join(other)
+    assert report.quality_report(sheets.limit(0), r.limit(0), "file", "row_no", "x").filter("file is not null").count() == 0
 
 
 def test_stream(spark, tmp_path):
