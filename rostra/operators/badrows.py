@@ -112,7 +112,8 @@ def split_fields(line: Column) -> Column:
 
 def parse_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     """Adds to each row the fields of RAW_COLUMNS as strings (null where the row isn't of zero cost), `operations`
-    (the edits of the cheapest parse), the parsed time and `reason` (null: valid).
+    (the edits of the cheapest parse with their numbers), `quote_edits` and `delimiter_edits` (how many), the parsed time and `reason`
+    (null: valid), which the operations state, or the types of the values where there are none.
 
     Reasons in this order: broken_quoting, column_count, bad_count, missing_time, unrecognized_time,
     impossible_time. A null line reads as an empty one (column_count); a blank count is allowed. All columns
@@ -121,20 +122,19 @@ def parse_lines(lines: DataFrame, line: str = "line") -> DataFrame:
     # non-deterministic by declaration: else a filter on the reason would be pushed below and the parse run twice
     cost = F.pandas_udf(_cheapest, _EDITS).asNondeterministic()(shape_of(F.col(line)), F.lit(len(RAW_COLUMNS)))
     out = lines.withColumn("_cost", cost)
-    whole = (F.col("_cost.quote_edits") == 0) & (F.col("_cost.delimiter_edits") == 0)
-    out = out.withColumn("_fields", F.when(whole, split_fields(F.col(line))))
+    edits = F.col("_cost.operations")
+    out = out.withColumn("_fields", F.when(edits == "", split_fields(F.col(line))))
     out = out.withColumn("_time", parse_time_range(clean_text(F.try_element_at("_fields", F.lit(8)))))
     count = strip(F.try_element_at("_fields", F.lit(7)))
     reason = (
-        F.when(F.col("_cost.quote_edits") > 0, "broken_quoting")
-        .when(F.col("_cost.delimiter_edits") > 0, "column_count")
+        F.when(edits.contains("quote"), "broken_quoting").when(edits.contains("delimiter"), "column_count")
         .when(~F.coalesce(count, F.lit("")).rlike(f"^[0-9{WIDE_DIGITS}]*$"), "bad_count")
         .when(F.col("_time.error") == MISSING_TIME, "missing_time")
         .when(F.col("_time.error") == UNRECOGNIZED_TIME, "unrecognized_time")
         .when(F.col("_time.error") == IMPOSSIBLE_TIME, "impossible_time")
     )
     added = {name: F.try_element_at("_fields", F.lit(i + 1)) for i, name in enumerate(RAW_COLUMNS)}
-    return out.withColumns(added | {"operations": F.col("_cost.operations"), "reason": reason})
+    return out.withColumns(added | {"quote_edits": F.col("_cost.quote_edits"), "delimiter_edits": F.col("_cost.delimiter_edits"), "operations": edits, "reason": reason})
 
 
 def rejected_lines(lines: DataFrame) -> DataFrame:
@@ -144,6 +144,13 @@ def rejected_lines(lines: DataFrame) -> DataFrame:
     return parsed.select("line_id", F.explode(F.when(F.col("reason").isNotNull(), F.array("reason"))).alias("reason")).distinct()
 
 
+def line_edits(lines: DataFrame) -> DataFrame:
+    """(line_id, quote_edits, delimiter_edits, operations) of every line below a header: what would have to be done for it to parse.
+    A delimiter that is missing could stand anywhere; it is counted at the end, at the same cost."""
+    parsed = parse_lines(lines.filter("line_no > 1").select("line_id", "line"))
+    return parsed.select("line_id", "quote_edits", "delimiter_edits", "operations")
+
+
 def loaded_lines(lines: DataFrame) -> DataFrame:
     """The valid lines below a header as records: cleaned text, integer count, parsed times."""
     parsed = parse_lines(lines.filter("line_no > 1").select("line_id", "file_name", "line_no", "line"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rostra.functions.text import strip
+from rostra.operators.ranking import numbered
 
 _SHIFT = "18446744073709551616"  # 2^64
 
@@ -34,12 +35,12 @@ def exam_state(df: DataFrame) -> Column:
 
 def _ordinals(df: DataFrame, snapshot: str, most: int = 10_000) -> DataFrame:
     """(_s, _o): the snapshot numbers present, counted from 1. Up to `most` of them, one row per delivery, are read once
-    and broadcast as a local table; beyond that they stay distributed and are numbered by a window over
-    one row per delivery, without a broadcast."""
+    and broadcast as a local table; beyond that they stay distributed and are numbered by a range sort with carried
+    state, without a broadcast."""
     numbers = df.select(F.col(snapshot).alias("_s")).filter("_s is not null").distinct()
     present = sorted(r["_s"] for r in numbers.limit(most + 1).collect())
     if len(present) > most:
-        return numbers.withColumn("_o", F.row_number().over(Window.orderBy("_s")))
+        return numbered(numbers, [], ["_s"], "_o")
     kind = numbers.schema["_s"].dataType.simpleString()
     return F.broadcast(df.sparkSession.createDataFrame([(s, i) for i, s in enumerate(present, 1)], f"_s {kind}, _o int"))
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from rostra.operators import badrows, drift, intervals, packed, snapshots, timestamps
 from rostra.plans import sql
 from rostra.schema import MISSING_TIME, UNRECOGNIZED_TIME
@@ -21,6 +23,13 @@ def p2_loaded(spark, d):
     return badrows.loaded_lines(table(spark, d, "exam_raw_line"))
 
 
+def p2_edits(spark, d):
+    """The operations of every line; of one with broken quoting only that it needs quote edits, which is what SQL can tell."""
+    edits = badrows.line_edits(table(spark, d, "exam_raw_line"))
+    quotes = F.col("quote_edits") > 0
+    return edits.select("line_id", quotes.alias("quoting"), F.when(~quotes, F.col("operations")).alias("operations"))
+
+
 def p3_found(spark, d):
     return intervals.class_periods(table(spark, d, "exam_record"))
 
@@ -43,7 +52,7 @@ def p6_standard(spark, d):
     return drift.replay(rows.drop("origin"), {"座位数": "int", "场次": "string"})
 
 
-QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_loaded, p3_found, p4_found, p5_found, p6_found, p6_standard)}
+QUERIES = {f.__name__: f for f in (p1_found, p2_found, p2_loaded, p2_edits, p3_found, p4_found, p5_found, p6_found, p6_standard)}
 
 _CELL = '"(?:[^"]|"")*"|[^",]*'
 
@@ -78,6 +87,10 @@ select line_id, file_name, line_no, {", ".join(f'{sql.clean(_BARE(i + 1))} "{c}"
   em - sm duration_minutes, cast(day as varchar) date from w where reason is null
 """
 
+_P2_EDITS = _P2_PARSED + """
+select line_id, not quoted quoting, case when quoted then case when len(f) > 9 then 'delete_delimiter:' || (len(f) - 9) when len(f) < 9 then 'insert_delimiter:' || (9 - len(f)) else '' end end operations from w
+"""
+
 _P3 = """
 with r as (
   select distinct class_name c, epoch_us(cast(start_timestamp as timestamptz)) s, epoch_us(cast(end_timestamp as timestamptz)) e
@@ -191,6 +204,7 @@ ORACLE = {
     "p1_found": _P1,
     "p2_found": _P2_PARSED + "select distinct line_id, reason from w where reason is not null",
     "p2_loaded": _P2_LOADED,
+    "p2_edits": _P2_EDITS,
     "p3_found": _P3,
     "p4_found": _P4,
     "p5_found": _P5,

@@ -232,16 +232,22 @@ _DIGEST = "md5(coalesce(location, '') || '|' || coalesce(start_timestamp, ''))"
 
 
 @query(f"""
-with s as (select snapshot_no, id as name, max({_DIGEST}) digest from exam_snapshot group by all),
-o as (select * from s where snapshot_no = (select min(snapshot_no) from s)), n as (select * from s where snapshot_no = (select max(snapshot_no) from s))
-select coalesce(o.name, n.name) as name, case when o.name is null then 'added' when n.name is null then 'removed' when o.digest = n.digest then 'same' else 'changed' end as status
-from o full join n on o.name = n.name""")
+with s as (select snapshot_no, id, max({_DIGEST}) digest from exam_snapshot group by all),
+n as (select snapshot_no, lead(snapshot_no) over (order by snapshot_no) nxt from (select distinct snapshot_no from s)),
+o as (select nxt || '/' || id as name, digest from s join n using (snapshot_no) where nxt is not null),
+w as (select snapshot_no || '/' || id as name, digest from s where snapshot_no > (select min(snapshot_no) from s))
+select coalesce(o.name, w.name) as name, case when o.name is null then 'added' when w.name is null then 'removed' when o.digest = w.digest then 'same' else 'changed' end as status
+from o full join w on o.name = w.name""")
 def q18_file_changes(spark, d):
+    """Every delivery against the one before it."""
     t = table(spark, d, "exam_snapshot")
     digest = F.md5(F.concat(F.coalesce("location", F.lit("")), F.lit("|"), F.coalesce("start_timestamp", F.lit(""))))
-    ends = t.agg(F.min("snapshot_no").alias("a"), F.max("snapshot_no").alias("b")).first()
-    side = lambda n: t.filter(F.col("snapshot_no") == n).groupBy(F.col("id").alias("name")).agg(F.max(digest).alias("digest"))
-    return ingest.file_changes(side(ends["a"]), side(ends["b"]))
+    state = t.groupBy("snapshot_no", "id").agg(F.max(digest).alias("digest"))
+    numbers = ranking.numbered(t.select("snapshot_no").distinct(), [], ["snapshot_no"], "k")
+    following = numbers.join(numbers.select(F.col("snapshot_no").alias("next"), (F.col("k") - 1).alias("k")), "k").select("snapshot_no", "next")
+    old = state.join(following, "snapshot_no").select(F.concat_ws("/", "next", "id").alias("name"), "digest")
+    new = state.join(following.select(F.col("next").alias("snapshot_no")), "snapshot_no").select(F.concat_ws("/", "snapshot_no", "id").alias("name"), "digest")
+    return ingest.file_changes(old, new)
 
 
 @query("""
