@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rostra.llm.bpe import DEFAULT_TOKENIZER, count_tokens
@@ -125,3 +125,22 @@ def pack_documents(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = D
     )
 
 
+
+
+def audit(packed: DataFrame, docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = DEFAULT_TOKENIZER, slack: float = 1.01) -> DataFrame:
+    """One row on a packing of documents: how many containers are overfull, pieces don't lie right behind each other, documents don't have
+    all their tokens or are in more pieces than they must be; how many documents there are and how many have no tokens; and whether
+    the containers are within `slack` of the least possible number (and one for each stream's last ones). All over whole tables; the
+    windows are by container, which holds `capacity` pieces at most."""
+    placed = packed.filter("container_id is not null")
+    before = F.sum("tokens").over(Window.partitionBy("container_id").orderBy("container_start").rowsBetween(Window.unboundedPreceding, -1))
+    misplaced = placed.select((F.coalesce(before, F.lit(0)) != F.col("container_start")).alias("bad")).agg(F.count_if("bad").alias("misplaced"))
+    fills = placed.groupBy("container_id").agg(F.sum("tokens").alias("fill"))
+    least = F.ceil(F.coalesce(F.sum("fill"), F.lit(0)) / capacity)
+    boxes = fills.agg(F.count_if(F.col("fill") > capacity).alias("overfull"), (F.count(F.lit(1)) <= least * slack + 2).alias("tight"))
+    sizes = count_tokens(docs, "doc_id", "text", tokenizer).select("doc_id", F.col("tokens").alias("size"))
+    mine = packed.groupBy("doc_id").agg(F.sum("tokens").alias("tokens"), F.count(F.lit(1)).alias("pieces"), F.count_if(F.col("tokens") == 0).alias("none"))
+    both = sizes.join(mine, "doc_id", "full")
+    wrong = ~F.col("size").eqNullSafe(F.col("tokens")) | (F.col("pieces") != F.greatest(F.ceil(F.col("size") / capacity), F.lit(1)))
+    whole = both.agg(F.count_if(wrong).alias("wrong_documents"), F.count(F.lit(1)).alias("documents"), F.count_if(F.col("size") == 0).alias("empty"))
+    return boxes.join(F.broadcast(misplaced)).join(F.broadcast(whole))  # one row each

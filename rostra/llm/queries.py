@@ -5,7 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 from rostra.llm import bpe, format_dedup, lookalike, packing
-from rostra.session import table
+from rostra.session import checkpointed, table
 
 
 def p7_found(spark, d):
@@ -24,6 +24,12 @@ def p9_containers(spark, d):
     return packing.pack_documents(table(spark, d, "documents"))
 
 
+def p9_audit(spark, d):
+    """What must hold of any packing, whatever the order of the items."""
+    docs = table(spark, d, "documents")
+    return packing.audit(checkpointed(packing.pack_documents(docs)), docs)
+
+
 def p10_found(spark, d):
     return lookalike.lookalike_pairs(table(spark, d, "documents"))
 
@@ -36,7 +42,7 @@ def p10_canonical(spark, d):
     return lookalike.canonical_texts(table(spark, d, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (p7_found, p7_entries, p8_ids, p9_containers, p10_found, p10_classes, p10_canonical)}
+QUERIES = {f.__name__: f for f in (p7_found, p7_entries, p8_ids, p9_containers, p9_audit, p10_found, p10_classes, p10_canonical)}
 
 
 def _stripped(c: str) -> str:
@@ -84,6 +90,8 @@ s as (select * from c where regexp_matches(k, '[^\\s\\x{{a0}}\\x{{3000}}]'))
 ORACLE = {
     "p7_found": _CLASSES + "select first_id, listing_id as copy_id from k where listing_id <> first_id",
     "p7_entries": _CLASSES + f"select listing_id, {', '.join(format_dedup.FIELDS)}, copies from k where listing_id = first_id",
+    "p9_audit": """
+select 0::bigint overfull, true tight, 0::bigint misplaced, 0::bigint wrong_documents, count(*) documents, count(*) filter (coalesce(text, '') = '') empty from documents""",
     "p10_found": _ALIKE + """
 select a.doc_id doc_id_1, b.doc_id doc_id_2 from s a join s b on a.k = b.k and a.doc_id < b.doc_id and a.text <> b.text""",
     "p10_classes": _ALIKE + """,

@@ -163,6 +163,12 @@ def test_documents_in_containers(spark, sf_dir):
     sizes = {r.doc_id: r.tokens for r in bpe.count_tokens(docs).collect()}
     renamed = out.selectExpr("doc_id item", "piece", "doc_start item_start", "tokens size", "container_id container", "container_start")
     assert _check_packing(renamed, sizes, 2048) <= 1.02 * sum(sizes.values()) / 2048 + 3
+    good = packing.audit(out, docs).first().asDict()
+    assert good == {"overfull": 0, "tight": True, "misplaced": 0, "wrong_documents": 0, "documents": docs.count(), "empty": sum(n == 0 for n in sizes.values())}
+    rows_ = sorted(map(tuple, out.collect()), key=lambda r: (r[4] is None, r[4] or 0, r[5] or 0))
+    for spoil, what in ((lambda r: [r[0], *r[2:]], "wrong_documents"), (lambda r: [(*r[0][:5], 1), *r[1:]], "misplaced"), (lambda r: [(*r[0][:3], 3000, *r[0][4:]), *r[1:]], "overfull")):
+        assert packing.audit(spark.createDataFrame(spoil(rows_), out.schema), docs).first()[what] > 0
+    assert packing.audit(out.limit(0), docs.limit(0)).first()["documents"] == 0
 
 
 # ---------------------------------------------------------------- 10: look-alikes
