@@ -10,16 +10,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rostra.functions.text import WHITESPACE
+from rostra.functions.timeparse import let
 from rostra.operators.ranking import numbered
 from rostra.schema import ALIASES
-from rostra.session import checkpointed
+from rostra.session import broadcast_if_small, checkpointed
 
 #: The enforced schema: type of each standard field.
 TARGET = {f: "int" if f == "count" else "string" for f in ALIASES}
 _DROPPED = WHITESPACE + "﻿_＿"
 #: Characters of another width and their usual forms, by rule.
 _WIDTHS = {c: chr(int(d.split()[1], 16)) for c in map(chr, range(0x2000, 0x10000)) if (d := unicodedata.decomposition(c)).startswith(("<wide>", "<narrow>")) and c not in _DROPPED}
-_CELL = "struct<header:string,header_key:string,field:string,known:boolean,priority:int,kind:string>"
+_KINDS = ["array", "boolean", "number", "object", "string"]
+_SEP = "\x01"
 
 
 def header_key(header: Column) -> Column:
@@ -27,36 +29,54 @@ def header_key(header: Column) -> Column:
     return F.lower(F.translate(header, "".join(_WIDTHS) + _DROPPED, "".join(_WIDTHS.values())))
 
 
+def _keys(headers: Column) -> Column:
+    """The header key of each header: of all of them in one text, unless one of them holds the separator itself."""
+    together = F.split(header_key(F.array_join(headers, _SEP)), _SEP)
+    return F.when(F.size(together) == F.size(headers), together).otherwise(F.transform(headers, header_key))
+
+
 def _aliases(header_alias: DataFrame) -> DataFrame:
-    """(header_key, a): of each header key the standard field of the first alias."""
-    alias = header_alias.select(header_key(F.col("alias")).alias("header_key"), F.col("alias_pos").alias("p"), F.col("field").alias("f"))
-    return alias.filter("header_key is not null").groupBy("header_key").agg(F.min(F.struct("p", "f")).alias("a"))
+    """(header_key, code): of each header key the standard field of the first alias; a code is a priority of ten digits, a bar and the
+    field, so that codes sort as the priorities do."""
+    place = F.lpad((F.coalesce(F.col("alias_pos").cast("bigint"), F.lit(-(2**31))) + 2**31).cast("string"), 10, "0")
+    alias = header_alias.select(header_key(F.col("alias")).alias("header_key"), F.concat(place, F.lit("|"), "field").alias("code"))
+    return alias.filter("header_key is not null and code is not null").groupBy("header_key").agg(F.min("code").alias("code"))
+
+
+def _field(code: Column) -> Column:
+    return F.substring(code, F.lit(12), F.length(code))
+
 
+def _priority(code: Column) -> Column:
+    return (F.left(code, F.lit(10)).cast("bigint") - 2**31).cast("int")
 
-def _entries(payload: Column) -> Column:
-    """Header and value of every cell of a JSON object; null for anything else."""
-    return F.map_entries(F.from_json(payload, "map<string,variant>"))
+
+def _cells(payload: Column) -> Column:
+    """Header to cell of a JSON object; null for anything else."""
+    return F.from_json(payload, "map<string,variant>")
 
 
 def _kind(value: Column) -> Column:
     """JSON type of a cell; null of a null cell."""
-    shape = F.schema_of_variant(value)
-    return (
-        F.when(shape == "VOID", None).when(shape == "STRING", "string").when(shape == "BOOLEAN", "boolean")
+    return let(F.schema_of_variant(value), lambda shape: (
+        F.when(shape == "STRING", "string").when(shape == "BIGINT", "number").when(shape == "VOID", None).when(shape == "BOOLEAN", "boolean")
         .when(shape.startswith("ARRAY"), "array").when(shape.startswith("OBJECT"), "object").otherwise("number")
-    )
+    ))
+
+
+def _plain(kind: Column) -> Column:
+    return (kind == "string") | (kind == "number")  # within a lambda cheaper than isin
 
 
-def _fits(kind: str, value: Column) -> Column:
-    """The text of a string or number that fits the enforced type; null for a cell that must be rescued."""
-    text = F.when(F.schema_of_variant(value).rlike("^(?!VOID|BOOLEAN|ARRAY|OBJECT)"), F.try_variant_get(value, "$", "string"))
+def _fits(kind: str, text: Column) -> Column:
+    """The text of a string or number if it fits the enforced type; null for one that must be rescued."""
     if kind in ("int", "bigint"):
         return F.when(text.rlike(r"^\s*[+-]?[0-9]+\s*$"), F.trim(text).try_cast(kind)).cast("string")
     return text if kind == "string" else text.try_cast(kind).cast("string")
 
 
 def _resolver(sheets: DataFrame, header_alias: DataFrame, most_aliases: int) -> tuple[DataFrame, Callable[[Column], Column]]:
-    """The rows, and what gives the alias (p, f) of a header key, null for an unknown header.
+    """The rows, and what gives the code of a header key, null for an unknown header.
 
     Up to `most_aliases` aliases travel as one literal: an array of small maps, addressed by the hash of the key, so that
     a lookup costs the same however many there are. Beyond that the headers of each row are joined to the aliases, and
@@ -66,50 +86,42 @@ def _resolver(sheets: DataFrame, header_alias: DataFrame, most_aliases: int) ->
     known = _aliases(header_alias).limit(most_aliases + 1)
     n = 1 << max(0, min(most_aliases, header_alias.limit(most_aliases + 1).count()) - 1).bit_length()
     slot = lambda key: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
-    found = known.select("header_key", "a", slot(F.col("header_key")).alias("slot")).collect()
+    found = known.select("header_key", "code", slot(F.col("header_key")).alias("slot")).collect()
     if len(found) <= most_aliases:
         slots: list[dict] = [{} for _ in range(n)]
         for r in found:
-            slots[r["slot"]][r["header_key"]] = {"p": r["a"]["p"], "f": r["a"]["f"]}
-        table = F.from_json(F.lit(json.dumps(slots, ensure_ascii=False)), "array<map<string,struct<p:int,f:string>>>")
+            slots[r["slot"]][r["header_key"]] = r["code"]
+        table = F.from_json(F.lit(json.dumps(slots, ensure_ascii=False)), "array<map<string,string>>")
         return sheets, lambda key: table[slot(key)][key]
     rows = sheets.withColumn("_row", F.monotonically_increasing_id())
-    cells = rows.withColumn("_key", F.explode_outer(F.array_distinct(F.transform(_entries(F.col("payload")), lambda e: header_key(e["key"])))))
+    cells = rows.withColumn("_key", F.explode_outer(F.array_distinct(_keys(F.map_keys(_cells(F.col("payload")))))))
     hits = cells.join(_aliases(header_alias), F.col("_key") == F.col("header_key"), "left").drop("header_key")
-    pairs = F.collect_list(F.when(F.col("a").isNotNull(), F.struct("_key", F.struct(F.col("a.p").cast("int").alias("p"), F.col("a.f").alias("f")))))
+    pairs = F.collect_list(F.when(F.col("code").isNotNull(), F.struct("_key", "code")))
     rows = hits.groupBy("_row").agg(*[F.any_value(c).alias(c) for c in sheets.columns], F.map_from_entries(pairs).alias("_alias")).drop("_row")
     return rows, lambda key: F.col("_alias")[key]
 
 
-def _cell(header: Column, key: Column, alias: Column, kind: Column) -> Column:
-    return F.struct(
-        header.alias("header"), key.alias("header_key"), F.coalesce(alias["f"], header).alias("field"), alias.isNotNull().alias("known"),
-        F.coalesce(alias["p"].cast("int"), F.lit(0)).alias("priority"), kind.alias("kind"),
-    )
-
-
-def _as_json(entries: Column) -> Column:
-    """A JSON object of entries (header, v) in their order; repeated headers stay; null where there is none."""
-    one = F.transform(entries, lambda e: F.to_json(F.map_from_arrays(F.array(e["header"]), F.array(e["v"]))))
-    return F.when(F.size(entries) > 0, F.concat(F.lit("{"), F.array_join(F.transform(one, lambda t: F.substring(t, F.lit(2), F.length(t) - 2)), ","), F.lit("}")))
+def _as_json(headers: Column, values: Column, when: Callable[[Column], Column]) -> Column:
+    """A JSON object of those cells for whose index `when` holds, in their order; repeated headers stay; null where there is none."""
+    one = lambda v, i: F.to_json(F.map_from_arrays(F.array(F.get(headers, i)), F.array(v)))
+    bare = lambda t: F.substring(t, F.lit(2), F.length(t) - 2)
+    pieces = F.array_join(F.transform(values, lambda v, i: F.when(when(i), let(one(v, i), bare))), ",")  # nulls are left out
+    return let(pieces, lambda t: F.when(t != "", F.concat(F.lit("{"), t, F.lit("}"))))
 
 
 def _ingest(rows: DataFrame, resolve: Callable[[Column], Column], keep: list[str]) -> DataFrame:
-    """`keep`, the standard fields, rescued and origin of each row."""
-    named = F.transform(_entries(F.col("payload")), lambda e: F.struct(e["key"].alias("header"), header_key(e["key"]).alias("key"), e["value"].alias("v")))
-    found = F.transform(named, lambda c: F.struct(c["header"], c["key"], resolve(c["key"]).alias("a"), c["v"]))
-    fit = lambda c: F.when(c["a"].isNotNull(), F.when(c["a"]["f"] == "count", _fits(TARGET["count"], c["v"])).otherwise(_fits("string", c["v"])))
-    cells = F.transform(found, lambda c: F.struct(c["header"], c["key"], c["a"], c["v"], fit(c).alias("cast"), _kind(c["v"]).alias("kind")))
-    rows = rows.select(*keep, "payload", cells.alias("_c"))
-    # of several headers of one field the first alias that fits holds
-    typed = F.array_sort(F.transform(F.filter("_c", lambda c: c["cast"].isNotNull()), lambda c: F.struct(c["a"]["p"].alias("p"), c["a"]["f"].alias("f"), c["cast"])))
-    rest = F.filter("_c", lambda c: c["cast"].isNull() & c["kind"].isNotNull())
-    origin = F.transform("_c", lambda c: _cell(c["header"], c["key"], c["a"], F.when(c["cast"].isNotNull(), c["kind"])))
-    rows = rows.select(*keep, "payload", typed["f"].alias("_f"), typed["cast"].alias("_v"), rest.alias("_r"), origin.alias("origin"))
-    value = lambda f, t: F.try_element_at("_v", F.nullif(F.array_position("_f", f), F.lit(0)).cast("int")).cast(t)
+    """`keep`, rescued, and of the cells, as arrays of one length: _h headers, _k header keys, _a codes, _t texts that fit the enforced
+    type of their field, _s kinds. Arrays of plain values, since arrays of structs are copied deeply at each step."""
+    rows = rows.withColumn("_m", _cells(F.col("payload")))
+    rows = rows.withColumns({"_h": F.map_keys("_m"), "_v": F.map_values("_m")}).withColumns({"_k": _keys(F.col("_h")), "_s": F.transform("_v", _kind)})
+    rows = rows.withColumn("_a", F.transform("_k", resolve))
+    text = lambda v, i: F.when(F.get("_a", i).isNotNull() & _plain(F.get("_s", i)), F.try_variant_get(v, "$", "string"))
+    fit = lambda v, i: F.when(F.get("_a", i).endswith("|count"), _fits(TARGET["count"], text(v, i))).otherwise(text(v, i))
+    rows = rows.withColumn("_t", F.transform("_v", fit))
+    rest = _as_json(F.col("_h"), F.col("_v"), lambda i: F.get("_t", i).isNull() & F.get("_s", i).isNotNull())
     whole = F.to_json(F.struct(F.col("payload").alias("_payload")))
-    rescued = F.when(F.col("payload").isNotNull() & F.col("_r").isNull(), whole).otherwise(_as_json(F.col("_r")))
-    return rows.select(*keep, *[value(f, t).alias(f) for f, t in TARGET.items()], rescued.alias("rescued"), "origin")
+    rescued = F.when(F.col("payload").isNotNull() & F.col("_m").isNull(), whole).otherwise(rest)
+    return rows.select(*keep, rescued.alias("rescued"), "_h", "_k", "_a", "_t", "_s")
 
 
 def rescue_rows(sheets: DataFrame, header_alias: DataFrame, most_aliases: int = 10_000) -> DataFrame:
@@ -126,21 +138,33 @@ def rescue_rows(sheets: DataFrame, header_alias: DataFrame, most_aliases: int =
     """
     keep = [c for c in sheets.columns if c not in ("payload", "rescued", "origin", *TARGET)]
     rows, resolve = _resolver(sheets.select(*keep, "payload"), header_alias, most_aliases)
-    return _ingest(rows, resolve, keep)
+    rows = _ingest(rows, resolve, keep)
+    # of several headers of one field the first alias that fits holds
+    typed = F.array_sort(F.filter(F.arrays_zip(F.col("_a").alias("a"), F.col("_t").alias("t")), lambda c: c["t"].isNotNull()))
+    rows = rows.withColumn("_f", typed).withColumns({"_f": F.transform(F.col("_f.a"), _field), "_v": F.col("_f.t")})
+    value = lambda f, t: F.try_element_at("_v", F.nullif(F.array_position("_f", f), F.lit(0)).cast("int")).cast(t)
+    cell = lambda h, i: F.struct(
+        h.alias("header"), F.get("_k", i).alias("header_key"), F.coalesce(_field(F.get("_a", i)), h).alias("field"), F.get("_a", i).isNotNull().alias("known"),
+        F.coalesce(_priority(F.get("_a", i)), F.lit(0)).alias("priority"), F.when(F.get("_t", i).isNotNull(), F.get("_s", i)).alias("kind"),
+    )
+    return rows.select(*keep, *[value(f, t).alias(f) for f, t in TARGET.items()], "rescued", F.transform("_h", cell).alias("origin"))
 
 
 def replay(rescued: DataFrame, promoted: dict[str, str]) -> DataFrame:
     """Promote approved fields (name to type): each becomes a column, filled from the rescue column by the first header that is
     the same but for its spelling and whose value fits the type. What was replayed leaves `rescued`; a value that doesn't
     fit stays there, and the column is null."""
-    entries = F.transform(_entries(F.col("rescued")), lambda e: F.struct(e["key"].alias("header"), e["value"].alias("v")))
-    rows = rescued.withColumn("_e", entries)
-    for name, kind in promoted.items():
-        fits = F.transform("_e", lambda e: F.when(header_key(e["header"]) == header_key(F.lit(name)), _fits(kind, e["v"])))  # noqa: B023
-        rows = rows.withColumn("_p", fits).withColumn("_at", F.nullif(F.array_position(F.transform("_p", lambda x: x.isNotNull()), True), F.lit(0)).cast("int"))
-        left = F.when(F.col("_at").isNull(), F.col("_e")).otherwise(F.filter("_e", lambda e, i: i != F.col("_at") - 1))
-        rows = rows.withColumns({name: F.try_element_at("_p", F.col("_at")).cast(kind), "_e": left})
-    return rows.withColumn("rescued", _as_json(F.col("_e"))).drop("_e", "_p", "_at")
+    rows = rescued.withColumn("_m", _cells(F.col("rescued"))).withColumns({"_h": F.map_keys("_m"), "_v": F.map_values("_m")})
+    rows = rows.withColumn("_k", _keys(F.col("_h")))
+    gone = F.array().cast("array<int>")
+    for number, (name, kind) in enumerate(promoted.items()):
+        plain = lambda v: F.when(_plain(_kind(v)), F.try_variant_get(v, "$", "string"))
+        fits = F.transform("_v", lambda v, i: F.when(F.get("_k", i) == header_key(F.lit(name)), _fits(kind, plain(v))))  # noqa: B023
+        rows = rows.withColumn("_p", fits).withColumn(f"_at{number}", F.array_position(F.transform("_p", lambda x: x.isNotNull()), True).cast("int"))
+        rows = rows.withColumn(name, F.try_element_at("_p", F.nullif(f"_at{number}", F.lit(0))).cast(kind))
+        gone = F.concat(gone, F.array(F.coalesce(f"_at{number}", F.lit(0))))
+    left = _as_json(F.col("_h"), F.col("_v"), lambda i: ~F.array_contains("_gone", i + 1))
+    return rows.withColumn("_gone", gone).withColumn("rescued", left).drop("_m", "_h", "_v", "_k", "_p", "_gone", *[f"_at{i}" for i in range(len(promoted))])
 
 
 def schema_changes(sheets: DataFrame, header_alias: DataFrame, most_aliases: int = 10_000) -> DataFrame:
@@ -153,37 +177,41 @@ def schema_changes(sheets: DataFrame, header_alias: DataFrame, most_aliases: int
     one of the first alias. The first file of a series has no changes. Rows without series, file number or file
     name are left out; repeated and late rows don't matter.
 
-    One scan: all cells collapse map-side to one row per file, field, header and type. What is checkpointed, numbered and
+    The payloads are read once: all cells collapse map-side to one row per file and header. What is numbered, checkpointed and
     joined is as large as the files' headers, not as the rows.
     """
     file = ["series_id", "file_seq", "source_file"]
     named = sheets.filter("series_id is not null and file_seq is not null and source_file is not null").select(*file, "payload")
     given, resolve = _resolver(named, header_alias, most_aliases)
-    rows = _ingest(given, resolve, [c for c in given.columns if c != "payload"])
-    keyed = F.transform(_entries(F.col("rescued")), lambda e: F.struct(e["key"].alias("header"), header_key(e["key"]).alias("key"), e["value"].alias("v")))
-    again = F.transform(keyed, lambda c: _cell(c["header"], c["key"], resolve(c["key"]), _kind(c["v"])))
-    # no origin: a payload that has no cells; its file still stands between its neighbours
-    every = F.when(F.col("origin").isNotNull(), F.concat("origin", F.coalesce(again, F.array().cast(f"array<{_CELL}>"))))
-    cells = rows.select(*file, F.explode_outer(every).alias("c"))
-    # a field of its own is known by its header key and reported by the header as the file spells it
-    field = F.when(F.col("c.known"), F.col("c.field")).otherwise(F.concat(F.lit("?"), "c.header_key")).alias("field")
-    cells = cells.select(*file, field, "c.header_key", "c.priority", F.col("c.field").alias("name"), "c.kind")
-    # counts alone, all else as keys: a hash aggregation, map-side as small as the files' headers
-    by_type = checkpointed(cells.groupBy(*cells.columns).agg(F.count("kind").alias("n")))
-    kinds = ["array", "boolean", "number", "object", "string"]
-    fields = by_type.filter("field is not null").groupBy(*file, "field").agg(
-        F.array(*[F.struct((-F.sum(F.when(F.col("kind") == k, F.col("n")))).alias("n"), F.lit(k).alias("kind")) for k in kinds]).alias("ranks"),
-        F.min(F.struct("priority", "header_key"))["header_key"].alias("header"), F.min("name").alias("name"),
+    rows = _ingest(given, resolve, file)
+    # cells that have their place in a field, or are null; and the rescued ones, with their types read again
+    placed = F.filter(F.arrays_zip(F.col("_h").alias("header"), F.col("_s").alias("kind"), F.col("_t").alias("t")), lambda c: c["t"].isNotNull() | c["kind"].isNull())
+    saved = _cells(F.col("rescued"))
+    again = F.arrays_zip(F.map_keys(saved).alias("header"), F.transform(F.map_values(saved), _kind).alias("kind"), F.map_keys(saved).alias("t"))
+    every = F.concat(placed, F.coalesce(again, F.array().cast("array<struct<header:string,kind:string,t:string>>")))
+    cells = rows.select(*file, F.inline(every)).drop("t")
+    # counts by type, headers as keys: a hash aggregation, map-side as small as the files' headers
+    headers = cells.groupBy(*file, "header").agg(*[F.count_if(F.col("kind") == k).alias(k) for k in _KINDS])
+    headers = headers.withColumn("header_key", header_key(F.col("header"))).join(broadcast_if_small(_aliases(header_alias)), "header_key", "left").select(
+        # a field of its own is known by its header key and reported by the header as the file spells it
+        *file, F.coalesce(_field(F.col("code")), F.concat(F.lit("?"), "header_key")).alias("field"), F.coalesce(_field(F.col("code")), F.col("header")).alias("name"),
+        F.struct(F.coalesce("code", F.lit("")).alias("code"), "header_key").alias("h"), *_KINDS,
+    )
+    # files from the rows themselves: one without any cell still stands between its neighbours
+    files = numbered(named.select(*file).distinct(), ["series_id"], ["file_seq", "source_file"], "file_no")
+    following = files.select("series_id", (F.col("file_no") - 1).alias("file_no"), F.col("source_file").alias("next_file"))
+    headers = headers.join(files.join(following, ["series_id", "file_no"], "left"), file)
+    ranks = F.array(*[F.struct((-F.sum(k)).alias("n"), F.lit(k).alias("kind")) for k in _KINDS])
+    fields = headers.groupBy("series_id", "file_no", "field").agg(
+        F.array_min(F.filter(ranks, lambda x: x["n"] < 0))["kind"].alias("kind"), F.min("h")["header_key"].alias("header"), F.min("name").alias("name"),
+        F.min("source_file").alias("source_file"), F.min("next_file").alias("next_file"),
     )
-    fields = fields.withColumn("kind", F.array_min(F.filter("ranks", lambda x: x["n"] < 0))["kind"]).drop("ranks")
-    files = numbered(by_type.select(*file).distinct(), ["series_id"], ["file_seq", "source_file"], "file_no")
-    now = fields.join(files, file).select("series_id", "file_no", "field", "name", "kind", "header", F.lit(True).alias("is_now"))
-    before = now.select(
+    now = checkpointed(fields).withColumn("is_now", F.lit(True))
+    before = now.filter("next_file is not null").select(
         "series_id", (F.col("file_no") + 1).alias("file_no"), "field", F.col("name").alias("p_name"), F.col("kind").alias("p_kind"),
-        F.col("header").alias("p_header"), F.lit(True).alias("was"),
+        F.col("header").alias("p_header"), "next_file", F.lit(True).alias("was"),
     )
-    # what would be compared after the last file of a series finds no file and drops out
-    both = now.join(before, ["series_id", "file_no", "field"], "full").filter("file_no > 1").join(files.select("series_id", "file_no", "source_file"), ["series_id", "file_no"])
+    both = now.drop("next_file").join(before, ["series_id", "file_no", "field"], "full").filter("file_no > 1")
     was, is_ = F.col("was").isNotNull(), F.col("is_now").isNotNull()
     changes = F.array(
         F.when(~was, "added"), F.when(~is_, "removed"),
@@ -191,5 +219,5 @@ def schema_changes(sheets: DataFrame, header_alias: DataFrame, most_aliases: int
         F.when(was & is_ & (F.col("kind") != F.col("p_kind")), "retyped"),
     )
     return both.select(
-        "source_file", F.coalesce("name", "p_name").alias("field"), F.explode(F.array_compact(changes)).alias("change")
+        F.coalesce("source_file", "next_file").alias("source_file"), F.coalesce("name", "p_name").alias("field"), F.explode(F.array_compact(changes)).alias("change")
     ).distinct()
