@@ -6,11 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rostra.functions.text import strip
+from rostra.functions.timeparse import let
 
 #: Quote characters; the straight one closes itself, the others come in pairs.
 PAIRED_QUOTES = {"“": "”", "「": "」", "『": "』", "«": "»", "„": "“", "〝": "〞"}
 _QUOTES = '"' + "“”„「」『』«»〝〞"
-_OPEN, _CLOSE = r"(（\[【〔{〈《", r")）\]】〕}〉》"
+_OPENING, _CLOSING = "(（[【〔{〈《", ")）]】〕}〉》"
+_OPEN, _CLOSE = (x.replace("[", r"\[").replace("]", r"\]") for x in (_OPENING, _CLOSING))
 #: Marks that separate values wherever they stand outside quotes and brackets.
 MARKS = "、，,；;／/｜|＆&＋+\n\r\t\x0b\x0c　  "
 #: Conjunctions that separate values if white space is on both sides; single letters in lower case only, since a
@@ -19,7 +21,6 @@ CONJUNCTIONS = ["与", "和", "及", "以及", "(?i:and|und|et)", "y", "и"]
 
 _GAP = r"[ \xa0]"
 _DELIMITER = rf"(?:{_GAP}+(?:{'|'.join(CONJUNCTIONS)})(?={_GAP})|[{MARKS}]|{_GAP}{{2,}})"
-_IS_DELIMITER = rf"^(?:{_GAP}+(?:{'|'.join(CONJUNCTIONS)})|[{MARKS}]|{_GAP}{{2,}})$"
 # tokens of an even piece: a delimiter, a bracket, or a run of text (single spaces included)
 _TOKENS = rf"{_DELIMITER}|[{_OPEN}{_CLOSE}]|[^{MARKS}{_OPEN}{_CLOSE} \xa0]+|{_GAP}"
 
@@ -59,10 +60,12 @@ def split_packed(c: Column) -> Column:
         closes = inside & (t == a["quote"])
         doubled = a["was"] & (t == '"')  # "" inside quotes: the quote goes on with one quote in the text
         opens = ~inside & ~doubled & closer[t].isNotNull() & (a["depth"] == 0)
-        splits = ~inside & (a["depth"] == 0) & t.rlike(_IS_DELIMITER)
+        # tokens are whole delimiters, brackets or texts without either: what one is can be told without a pattern
+        gap = t.startswith(" ") | t.startswith("\xa0")
+        splits = ~inside & (a["depth"] == 0) & (F.contains(F.lit(MARKS), t) | (gap & (F.length(t) > 1)))
         depth = (
-            F.when(~inside & t.rlike(rf"^[{_OPEN}]$"), a["depth"] + 1)
-            .when(~inside & t.rlike(rf"^[{_CLOSE}]$"), F.greatest(a["depth"] - 1, F.lit(0)))
+            F.when(~inside & F.contains(F.lit(_OPENING), t), a["depth"] + 1)
+            .when(~inside & F.contains(F.lit(_CLOSING), t), F.greatest(a["depth"] - 1, F.lit(0)))
             .otherwise(a["depth"])
         )
         return F.struct(
@@ -85,5 +88,6 @@ def unpack_values(df: DataFrame, column: str, keys: list[str], at_least: int = 1
     rows = df.select(*keys, column).filter(F.col(column).isNotNull()).distinct()
     if at_least > 1:  # a field without any mark, gap or conjunction holds one value at most
         rows = rows.filter(F.col(column).rlike(rf"[{MARKS}]|{_GAP}{{2,}}|{_GAP}(?:{'|'.join(CONJUNCTIONS)}){_GAP}"))
-    values = rows.select(*keys, split_packed(F.col(column)).alias("_v")).filter(F.size("_v") >= at_least)
-    return values.select(*keys, F.posexplode("_v").alias("pos", column)).withColumn("pos", F.col("pos") + 1).distinct()
+    # not a filter on the values: it would be pushed below and split every field once more for each of its conditions
+    several = let(split_packed(F.col(column)), lambda v: F.when(F.size(v) >= at_least, v))
+    return rows.select(*keys, F.posexplode(several).alias("pos", column)).withColumn("pos", F.col("pos") + 1).distinct()
