@@ -124,6 +124,10 @@ def _ingest(rows: DataFrame, resolve: Callable[[Column], Column], keep: list[str
     return rows.select(*keep, rescued.alias("rescued"), "_h", "_k", "_a", "_t", "_s")
 
 
+def _own(df: DataFrame, columns: list[str]) -> Column:
+    return F.struct(F.lit(None).cast("boolean").alias(""), *[df[f"`{c}`"].alias(c) for c in columns]).alias("_own")
+
+
 def rescue_rows(sheets: DataFrame, header_alias: DataFrame, most_aliases: int = 10_000) -> DataFrame:
     """One standard row for each sheet row: its own columns, every standard field in its enforced type, `rescued`: a JSON
     object of the cells that have an unknown header or don't fit, under their headers as delivered, or {"_payload": ...} where
@@ -137,8 +141,9 @@ def rescue_rows(sheets: DataFrame, header_alias: DataFrame, most_aliases: int =
     field, `rescued` or `origin` give way. No shuffle with up to `most_aliases` aliases.
     """
     keep = [c for c in sheets.columns if c not in ("payload", "rescued", "origin", *TARGET)]
-    rows, resolve = _resolver(sheets.select(*keep, "payload"), header_alias, most_aliases)
-    rows = _ingest(rows, resolve, keep)
+    # the sheet's own columns travel as one, so that no name of theirs meets one of those used here
+    rows, resolve = _resolver(sheets.select(_own(sheets, keep), "payload"), header_alias, most_aliases)
+    rows = _ingest(rows, resolve, ["_own"])
     # of several headers of one field the first alias that fits holds
     typed = F.array_sort(F.filter(F.arrays_zip(F.col("_a").alias("a"), F.col("_t").alias("t")), lambda c: c["t"].isNotNull()))
     rows = rows.withColumn("_f", typed).withColumns({"_f": F.transform(F.col("_f.a"), _field), "_v": F.col("_f.t")})
@@ -147,24 +152,27 @@ def rescue_rows(sheets: DataFrame, header_alias: DataFrame, most_aliases: int =
         h.alias("header"), F.get("_k", i).alias("header_key"), F.coalesce(_field(F.get("_a", i)), h).alias("field"), F.get("_a", i).isNotNull().alias("known"),
         F.coalesce(_priority(F.get("_a", i)), F.lit(0)).alias("priority"), F.when(F.get("_t", i).isNotNull(), F.get("_s", i)).alias("kind"),
     )
-    return rows.select(*keep, *[value(f, t).alias(f) for f, t in TARGET.items()], "rescued", F.transform("_h", cell).alias("origin"))
+    rows = rows.select("_own", *[value(f, t).alias(f) for f, t in TARGET.items()], "rescued", F.transform("_h", cell).alias("origin"))
+    return rows.select(*[F.col("_own").getField(c).alias(c) for c in keep], *TARGET, "rescued", "origin")
 
 
 def replay(rescued: DataFrame, promoted: dict[str, str]) -> DataFrame:
     """Promote approved fields (name to type): each becomes a column, filled from the rescue column by the first header that is
     the same but for its spelling and whose value fits the type. What was replayed leaves `rescued`; a value that doesn't
     fit stays there, and the column is null."""
-    rows = rescued.withColumn("_m", _cells(F.col("rescued"))).withColumns({"_h": F.map_keys("_m"), "_v": F.map_values("_m")})
+    others = [c for c in rescued.columns if c not in promoted]
+    rows = rescued.select(_own(rescued, others), _cells(F.col("rescued")).alias("_m")).withColumns({"_h": F.map_keys("_m"), "_v": F.map_values("_m")})
     rows = rows.withColumn("_k", _keys(F.col("_h")))
-    gone = F.array().cast("array<int>")
-    for number, (name, kind) in enumerate(promoted.items()):
+    gone, columns = F.array().cast("array<int>"), []
+    for i, (name, kind) in enumerate(promoted.items()):
         plain = lambda v: F.when(_plain(_kind(v)), F.try_variant_get(v, "$", "string"))
-        fits = F.transform("_v", lambda v, i: F.when(F.get("_k", i) == header_key(F.lit(name)), _fits(kind, plain(v))))  # noqa: B023
-        rows = rows.withColumn("_p", fits).withColumn(f"_at{number}", F.array_position(F.transform("_p", lambda x: x.isNotNull()), True).cast("int"))
-        rows = rows.withColumn(name, F.try_element_at("_p", F.nullif(f"_at{number}", F.lit(0))).cast(kind))
-        gone = F.concat(gone, F.array(F.coalesce(f"_at{number}", F.lit(0))))
+        fits = F.transform("_v", lambda v, j: F.when(F.get("_k", j) == header_key(F.lit(name)), _fits(kind, plain(v))))  # noqa: B023
+        rows = rows.withColumn(f"_p{i}", fits).withColumn(f"_at{i}", F.array_position(F.transform(f"_p{i}", lambda x: x.isNotNull()), True).cast("int"))
+        columns.append(F.try_element_at(f"_p{i}", F.nullif(f"_at{i}", F.lit(0))).cast(kind).alias(name))
+        gone = F.concat(gone, F.array(F.coalesce(f"_at{i}", F.lit(0))))
     left = _as_json(F.col("_h"), F.col("_v"), lambda i: ~F.array_contains("_gone", i + 1))
-    return rows.withColumn("_gone", gone).withColumn("rescued", left).drop("_m", "_h", "_v", "_k", "_p", "_gone", *[f"_at{i}" for i in range(len(promoted))])
+    rows = rows.withColumn("_gone", gone).select("_own", *columns, left.alias("_left"))
+    return rows.select(*[F.col("_left").alias(c) if c == "rescued" else F.col("_own").getField(c).alias(c) for c in others], *promoted)
 
 
 def schema_changes(sheets: DataFrame, header_alias: DataFrame, most_aliases: int = 10_000) -> DataFrame:

@@ -392,9 +392,10 @@ def test_rescue_and_replay(spark):
         (1, 1, "a", '{"班级名称":"x","人数":" 5 ","座\\"位\\n":{"n":1,"m":2}}'), (1, 1, "a", '{"人数":"many","地点":["p"],"N ":7}'), (1, 1, "a", "bad"), (1, 1, "a", None),
         (1, 1, "a", "{}"), (1, 1, "a", "[1]"), (1, 1, "a", '{"class name":"second","班级 名称":"first","地点":null,"x":true}'),
         (1, 1, "a", '{"n":"x","n":1.5,"N_":" 8","人数":2.5}'), (1, 1, "a", '{"count":3,"ｎ":9}'),
-    ]).withColumn("class_name", F.lit("clash"))
+    ]).withColumn("class_name", F.lit("clash")).withColumns({c: F.lit("own") for c in ("_m", "_h", "_v", "_own", "_row", "_gone", "a.b")})
     for most in (100, 0):  # a literal, and a join
         given = drift.rescue_rows(df, alias, most_aliases=most)
+        assert all(tuple(r) == ("own",) * 7 for r in drift.replay(given, {"n": "int"}).select("_m", "_h", "_v", "_own", "_row", "_gone", "`a.b`").collect())
         assert [r["rescued"] for r in given.filter("sheet_row_id in (1, 7)").orderBy("sheet_row_id").collect()] == ['{"人数":"many","地点":["p"],"N ":7}', '{"n":"x","n":1.5,"N_":" 8","人数":2.5}']
         out = drift.replay(given, {"n": "int"}).orderBy("sheet_row_id").collect()
         assert [(r["class_name"], r["count"], r["rescued"], r["n"]) for r in out] == [
