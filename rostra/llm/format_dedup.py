@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 from rostra.session import checkpointed, skew_safe_join
 
 FIELDS = ["course_code", "class_name", "raw_time", "location"]
-_DROPPED = r"[^\p{L}\p{Nd}]+"
+_SEP = "\x01"
 
 
-def _stripped(c: Column) -> Column:
-    """Letters and digits in lower case."""
-    return F.lower(F.regexp_replace(c, _DROPPED, ""))
+def _stripped(fields: list[Column]) -> Column:
+    """The letters and digits of all fields in lower case, in one pass, with a separator between the fields."""
+    bare = [F.when(F.contains(c, F.lit(_SEP)), F.translate(c, _SEP, "")).otherwise(c) for c in fields]
+    return F.lower(F.regexp_replace(F.concat_ws(_SEP, *bare), rf"[^\p{{L}}\p{{Nd}}{_SEP}]+", ""))
 
 
 def _histogram(c: Column) -> Column:
@@ -34,15 +35,14 @@ def entry_classes(df: DataFrame, row_id: str = "listing_id", fields: list[str] =
     themselves, hashed to 128 bits. Every step aggregates map-side; rows meet their class in joins that split classes
     with many rows, so one entry may own a third of all rows.
     """
-    rows = df.select(F.col(row_id).alias("_id"), *[F.coalesce(F.col(f).cast("string"), F.lit("")).alias(f"_f{i}") for i, f in enumerate(fields)])
-    rows = rows.filter("_id is not null")
-    values = [f"_f{i}" for i in range(len(fields))]
-    cheap = rows.withColumn("_all", _stripped(F.concat(*values))).withColumns({"_len": F.length("_all"), "_hist": _histogram(F.col("_all"))}).drop("_all")
+    text = _stripped([F.coalesce(F.col(f).cast("string"), F.lit("")) for f in fields])
+    rows = df.filter(F.col(row_id).isNotNull()).select(F.col(row_id).alias("_id"), text.alias("_text"))
+    cheap = rows.withColumns({"_len": F.length("_text"), "_hist": _histogram(F.col("_text"))})
     # 24 bytes for each class of several, used for the size of the hot ones and for the join
     several = checkpointed(cheap.groupBy("_len", "_hist").agg(F.count(F.lit(1)).alias("_n")).filter("_n > 1"))
     total = several.agg(F.coalesce(F.sum("_n"), F.lit(0))).first()[0]
     members = skew_safe_join(cheap, several, ["_len", "_hist"], "_n", "_id", total)
-    key = F.concat_ws("\x01", F.array_sort(F.array(*[_stripped(F.col(v)) for v in values])))
+    key = F.concat_ws(_SEP, F.array_sort(F.split("_text", _SEP)))
     keyed = members.select("_id", key.alias("_key")).select("_id", F.xxhash64("_key").alias("_k1"), F.xxhash64(F.lit("2"), F.col("_key"), F.length("_key")).alias("_k2"))
     keyed = checkpointed(keyed)  # 24 bytes a row, used for the classes and for their rows
     classes = keyed.groupBy("_k1", "_k2").agg(F.min("_id").alias("first_id"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")

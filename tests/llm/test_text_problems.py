@@ -28,6 +28,8 @@ def test_hidden_copies(spark):
     kept = {r.listing_id: (r.copies, r.course_code) for r in format_dedup.collapsed_entries(df).collect()}
     assert kept[1] == (3, "GE-1") and kept[6] == (3, None) and kept[3] == (1, "ge1") and sum(c for c, _ in kept.values()) == 13
     assert format_dedup.hidden_copies(df.limit(0)).count() == 0
+    hard = _listing(spark, [("ΟΔΟΣ", "x", "y", ""), ("y", "", "οδος", "X"), ("a\x01b", "c", None, None), ("c", None, "AB", "\x01"), ("a", "b", "c", None), ("x" * 50_000, "", "", ""), ("", "X-" * 50_000, "", "")])
+    assert rows(format_dedup.hidden_copies(hard)) == [(1, 2), (3, 4), (6, 7)]
     again = df.filter("listing_id <= 3").unionAll(df.filter("listing_id = 1")).unionAll(df.filter("listing_id = 3").withColumn("listing_id", F.lit(None).cast("bigint")))
     again = again.unionAll(again.filter("listing_id is null"))
     assert rows(format_dedup.collapsed_entries(again).select("listing_id", "course_code", "copies")) == [(None, "ge1", 1), (None, "ge1", 1), (1, "GE-1", 3), (3, "ge1", 1)]
