@@ -20,12 +20,12 @@ _END = 2**31 - 1  # the event number of the closing line
 def header_lines(calendar_name: Column, product: str) -> list[Column]:
     """CAL-7: the fixed head with the zone, which has no daylight saving. The calendar name isn't escaped."""
     # fixed values
-    before = ["BEGIN:VCALENDAR", "VERSION:2.0", f"PRODID:{product}"]
-    after = [
-        "CALSCALE:GREGORIAN", "METHOD:PUBLISH", "BEGIN:VTIMEZONE", "TZID:Asia/Shanghai", "X-LIC-LOCATION:Asia/Shanghai", "BEGIN:STANDARD",
-        "TZOFFSETFROM:+0800", "TZOFFSETTO:+0800", "TZNAME:CST", "DTSTART:19700101T000000", "END:STANDARD", "END:VTIMEZONE",
+    lines = [
+        "BEGIN:VCALENDAR", "VERSION:2.0", f"PRODID:{product}", "X-WR-CALNAME:", "CALSCALE:GREGORIAN", "METHOD:PUBLISH",
+        "BEGIN:VTIMEZONE", "TZID:Asia/Shanghai", "X-LIC-LOCATION:Asia/Shanghai", "BEGIN:STANDARD", "TZOFFSETFROM:+0800",
+        "TZOFFSETTO:+0800", "TZNAME:CST", "DTSTART:19700101T000000", "END:STANDARD", "END:VTIMEZONE",
     ]
-    return [*map(F.lit, before), F.concat(F.lit("X-WR-CALNAME:"), calendar_name), *map(F.lit, after)]
+    return [F.concat(F.lit(x), calendar_name) if x == "X-WR-CALNAME:" else F.lit(x) for x in lines]
 
 
 def event_lines(numbered_exams: DataFrame, calendar: str, now: str, domain: str, footer: str, reminders: list[int] = DEFAULT_REMINDERS) -> DataFrame:

@@ -368,6 +368,7 @@ def q29_time_order(spark, d):
 _FOLDED = """case when strlen({c}) <= 75 then {c} else list_reduce(string_split({c}, ''),
   lambda a, c: a || case when strlen(regexp_extract(a, '[^\\n]*$')) + strlen(c) > 75 then chr(13) || chr(10) || ' ' else '' end || c) end"""
 _UID = """'exam-' || lower(to_base(abs(case when u >= 2147483648 then u - 4294967296 else u end), 36)) || '-' || {n} || '@example.org'"""
+# Lines of a calendar file.
 _ALARM = ["BEGIN:VALARM", "ACTION:DISPLAY", "DESCRIPTION:Exam Reminder", "TRIGGER:-PT{m}M", "END:VALARM"]
 _HEAD = ["BEGIN:VCALENDAR", "VERSION:2.0", "PRODID:-//rostra//timetable//EN", "X-WR-CALNAME:", "CALSCALE:GREGORIAN", "METHOD:PUBLISH", "BEGIN:VTIMEZONE", "TZID:Asia/Shanghai",
          "X-LIC-LOCATION:Asia/Shanghai", "BEGIN:STANDARD", "TZOFFSETFROM:+0800", "TZOFFSETTO:+0800", "TZNAME:CST", "DTSTART:19700101T000000", "END:STANDARD", "END:VTIMEZONE"]

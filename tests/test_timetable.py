@@ -4,6 +4,7 @@ import hashlib
 import io
 import json
 import zipfile
+from types import SimpleNamespace
 
 import pytest
 from hypothesis import given, settings
@@ -155,6 +156,27 @@ def test_checked_broadcasts(spark):
     assert "ResolvedHint" not in plan(session.broadcast_if_small(spark.range(6), 5))
 
 
+def test_checkpoints(spark):
+    def session_with(master, named=None, made=None):
+        known, folder = SimpleNamespace(isDefined=lambda: False), []
+        sc = SimpleNamespace(_jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: known)), getConf=lambda: {"spark.checkpoint.dir": named} if named else {}, master=master, setCheckpointDir=folder.append)
+        session.ensure_checkpoint_dir(SimpleNamespace(sparkContext=sc, conf=SimpleNamespace(get=lambda k, d: d)))
+        return folder
+
+    assert session_with("spark://host:7077", "/shared") == session_with("local[4]", "/shared") == ["/shared"]
+    assert len(session_with("local[4]")) == len(session_with("local")) == 1
+    for cluster in ("spark://host:7077", "yarn", "local-cluster[3,2,1024]"):
+        with pytest.raises(RuntimeError):
+            session_with(cluster)
+    df = session.checkpointed(spark.range(10))
+    assert df.count() == 10
+    folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    session.drop_checkpoints(spark)
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    assert len(path.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(path)) == 0
+    assert session.checkpointed(spark.range(3)).count() == 3
+
+
 # ---------------------------------------------------------------- search and selection
 def test_search(spark):
     names = ["A1", "a2", "B1", "", None] + [f"Z{i:03d}" for i in range(60)]
